@@ -101,3 +101,16 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(raw_scores(m, x), 9))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs (all columns) whose score isn't under the cut."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), model.get("cut_at", 0.0)
+
+    def run(batches):
+        m = shared.value
+        for b in sub_batches(batches):
+            x = np.array([features(t) for t in texts_of(b)], float).reshape(b.num_rows, len(NAMES))
+            yield b.filter(pa.array(raw_scores(m, x) >= at))
+
+    return docs.mapInArrow(run, docs.schema)

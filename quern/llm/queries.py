@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, near_dedup, quality, token_store, toxicity
+from . import decontam, fingerprints, langid, lattice_lm, mixing, near_dedup, oracle, quality, suffix_dedup, token_store, toxicity
 from .common import Scratch, fold, read_table, stratified
 
 
@@ -33,6 +33,10 @@ def op2_langid(spark: SparkSession, sf_dir: str, cap: int = 1500) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(read_table(spark, sf_dir, "documents"), 85, 5)
 
@@ -42,6 +46,13 @@ def op5_quality(spark: SparkSession, sf_dir: str, cap: int = 6000) -> DataFrame:
     return _judged(quality.score(read_table(spark, sf_dir, "documents"), model), 5, 0, 0.3)
 
 
+def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = lattice_lm.score(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,10 +70,15 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.calibrate(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select("doc_id", F.col("__tokens").alias("n_tokens"), F.col("__p").alias("probability"), F.col("__kept").alias("kept"))
+
+
 def queries() -> dict:
-    found = [op1_toxicity, op2_langid, op4_near_dedup, op5_quality, op7_token_store, op8_fingerprints, op9_decontam]
+    found = [op1_toxicity, op2_langid, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_lattice_lm, op7_token_store, op8_fingerprints, op9_decontam, op10_mixing]
     return {f.__name__: functools.partial(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
