@@ -136,7 +136,7 @@ def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(edges, p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("root")))
 
 
-@query("""WITH RECURSIVE t(node, level) AS (SELECT p_partkey, CAST(floor(log2(p_partkey)) AS INT) FROM part) SELECT node, level FROM t""")
+@query("SELECT p_partkey AS node, CASE WHEN p_partkey < 1 THEN 0 ELSE CAST(floor(log2(p_partkey)) AS INT) END AS level FROM part")
 def q_topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
     edges = p.select(F.col("p_partkey").alias("node"), F.expr("p_partkey div 2").alias("dep")).filter("dep > 0")
@@ -279,9 +279,9 @@ def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridges.channel_bridge(send, recv).join(roots, "channel").select("send_id", "recv_id", "channel", "root")
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS id, arg_max(l_returnflag, l_linenumber * 10000000 + l_partkey) AS type, arg_max(l_linestatus, l_linenumber * 10000000 + l_partkey) AS html_path, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), ',') AS scripts FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS id, arg_max(l_returnflag, l_linenumber * 100000000000 + CAST(l_extendedprice * 100 AS BIGINT) * 100 + l_quantity) AS type, arg_max(l_linestatus, l_linenumber * 100000000000 + CAST(l_extendedprice * 100 AS BIGINT) * 100 + l_quantity) AS html_path, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), ',') AS scripts FROM lineitem GROUP BY l_orderkey""")
 def q_registry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("ord"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("html_path"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("script_paths"))
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), (F.col("l_linenumber") * 100_000_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long") * 100 + F.col("l_quantity")).alias("ord"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("html_path"), F.array(F.concat("l_returnflag", "l_linestatus")).alias("script_paths"))
     return report.merge_components(rows).select("id", "type", "html_path", F.array_join("script_paths", ",").alias("scripts"))
 
 
