@@ -1,4 +1,4 @@
-"""Toxicity: a linear classifier of words, regularised by counterfactual pairs.
+"""Toxicity: a linear classifier of words and word beginnings, regularised by counterfactual pairs.
 
 In each training text that names a group, the group's term is swapped for the other terms of the list; the squared change of the logit is penalised. A group's mere mention so carries (almost) no weight, even where labels are skewed against it.
 
@@ -28,14 +28,27 @@ IDENTITY_TERMS = (
 RESULT = "doc_id long, score double"
 
 
+#: Lengths (bytes) of the word beginnings that are features beside whole words, so that a stem is known by whatever ending.
+STEMS = (3, 4, 5, 6, 7)
+
+
+def features(text: bytes) -> set[bytes]:
+    """The distinct words of a text, and their beginnings, marked by `*`."""
+    words = set(alpha_words(text))
+    out = set(words)
+    for k in STEMS:
+        out.update([w[:k] + b"*" for w in words if len(w) >= k])
+    return out
+
+
 def _words(batches):
     for b in sub_batches(batches):
         labels, words = [], []
         for y, t in zip(b.column(1).to_pylist(), texts_of(b), strict=True):
-            seen = set(alpha_words(t))
+            seen = features(t)
             words.extend(seen)
             labels.extend([y] * len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(labels, pa.int32())], names=["word", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(labels, pa.int32())], names=["word", "label"])
 
 
 def _indices(vocab: dict[bytes, int], terms: dict[bytes, int]):
@@ -45,7 +58,7 @@ def _indices(vocab: dict[bytes, int], terms: dict[bytes, int]):
         for b in sub_batches(batches):
             idx, held = [], []
             for t in texts_of(b):
-                seen = set(alpha_words(t))
+                seen = features(t)
                 idx.append([vocab[w] for w in seen if w in vocab])
                 held.append([terms[w] for w in seen if w in terms])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32()))], names=["label", "idx", "terms"])
@@ -59,7 +72,7 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
     Words are chosen by chi-square of presence against the label; identity terms that occur are always among them."""
     labelled = labelled.filter(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"), "doc_id")
     stats = (
-        labelled.select("text", "label").mapInArrow(_words, "word string, label int")
+        labelled.select("text", "label").mapInArrow(_words, "word binary, label int")
         .groupBy("word").agg(F.sum(F.col("label").cast("long")).alias("a"), F.count("*").alias("n"))
     )
     n_pos, n_all = (labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first())
@@ -70,8 +83,8 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
     chi = (a - n * p) * (a - n * p) / (n * p * (1 - p))
     top = stats.filter(n >= 3).select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(max_features).collect()
     terms_here = list(identity_terms)
-    words = list(dict.fromkeys([r["word"] for r in top if r["chi"] > 10.0] + terms_here))
-    vocab = {w.encode(): k for k, w in enumerate(words)}
+    words = list(dict.fromkeys([bytes(r["word"]) for r in top if r["chi"] > 10.0] + [t.encode() for t in terms_here]))
+    vocab = {w: k for k, w in enumerate(words)}
     terms = {t.encode(): vocab[t.encode()] for t in terms_here}
     rows = labelled.select("text", "label").mapInArrow(_indices(vocab, terms), "label int, idx array<int>, terms array<int>").collect()
     y = np.array([r["label"] for r in rows], float)
@@ -105,7 +118,7 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
 def score_text(model: dict, text: bytes) -> float:
     get = model["weights"].get
     # sorted: the sum's order, and so its last digits, are the same on every machine
-    return float(sigmoid(model["bias"] + sum(sorted(x for x in map(get, set(alpha_words(text))) if x is not None))))
+    return float(sigmoid(model["bias"] + sum(sorted(x for x in map(get, features(text)) if x is not None))))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
