@@ -2,7 +2,7 @@
 
 1. Each text's set of word shingles gives K MinHash samples: bands of them propose candidates, and all of them, folded into a parity bitmap (an odd sketch), estimate the similarity of a candidate pair by the population count of the bitmaps' XOR.
 2. Texts with equal sets are one class; only one of them goes on.
-3. In each bucket (band, value), members are paired with one hub, not with each other. Pairs that the sketch finds likely are confirmed on the full sets, and the links make components. This is repeated with another hub. Then the pairs of a bucket that lie in different components are all considered: only these can still change a component. So no link between different components is lost, and a bucket whose members are alike costs as many pairs as it has members.
+3. In each bucket (band, value), members are paired with one hub, not with each other. Pairs that the sketch finds likely are confirmed on the full sets, and the links make components. This is repeated with another hub. Then the pairs of a bucket that lie in different components are considered: only these can still change a component. They are bounded by sizes, by the sketch, and by counts of shingles in hash classes, whose lesser ones add up to no less than the overlap. So no link between different components is lost, and a bucket whose members are alike costs as many pairs as it has members.
 4. Components are found by star contraction over written tables.
 
 A pair at the threshold of 0.85 misses all 32 bands of 4 rows with probability 5e-11 and is refused by the sketch with about 1e-8.
@@ -24,6 +24,7 @@ from .components import components
 BANDS, ROWS = 32, 4
 K = BANDS * ROWS
 SKETCH_BITS = 512
+CLASSES = 128
 #: Rows of ids (8 bytes each) that may be broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -135,6 +136,17 @@ def _sets(size: int):
     return run
 
 
+def _classes(size: int):
+    """Counts of shingles by hash class; null where they are too large for the type."""
+
+    def run(batches):
+        for b in sub_batches(batches):
+            counts = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) for s in shingle_sets(texts_of(b), size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.astype(np.int16) if c.max() < 1 << 15 else None for c in counts], pa.list_(pa.int16()))], names=["rep", "by_class"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
@@ -179,7 +191,7 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs that the full sets confirm, written."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         ids = scratch.save(ids, f"{name}-ids")
         wanted = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         sets = scratch.save(wanted.mapInArrow(_sets(size), "id long, s binary"), f"{name}-sets")
@@ -195,9 +207,15 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     placed = buckets.select("bucket", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
     open_rows = scratch.save(placed.join(mixed, "bucket").join(sketches, "rep"), "open")
-    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n_shingles", "odd"))) for s in "ab")
+    # Counts of shingles by hash class: the sum of the lesser counts of two texts is no less than their overlap.
+    ids = open_rows.select(F.col("rep").alias("doc_id")).distinct()
+    by_class = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_classes(size), "rep long, by_class array<short>")
+    open_rows = open_rows.join(scratch.save(by_class, "by_class"), "rep")
+    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n_shingles", "odd", "by_class"))) for s in "ab")
+    overlap = F.aggregate(F.zip_with("by_class_a", "by_class_b", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    enough = F.coalesce((100 + percent) * overlap >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b")), F.lit(True))
     bits = sum((F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    crossing = x.join(y, (x.bucket == y.bucket) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & (bits <= limit))
+    crossing = x.join(y, (x.bucket == y.bucket) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & (bits <= limit) & enough)
     rest = scratch.save(crossing.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(scratch.spark.read.parquet(scratch.path("hubs")), ["a", "b"], "left_anti"), "rest")
     more = confirmed(rest, "more")
     if more.head(1):
@@ -205,5 +223,5 @@ def groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     placed = reps.join(parts, reps.rep == parts.id, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    scratch.free("classes", "buckets", "sketches", "hubs", "open", "rest")
+    scratch.free("classes", "buckets", "sketches", "hubs", "open", "rest", "by_class")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
