@@ -103,42 +103,29 @@ class Anchors:
 
 
 def _pack(ids: np.ndarray, a: Anchors, take: np.ndarray, bucket: np.ndarray):
-    """A row for each bucket that has entries: names, contexts, ids and places, end to end."""
+    """A row for each bucket that has entries: names, contexts and ids, end to end."""
     order = take[np.argsort(bucket[take], kind="stable")]
     b = bucket[order]
     cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
     blobs = []
     for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
         o = order[s:e]
-        blobs.append(b"".join(x.tobytes() for x in (a.name[o], a.context[o], ids[a.doc[o]], (a.first[o] - a.starts[a.doc[o]]).astype(np.uint32))))
+        blobs.append(b"".join(x.tobytes() for x in (a.name[o], a.context[o], ids[a.doc[o]])))
     return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32) if len(b) else np.zeros(0, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
-_ENTRY = np.dtype([("name", np.uint64), ("context", np.uint64), ("id", np.int64), ("first", np.uint32)])
-
-
-def _unpack(blobs: list[bytes]) -> np.ndarray:
-    sizes = [len(b) // 28 for b in blobs]
-    out = np.empty(sum(sizes), _ENTRY)
-    at = 0
-    for b, n in zip(blobs, sizes, strict=True):
-        part = out[at : at + n]
-        part["name"], part["context"] = np.frombuffer(b, np.uint64, n), np.frombuffer(b, np.uint64, n, 8 * n)
-        part["id"], part["first"] = np.frombuffer(b, np.int64, n, 16 * n), np.frombuffer(b, np.uint32, n, 24 * n)
-        at += n
-    return out
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, contexts and ids."""
+    cut = lambda k, kind: np.concatenate([np.frombuffer(b, kind, len(b) // 24, k * (len(b) // 3)) for b in blobs])
+    return cut(0, np.uint64), cut(1, np.uint64), cut(2, np.int64)
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return b.column(0).to_numpy(zero_copy_only=False)
 
 
-def _settled(ids, a: Anchors, rows: np.ndarray) -> list:
-    return [pa.array(ids[a.doc[rows]]), pa.array((a.first[rows] - a.starts[a.doc[rows]]).astype(np.int64))]
-
-
 def _sample(n_buckets: int):
-    """Per chunk: its anchors by bucket, and what is covered by the chunk itself (bucket -1: ids and first windows)."""
+    """Per chunk: its anchors by bucket, a context once with the least document, and the contexts of the chunk's later documents, which are covered (bucket -1)."""
 
     def run(batches):
         for b in sub_batches(batches, limit=1 << 22):
@@ -149,48 +136,58 @@ def _sample(n_buckets: int):
             n, c, d = a.name[order], a.context[order], ids[a.doc[order]]
             new = np.append(True, (n[1:] != n[:-1]) | (c[1:] != c[:-1]))
             least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-            done = order[d > least]
+            done = d > least
+            done[1:] &= new[1:] | (d[1:] != d[:-1])  # once for each document
+            done = order[done]
             if len(done):
-                blob = b"".join(x.tobytes() for x in (ids[a.doc[done]], (a.first[done] - a.starts[a.doc[done]]).astype(np.uint32)))
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([ids[a.doc[done]].tobytes() + a.context[done].tobytes()], pa.binary())], names=["bucket", "blob"])
             yield _pack(ids, a, np.sort(order[new]), (a.name >> np.uint64(40)) % np.uint64(n_buckets))
 
     return run
 
 
-_DECIDED = "id long, first long, tie boolean"
+def _local(batches):
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            n = len(x) // 16
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, n)), pa.array(np.frombuffer(x, np.int64, n, 8 * n)), pa.array(np.zeros(n, bool))], names=["id", "context", "tie"])
+
+
+_DECIDED = "id long, context long, tie boolean"
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """One bucket: first windows of the contexts that an earlier document has, and of those that are tied."""
-    e = _unpack(table.column("blob").to_pylist())
-    e = e[np.lexsort((e["first"], e["id"], e["context"], e["name"]))]
-    n, c, d = e["name"], e["context"], e["id"]
-    new_name = np.append(True, n[1:] != n[:-1])[: len(e)]
-    new = new_name | np.append(True, c[1:] != c[:-1])[: len(e)]
+    """One bucket: the contexts that an earlier document has, and those that are tied."""
+    n, c, d = _unpack(table.column("blob").to_pylist())
+    order = np.lexsort((d, c, n))
+    n, c, d = n[order], c[order], d[order]
+    new_name = np.append(True, n[1:] != n[:-1])[: len(n)]
+    new = new_name | np.append(True, c[1:] != c[:-1])[: len(n)]
     least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
     covered = d > least
     # A name is tied if more than one context and more than one document have it.
-    of = np.cumsum(new_name) - 1
     at = np.flatnonzero(new_name)
-    contexts = np.add.reduceat(new.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    lo, hi = (f.reduceat(d, at) if len(at) else d for f in (np.minimum, np.maximum))
-    tied = ((contexts > 1) & (lo < hi))[of] & new
+    tied = (np.add.reduceat(new.astype(np.int64), at) > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
+    tied = tied[np.cumsum(new_name) - 1] & new
     keep = np.flatnonzero(covered | tied)
-    return pa.table([pa.array(d[keep]), pa.array(e["first"][keep].astype(np.int64)), pa.array(tied[keep] & ~covered[keep])], names=["id", "first", "tie"])
+    return pa.table([pa.array(d[keep]), pa.array(c[keep].view(np.int64)), pa.array(tied[keep] & ~covered[keep])], names=["id", "context", "tie"])
 
 
 def _contexts(batches):
-    """The asked-for contexts (by first windows) of texts."""
+    """The asked-for contexts of texts, each once for a text."""
     for b in sub_batches(batches):
         ids, a, asked = _ids(b), Anchors(texts_of(b)), b.column(2).to_pylist()
-        where = {(d, f): k for k, (d, f) in enumerate(zip(a.doc.tolist(), (a.first - a.starts[a.doc]).tolist(), strict=True))}
-        rows = np.array([where[(d, f)] for d, fs in enumerate(asked) for f in set(fs) if (d, f) in where], np.int64)
-        raw = a.raw.tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(a.name[rows].view(np.int64)), *_settled(ids, a, rows), pa.array((a.at[rows] - a.first[rows]).astype(np.int32)), pa.array((a.last[rows] - a.first[rows] + 1).astype(np.int32)), pa.array([raw[a.first[r] : a.last[r] + LENGTH] for r in rows.tolist()], pa.binary())], names=["name", "id", "first", "shift", "n", "s"])
+        seen: set[tuple[int, int]] = set()
+        wanted, rows = [set(x) for x in asked], []
+        for r, key in enumerate(zip(a.doc.tolist(), a.context.view(np.int64).tolist(), strict=True)):
+            if key[1] in wanted[key[0]] and key not in seen:
+                seen.add(key)
+                rows.append(r)
+        rows, raw = np.array(rows, np.int64), a.raw.tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(a.name[rows].view(np.int64)), pa.array(ids[a.doc[rows]]), pa.array(a.context[rows].view(np.int64)), pa.array((a.at[rows] - a.first[rows]).astype(np.int32)), pa.array((a.last[rows] - a.first[rows] + 1).astype(np.int32)), pa.array([raw[a.first[r] : a.last[r] + LENGTH] for r in rows.tolist()], pa.binary())], names=["name", "id", "context", "shift", "n", "s"])
 
 
-_CONTEXT = "name long, id long, first long, shift int, n int, s binary"
+_CONTEXT = "name long, id long, context long, shift int, n int, s binary"
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -240,10 +237,10 @@ def _ties(batches):
     held: list[pa.RecordBatch] = []
 
     def flush(t: pa.Table):
-        c = {k: t.column(k).to_numpy() for k in ("name", "id", "first", "shift", "n")}
+        c = {k: t.column(k).to_numpy() for k in ("name", "id", "context", "shift", "n")}
         bits = resolve(c["name"], c["id"], c["shift"].astype(np.int64), c["n"].astype(np.int64), t.column("s").to_pylist())
         k = np.flatnonzero(bits)
-        return pa.RecordBatch.from_arrays([pa.array(c["id"][k]), pa.array(c["first"][k]), pa.array(bits[k])], names=["id", "first", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(c["id"][k]), pa.array(c["context"][k]), pa.array(bits[k])], names=["id", "context", "bits"])
 
     size = 0
     for b in batches:
@@ -263,45 +260,48 @@ def _ties(batches):
 def _windows(batches):
     """Every window of contexts by a 128-bit hash."""
     for b in batches:
-        ids, firsts, hashes, offsets = [], [], [], []
-        for i, f, n, s in zip(*(b.column(k).to_pylist() for k in ("id", "first", "n", "s")), strict=True):
+        ids, contexts, hashes, offsets = [], [], [], []
+        for i, c, n, s in zip(*(b.column(k).to_pylist() for k in ("id", "context", "n", "s")), strict=True):
             for w in range(n):
-                ids.append(i), firsts.append(f), offsets.append(w), hashes.append(hashlib.blake2b(s[w : w + LENGTH], digest_size=16).digest())
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(offsets, pa.int32())], names=["w", "id", "first", "o"])
+                ids.append(i), contexts.append(c), offsets.append(w), hashes.append(hashlib.blake2b(s[w : w + LENGTH], digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(ids, pa.int64()), pa.array(contexts, pa.int64()), pa.array(offsets, pa.int32())], names=["w", "id", "context", "o"])
+
+
+_ALL = -1
 
 
 def _cut(with_text: bool):
+    """Takes out what is covered: a decision about a context holds wherever the text has it."""
+
     def run(batches):
         for b in sub_batches(batches):
-            texts = texts_of(b)
-            full, part = b.column(2).to_pylist(), b.column(3).to_pylist()
+            texts, full, part = texts_of(b), b.column(2).to_pylist(), b.column(3).to_pylist()
             rows = [i for i in range(b.num_rows) if full[i] or part[i]]
-            lasts: dict[tuple[int, int], int] = {}
-            if any(full[i] for i in rows):
+            gone: dict[int, np.ndarray] = {}
+            if rows:
                 a = Anchors([texts[i] for i in rows])
-                lasts = dict(zip(zip(a.doc.tolist(), (a.first - a.starts[a.doc]).tolist(), strict=True), (a.last - a.starts[a.doc]).tolist(), strict=True))
-            place = {i: k for k, i in enumerate(rows)}
-            n, removed, spans, kept = [], [], [], []
+                step = np.zeros(len(a.raw) + 1, np.int32)
+                bits = [dict.fromkeys(full[i] or (), _ALL) | {x["context"]: x["bits"] for x in part[i] or () if x["context"] not in (full[i] or ())} for i in rows]
+                for d, c, f, e in zip(a.doc.tolist(), a.context.view(np.int64).tolist(), a.first.tolist(), a.last.tolist(), strict=True):
+                    k = bits[d].get(c, 0)
+                    if k == _ALL:
+                        step[f] += 1
+                        step[e + LENGTH] -= 1
+                    elif k:
+                        for w in range(e - f + 1):
+                            if k >> w & 1:
+                                step[f + w] += 1
+                                step[f + w + LENGTH] -= 1
+                covered = np.cumsum(step[:-1]) > 0
+                gone = {i: covered[s : s + n] for i, s, n in zip(rows, a.starts.tolist(), a.sizes.tolist(), strict=True)}
+            removed, spans, kept = [], [], []
             for i, t in enumerate(texts):
-                n.append(len(t))
-                if i not in place:
-                    removed.append(0), spans.append(0), kept.append(t)
-                    continue
-                step = np.zeros(len(t) + 1, np.int32)
-                for f in set(full[i] or ()):
-                    step[f] += 1
-                    step[lasts[(place[i], f)] + LENGTH] -= 1
-                for x in part[i] or ():
-                    for w in range(W):
-                        if x["bits"] >> w & 1:
-                            step[x["first"] + w] += 1
-                            step[x["first"] + w + LENGTH] -= 1
-                gone = np.cumsum(step[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(int((np.diff(np.append(0, gone.astype(np.int8))) == 1).sum()))
-                kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
+                g = gone.get(i)
+                removed.append(0 if g is None else int(g.sum()))
+                spans.append(0 if g is None else int((np.diff(np.append(0, g.astype(np.int8))) == 1).sum()))
+                kept.append(t if g is None else np.frombuffer(t, np.uint8)[~g].tobytes())
             ids = [None if d == _LEAST else d for d in b.column(0).to_pylist()]
-            cols = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            cols = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if with_text:
                 cols.append(pa.array(kept, pa.binary()))
@@ -318,29 +318,23 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     entries = scratch.save(texts.mapInArrow(_sample(n_buckets), "bucket int, blob binary"), "entries", compression="none")
-    local = entries.filter("bucket = -1").select("blob").mapInArrow(_local, "id long, first long, tie boolean")
+    local = entries.filter("bucket = -1").select("blob").mapInArrow(_local, _DECIDED)
     decided = scratch.save(entries.filter("bucket >= 0").groupBy("bucket").applyInArrow(_decide, _DECIDED).unionByName(local), "decided")
     scratch.free("entries")
-    asked = decided.filter("tie").groupBy("id").agg(F.collect_set("first").alias("asked"))
+    asked = decided.filter("tie").groupBy("id").agg(F.collect_set("context").alias("asked"))
     contexts = scratch.save(texts.join(asked, "id").mapInArrow(_contexts, _CONTEXT), "contexts")
     hot = [r["name"] for r in contexts.groupBy("name").count().filter(F.col("count") > HOT).select("name").collect()]  # fewer than contexts / HOT
     is_hot = F.col("name").isin(hot) if hot else F.lit(False)
-    parts = contexts.filter(~is_hot).repartition("name").sortWithinPartitions("name").mapInArrow(_ties, "id long, first long, bits long")
+    parts = contexts.filter(~is_hot).repartition("name").sortWithinPartitions("name").mapInArrow(_ties, "id long, context long, bits long")
     if hot:
-        windows = scratch.save(contexts.filter(is_hot).mapInArrow(_windows, "w binary, id long, first long, o int"), "windows")
+        windows = scratch.save(contexts.filter(is_hot).mapInArrow(_windows, "w binary, id long, context long, o int"), "windows")
         least = windows.groupBy("w").agg(F.min("id").alias("least"))
-        found = windows.join(least, "w").filter(F.col("id") > F.col("least")).groupBy("id", "first").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
+        found = windows.join(least, "w").filter(F.col("id") > F.col("least")).groupBy("id", "context").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
         parts = parts.unionByName(found)
     parts = scratch.save(parts, "parts")
     scratch.free("contexts", "windows")
-    full = decided.filter("not tie").select("id", "first", F.lit(None).cast("long").alias("bits"))
-    by_doc = full.unionByName(parts).groupBy("id").agg(F.collect_list(F.when(F.col("bits").isNull(), F.col("first"))).alias("full"), F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("first", "bits"))).alias("part"))
+    full = decided.filter("not tie").select("id", "context", F.lit(None).cast("long").alias("bits"))
+    by_doc = full.unionByName(parts).groupBy("id").agg(F.collect_set(F.when(F.col("bits").isNull(), F.col("context"))).alias("full"), F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("context", "bits"))).alias("part"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.join(by_doc, "id", "left").select("id", "text", "full", "part").mapInArrow(_cut(with_text), out)
 
-
-def _local(batches):
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            n = len(x) // 12
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, n)), pa.array(np.frombuffer(x, np.uint32, n, 8 * n).astype(np.int64)), pa.array(np.zeros(n, bool))], names=["id", "first", "tie"])
