@@ -32,33 +32,38 @@ RESULT = "doc_id long, score double"
 STEMS = (3, 4, 5, 6, 7)
 
 
-def features(text: bytes) -> set[bytes]:
-    """The distinct words of a text, and their beginnings, marked by `*`."""
+def features(text: bytes, terms=frozenset()) -> set[bytes]:
+    """The distinct words of a text, and their beginnings, marked by `*`. Identity terms have no beginnings: a swap changes all that they are."""
     words = set(alpha_words(text))
     out = set(words)
+    words -= terms
     for k in STEMS:
         out.update([w[:k] + b"*" for w in words if len(w) >= k])
     return out
 
 
-def _words(batches):
-    for b in sub_batches(batches):
-        labels, words = [], []
-        for y, t in zip(b.column(1).to_pylist(), texts_of(b), strict=True):
-            seen = features(t)
-            words.extend(seen)
-            labels.extend([y] * len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(labels, pa.int32())], names=["word", "label"])
+def _words(terms: frozenset[bytes]):
+    def run(batches):
+        for b in sub_batches(batches):
+            labels, words = [], []
+            for y, t in zip(b.column(1).to_pylist(), texts_of(b), strict=True):
+                seen = features(t, terms)
+                words.extend(seen)
+                labels.extend([y] * len(seen))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(labels, pa.int32())], names=["word", "label"])
+
+    return run
 
 
 def _indices(vocab: dict[bytes, int], terms: dict[bytes, int]):
     """Per text: label, the vocabulary's words in it, and those of them that are identity terms."""
+    plain = frozenset(terms)
 
     def run(batches):
         for b in sub_batches(batches):
             idx, held = [], []
             for t in texts_of(b):
-                seen = features(t)
+                seen = features(t, plain)
                 idx.append([vocab[w] for w in seen if w in vocab])
                 held.append([terms[w] for w in seen if w in terms])
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32()))], names=["label", "idx", "terms"])
@@ -72,13 +77,13 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
     Words are chosen by chi-square of presence against the label; identity terms that occur are always among them."""
     labelled = labelled.filter(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"), "doc_id")
     stats = (
-        labelled.select("text", "label").mapInArrow(_words, "word binary, label int")
+        labelled.select("text", "label").mapInArrow(_words(frozenset(t.encode() for t in identity_terms)), "word binary, label int")
         .groupBy("word").agg(F.sum(F.col("label").cast("long")).alias("a"), F.count("*").alias("n"))
     )
     n_pos, n_all = (labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first())
     if not n_all or n_pos in (0, n_all):
         rate = float(n_pos) / n_all if n_all else 0.0
-        return {"weights": {}, "bias": float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))}
+        return {"weights": {}, "terms": frozenset(), "bias": float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))}
     a, n, p = F.col("a"), F.col("n"), n_pos / n_all
     chi = (a - n * p) * (a - n * p) / (n * p * (1 - p))
     top = stats.filter(n >= 3).select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(max_features).collect()
@@ -112,13 +117,13 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
     w0 = np.zeros(d + 1)
     w0[d] = np.log(p / (1 - p))
     w = adam(grad, w0, steps, 0.15)
-    return {"weights": {x: float(w[k]) for x, k in vocab.items() if abs(w[k]) > 1e-6}, "bias": float(w[d])}
+    return {"weights": {x: float(w[k]) for x, k in vocab.items() if abs(w[k]) > 1e-6}, "bias": float(w[d]), "terms": frozenset(terms)}
 
 
 def score_text(model: dict, text: bytes) -> float:
     get = model["weights"].get
     # sorted: the sum's order, and so its last digits, are the same on every machine
-    return float(sigmoid(model["bias"] + sum(sorted(x for x in map(get, features(text)) if x is not None))))
+    return float(sigmoid(model["bias"] + sum(sorted(x for x in map(get, features(text, model["terms"])) if x is not None))))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
