@@ -164,6 +164,8 @@ class Coder:
             out[a:b] = s
             y = self.f[s] * (y >> self.scale) + slot - self.c[s]
             low = np.flatnonzero(y < _LOW)
+            if at + len(low) > len(wide):
+                raise ValueError("a block ends too soon; its checksum can't match")
             y[low] = (y[low] << np.uint64(32)) | wide[at : at + len(low)]
             at += len(low)
             x[: b - a] = y
