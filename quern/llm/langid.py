@@ -73,7 +73,7 @@ def _svm(x: np.ndarray, sign: np.ndarray, l2: float = 1e-4, steps: int = 200) ->
     return adam(lambda w: grad(w), np.zeros(x.shape[1] + 1), steps, 0.1).astype(np.float64)
 
 
-def fit(rows: DataFrame, cap: int = 1500, families: dict[str, list[str]] = FAMILIES, near: float = 0.8) -> dict:
+def fit(rows: DataFrame, cap: int = 800, families: dict[str, list[str]] = FAMILIES, near: float = 0.8) -> dict:
     """Learns from (text, lang), a sample that the caller bounds to about `cap` rows of each language."""
     got = rows.filter(F.col("lang").isNotNull()).select("text", "lang").mapInArrow(_profiles, "lang string, p binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["p"])))
@@ -82,6 +82,7 @@ def fit(rows: DataFrame, cap: int = 1500, families: dict[str, list[str]] = FAMIL
         return {"families": {}}
     x = np.stack([np.frombuffer(r["p"], np.float32) for r in got])
     y = np.array([langs.index(r["lang"]) for r in got])
+    del got
     means = {g: x[y == k].mean(0) for k, g in enumerate(langs)}
     known = {g: f for f, names in families.items() for g in names}
     groups: dict[str, list[str]] = {}

@@ -26,7 +26,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str, cap: int = 6000) -> DataFrame
     return _judged(toxicity.score(read_table(spark, sf_dir, "documents"), model), 5, 0, 0.5)
 
 
-def op2_langid(spark: SparkSession, sf_dir: str, cap: int = 1500) -> DataFrame:
+def op2_langid(spark: SparkSession, sf_dir: str, cap: int = 800) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
     out = langid.identify(docs, langid.fit(stratified(known, "lang", "doc_id", cap, "lang")))
