@@ -64,9 +64,9 @@ def _indices(vocab: dict[bytes, int], terms: dict[bytes, int]):
             idx, held = [], []
             for t in texts_of(b):
                 seen = features(t, plain)
-                idx.append([vocab[w] for w in seen if w in vocab])
-                held.append([terms[w] for w in seen if w in terms])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(idx, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32()))], names=["label", "idx", "terms"])
+                idx.append(np.array(sorted(vocab[w] for w in seen if w in vocab), np.int32).tobytes())
+                held.append(np.array(sorted(terms[w] for w in seen if w in terms), np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(idx, pa.binary()), pa.array(held, pa.binary())], names=["label", "idx", "terms"])
 
     return run
 
@@ -91,13 +91,13 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
     words = list(dict.fromkeys([bytes(r["word"]) for r in top if r["chi"] > 10.0] + [t.encode() for t in terms_here]))
     vocab = {w: k for k, w in enumerate(words)}
     terms = {t.encode(): vocab[t.encode()] for t in terms_here}
-    rows = labelled.select("text", "label").mapInArrow(_indices(vocab, terms), "label int, idx array<int>, terms array<int>").collect()
+    rows = labelled.select("text", "label").mapInArrow(_indices(vocab, terms), "label int, idx binary, terms binary").collect()
     y = np.array([r["label"] for r in rows], float)
-    lens = np.array([len(r["idx"]) for r in rows])
-    cols, owner = np.array([i for r in rows for i in r["idx"]], np.int64), np.repeat(np.arange(len(rows)), lens)
+    lens = np.array([len(r["idx"]) // 4 for r in rows])
+    cols, owner = np.frombuffer(b"".join(r["idx"] for r in rows), np.int32), np.repeat(np.arange(len(rows)), lens)
     # A swap of term s for t changes the logit by w[t] - w[s]: the pairs' penalty is a quadratic form of the terms' weights.
     all_terms = np.array(sorted(terms.values()))
-    named = np.bincount([i for r in rows for i in r["terms"]], minlength=len(words)).astype(float)
+    named = np.bincount(np.frombuffer(b"".join(r["terms"] for r in rows), np.int32), minlength=len(words)).astype(float)
     d = len(words)
 
     def grad(w):
