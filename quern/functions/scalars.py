@@ -145,3 +145,19 @@ def truth_not(a: Column) -> Column:
 
 def truth_label(a: Column) -> Column:
     return F.when(a.isNull(), "UNKNOWN").when(a, "TRUE").otherwise("FALSE")
+
+
+def url_with_query(base: str, **parameters: Column) -> Column:
+    """A base address with encoded parameters, in the order given."""
+    parts = [F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in parameters.items()]
+    return F.concat(F.lit(base), F.lit("?" if parts else ""), *(x for k, p in enumerate(parts) for x in ([F.lit("&")] if k else []) + [p]))
+
+
+def value_at(json: Column, path: str) -> Column:
+    """The value at a dotted path of JSON text; array places are numbers."""
+    steps = "".join(f"[{x}]" if x.isdigit() else f".{x}" for x in path.split("."))
+    return F.get_json_object(json, f"${steps}")
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    return (end.cast("double") - start.cast("double")).cast("double")

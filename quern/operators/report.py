@@ -65,3 +65,25 @@ def html_rows(flows: DataFrame, columns: list[str]) -> DataFrame:
     """A table row of escaped cells for each flow; a page of them needs no outside file."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     return flows.select(F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in columns), F.lit("</tr>")).alias("row"))
+
+
+def worst_first(covered: DataFrame, key: str) -> DataFrame:
+    """Rows of `coverage` by key, the least share first, with the share as text."""
+    from ..functions.scalars import percent
+
+    return covered.filter(F.col(key).isNotNull()).withColumn("percent", percent(F.col("share"))).orderBy("share", key)
+
+
+def text_report(flows: DataFrame) -> DataFrame:
+    """flows (flow_type, source_type, sink_type, source_file, sink_file, severity): a line for each flow, and one for each type with its number, in order of type and line number."""
+    w = Window.partitionBy("flow_type").orderBy("source_file", "sink_file", "source_type", "sink_type")
+    line = F.format_string("  %s -> %s  [%s]  %s => %s", "source_type", "sink_type", "severity", "source_file", "sink_file")
+    rows = flows.select("flow_type", F.row_number().over(w).alias("no"), line.alias("line"))
+    heads = flow_counts(flows).select("flow_type", F.lit(0).alias("no"), F.format_string("%s (%d)", "flow_type", "n").alias("line"))
+    return heads.unionByName(rows)
+
+
+def same_files(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left and right (path, content): the files that only one side has, by path and SHA-256; empty if both are the same."""
+    a, b = (d.select("path", F.sha2("content", 256).alias("sha256")) for d in (left, right))
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))

@@ -4,6 +4,7 @@ A rule has four lists (source and sink capabilities, source and sink types); eac
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,12 @@ def rules_frame(spark: SparkSession, rule_sets: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame(rule_rows(rule_sets), SCHEMA)
 
 
+def load(spark: SparkSession, path: str) -> list[dict]:
+    """The rule sets of a path's JSON files, in order of their names; an empty file is an empty set. Rule files are settings, so they are read whole; code isn't run from them."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").orderBy("file").collect()
+    return [json.loads(r["value"]) if r["value"].strip() else {"version": 1, "rules": []} for r in files]
+
+
 #: The default rules, as capability pairs and the flow they make.
 DEFAULT_PAIRS = """
 ATTACKER_INPUT PRIVILEGED_OPERATION PRIVILEGE_ESCALATION

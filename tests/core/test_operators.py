@@ -160,3 +160,22 @@ def test_reports(spark):
 def test_text_functions(spark):
     r = spark.range(1).select(S.event_names(F.lit(" Click.ns  keyup click")).alias("e"), S.percent(F.lit(0.125)).alias("p"), S.script_key(F.lit("a/b.js")).alias("k"), S.pad_right(F.lit("abc"), 2).alias("w"), S.is_gecko_id(F.lit("a@b.c")).alias("g"), S.is_version(F.lit("1.2.x")).alias("v")).first()
     assert (r["e"], r["p"], r["k"], r["w"], r["g"], r["v"]) == (["click", "keyup"], "12.5%", "a/b", "abc", True, False)
+
+
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"version": 1, "rules": [{"id": "x", "flowType": "F", "match": {"sinkType": "EV*"}}]}')
+    (tmp_path / "b.json").write_text(" ")
+    sets = rules.load(spark, str(tmp_path))
+    assert _flow_types(spark, "NO_SUCH", "EVAL", sets) == ["F"] and sets[1]["rules"] == []
+
+
+def test_report_texts(spark):
+    flows = spark.createDataFrame([("F", "S", "T", "a.js", "b.js", "HIGH"), ("F", "S", "T", "a.js", "a.js", "LOW")], "flow_type string, source_type string, sink_type string, source_file string, sink_file string, severity string")
+    lines = [r["line"] for r in report.text_report(flows).orderBy("flow_type", "no").collect()]
+    assert lines == ["F (2)", "  S -> T  [LOW]  a.js => a.js", "  S -> T  [HIGH]  a.js => b.js"]
+    a, b = spark.createDataFrame([("x", "1"), ("y", "2")], "path string, content string"), spark.createDataFrame([("x", "1"), ("y", "3")], "path string, content string")
+    assert sorted(r["side"] for r in report.same_files(a, b).collect()) == ["left", "right"] and report.same_files(a, a).count() == 0
+    cov = report.coverage(spark.createDataFrame([("a", True), ("a", False), ("b", False)], "k string, hit boolean"), "k", "hit")
+    assert [(r["k"], r["percent"]) for r in report.worst_first(cov, "k").collect()] == [("b", "0.0%"), ("a", "50.0%")]
+    r = spark.range(1).select(S.url_with_query("https://h/p", id=F.lit("a b"), v=F.lit("1")).alias("u"), S.value_at(F.lit('{"a": {"b": [1, {"c": "z"}]}}'), "a.b.1.c").alias("v")).first()
+    assert (r["u"], r["v"]) == ("https://h/p?id=a+b&v=1", "z")
