@@ -13,7 +13,9 @@ Edge cases: null is empty; texts under `length` bytes keep everything; repeated
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, sub_batches, texts_of
 
-LENGTH, K = 50, 28
+LENGTH, K = 50, 20
 W = LENGTH - K + 1
 HOT = 5_000
 #: Contexts of a block of tied anchors.
@@ -99,25 +101,40 @@ class Anchors:
         self.name = name[self.at]
         end = self.last + LENGTH
         shape = (self.at - self.first).astype(np.uint64) * np.uint64(1 << 20) + (self.last - self.first).astype(np.uint64)
-        self.context = _mix((total[end] - total[self.first]) * down[self.first] + _mix(shape))
+        self.context = _mix((total[end] - total[self.first]) * down[self.first] + _mix(shape)) >> np.uint64(8)
+
+
+def _thin(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of each number."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return out.view(np.uint64).ravel()
+
+
+def _blob(name: np.ndarray, context: np.ndarray, ids: np.ndarray) -> bytes:
+    """6 bytes of each name (the bucket holds more of it), 7 of each context, and the ids by differences; ids are mostly in order."""
+    return len(name).to_bytes(4, "little") + _thin(name, 6) + _thin(context, 7) + zlib.compress(np.diff(ids, prepend=np.int64(0)).tobytes(), 1)
 
 
 def _pack(ids: np.ndarray, a: Anchors, take: np.ndarray, bucket: np.ndarray):
-    """A row for each bucket that has entries: names, contexts and ids, end to end."""
+    """A row for each bucket that has entries."""
     order = take[np.argsort(bucket[take], kind="stable")]
     b = bucket[order]
     cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
-    blobs = []
-    for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True):
-        o = order[s:e]
-        blobs.append(b"".join(x.tobytes() for x in (a.name[o], a.context[o], ids[a.doc[o]])))
-    return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int32) if len(b) else np.zeros(0, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+    blobs = [_blob(a.name[o], a.context[o], ids[a.doc[o]]) for o in (order[s:e] for s, e in zip(cuts, [*cuts[1:], len(b)], strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(b[cuts].astype(np.int64) if len(b) else np.zeros(0, np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Names, contexts and ids."""
-    cut = lambda k, kind: np.concatenate([np.frombuffer(b, kind, len(b) // 24, k * (len(b) // 3)) for b in blobs])
-    return cut(0, np.uint64), cut(1, np.uint64), cut(2, np.int64)
+    sizes = [int.from_bytes(b[:4], "little") for b in blobs]
+    names = _wide(b"".join(b[4 : 4 + 6 * n] for b, n in zip(blobs, sizes, strict=True)), 6)
+    contexts = _wide(b"".join(b[4 + 6 * n : 4 + 13 * n] for b, n in zip(blobs, sizes, strict=True)), 7)
+    return names, contexts, np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(b[4 + 13 * n :]), np.int64)) for b, n in zip(blobs, sizes, strict=True)])
 
 
 def _ids(b: pa.RecordBatch) -> np.ndarray:
@@ -125,10 +142,10 @@ def _ids(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _sample(n_buckets: int):
-    """Per chunk: its anchors by bucket, a context once with the least document, and the contexts of the chunk's later documents, which are covered (bucket -1)."""
+    """Per chunk: its anchors by bucket, a context once with the least document, and the contexts of the chunk's later documents, which are covered (a negative bucket)."""
 
     def run(batches):
-        for b in sub_batches(batches, limit=1 << 22):
+        for b in sub_batches(batches, limit=1 << 21):
             ids, a = _ids(b), Anchors(texts_of(b))
             if not len(a.at):
                 continue
@@ -139,26 +156,23 @@ def _sample(n_buckets: int):
             done = d > least
             done[1:] &= new[1:] | (d[1:] != d[:-1])  # once for each document
             done = order[done]
-            if len(done):
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([ids[a.doc[done]].tobytes() + a.context[done].tobytes()], pa.binary())], names=["bucket", "blob"])
+            if len(done):  # a bucket of its own: nothing is left to decide there
+                done = np.sort(done)
+                own = -1 - int(_mix(ids[a.doc[done[:1]]].view(np.uint64))[0] >> np.uint64(2))
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([_blob(a.name[done], a.context[done], ids[a.doc[done]])], pa.binary())], names=["bucket", "blob"])
             yield _pack(ids, a, np.sort(order[new]), (a.name >> np.uint64(40)) % np.uint64(n_buckets))
 
     return run
 
 
-def _local(batches):
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            n = len(x) // 16
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64, n)), pa.array(np.frombuffer(x, np.int64, n, 8 * n)), pa.array(np.zeros(n, bool))], names=["id", "context", "tie"])
-
-
 _DECIDED = "id long, context long, tie boolean"
 
 
 def _decide(table: pa.Table) -> pa.Table:
-    """One bucket: the contexts that an earlier document has, and those that are tied."""
+    """One bucket: the contexts that an earlier document has, and those that are tied. Negative buckets were decided where they were made."""
     n, c, d = _unpack(table.column("blob").to_pylist())
+    if table.column("bucket")[0].as_py() < 0:
+        return pa.table([pa.array(d), pa.array(c.view(np.int64)), pa.array(np.zeros(len(d), bool))], names=["id", "context", "tie"])
     order = np.lexsort((d, c, n))
     n, c, d = n[order], c[order], d[order]
     new_name = np.append(True, n[1:] != n[:-1])[: len(n)]
@@ -311,18 +325,24 @@ def _cut(with_text: bool):
     return run
 
 
+def _forget(spark) -> None:
+    """Has the driver notice that the last job's shuffle files are no longer wanted, so that disks needn't hold those of all phases at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, if wanted)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    entries = scratch.save(texts.mapInArrow(_sample(n_buckets), "bucket int, blob binary"), "entries", compression="none")
-    local = entries.filter("bucket = -1").select("blob").mapInArrow(_local, _DECIDED)
-    decided = scratch.save(entries.filter("bucket >= 0").groupBy("bucket").applyInArrow(_decide, _DECIDED).unionByName(local), "decided")
-    scratch.free("entries")
+    entries = texts.mapInArrow(_sample(n_buckets), "bucket long, blob binary")
+    decided = scratch.save(entries.groupBy("bucket").applyInArrow(_decide, _DECIDED), "decided")
+    _forget(spark)
     asked = decided.filter("tie").groupBy("id").agg(F.collect_set("context").alias("asked"))
     contexts = scratch.save(texts.join(asked, "id").mapInArrow(_contexts, _CONTEXT), "contexts")
+    _forget(spark)
     hot = [r["name"] for r in contexts.groupBy("name").count().filter(F.col("count") > HOT).select("name").collect()]  # fewer than contexts / HOT
     is_hot = F.col("name").isin(hot) if hot else F.lit(False)
     parts = contexts.filter(~is_hot).repartition("name").sortWithinPartitions("name").mapInArrow(_ties, "id long, context long, bits long")
@@ -333,6 +353,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         parts = parts.unionByName(found)
     parts = scratch.save(parts, "parts")
     scratch.free("contexts", "windows")
+    _forget(spark)
     full = decided.filter("not tie").select("id", "context", F.lit(None).cast("long").alias("bits"))
     by_doc = full.unionByName(parts).groupBy("id").agg(F.collect_set(F.when(F.col("bits").isNull(), F.col("context"))).alias("full"), F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("context", "bits"))).alias("part"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
