@@ -53,7 +53,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder(dict):
     """Ids of texts, as bytes of little-endian 16-bit numbers.
 
-    Byte-level BPE first splits a text by its pattern and then encodes each piece apart, so pieces can be remembered. The library's model encodes what isn't remembered. The memory has two generations of `keep` pieces."""
+    The file's added tokens are cut out first, the longest at a place. Byte-level BPE then splits what is between them by its pattern and encodes each piece apart, so pieces can be remembered. The library's model encodes what isn't remembered. The memory has two generations of `keep` pieces. If an added token has rules of its own (whitespace beside it, whole words, normalised text), texts that hold one are left to the library."""
 
     def __init__(self, path: str, keep: int = 300_000):
         super().__init__()
@@ -62,6 +62,11 @@ class Encoder(dict):
         t = Tokenizer.from_file(path)
         self._letters, self._model, self._old, self._keep = byte_letters(), t.model, {}, keep
         self._split = regex.compile(PATTERN).findall
+        added = t.get_added_tokens_decoder()
+        self._added = {x.content: array("H", [i]).tobytes() for i, x in added.items()}
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
+        ruled = any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added.values())
+        self._library = t if ruled else None
         if t.get_vocab_size() > 1 << 16 or sys.byteorder != "little":
             raise ValueError("ids must fit 16 bits, on a little-endian machine")
 
@@ -77,6 +82,13 @@ class Encoder(dict):
         return got
 
     def encode(self, text: str) -> bytes:
+        if not any(x in text for x in self._added):
+            return self._between(text)
+        if self._library is not None:
+            return array("H", self._library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._added[x] if k % 2 else self._between(x) for k, x in enumerate(self._cut(text))])
+
+    def _between(self, text: str) -> bytes:
         return b"".join([self[x] for x in (self._split if _OUTSIDE(text) else _LATIN)(text)])
 
 

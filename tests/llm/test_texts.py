@@ -192,6 +192,18 @@ def test_token_store(spark, odd, odd_rows, nothing):
     assert token_store.read(spark, f"{path}-none").count() == 0
 
 
+def test_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t, end = Tokenizer.from_file(BPE), "<|endoftext|>"
+    texts = [end, f"a {end} b", f"one{end}{end}two\n {end}", f"  {end}  it's 12 <|endoftext {end}|>", f"é ß{end}日本 \x1c x", "no such token"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = Scratch(spark, "added").root
+    token_store.store(docs, BPE, path)
+    got = token_store.read(spark, path, with_ids=True).orderBy("start").collect()
+    assert [r["ids"] for r in got] == [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts] and 50256 in got[1]["ids"]
+
+
 def test_coder_from_checkpoints():
     rng = np.random.default_rng(4)
     ids = (rng.zipf(1.3, 400_000) % 50_000).astype(np.uint16)
