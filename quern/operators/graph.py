@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +18,20 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+def rounds(most: int | None) -> Iterator[int]:
+    """1, 2, ...: the rounds of a fixpoint, which ends by itself when a round finds no new row. With a bound, an error where rows are still found beyond it: never a part of the result."""
+    for k in itertools.count(1):
+        if most is not None and k > most + 1:
+            raise RuntimeError(f"no fixpoint after {most} rounds")
+        yield k
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (src, dst), roots (root) -> (root, node, depth): the least number of steps; roots themselves at 0."""
     edges = _cut(edges.select("src", "dst").distinct())
     new = _cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     seen = new
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         step = new.join(edges, new.node == edges.src).select("root", F.col("dst").alias("node")).distinct()
         new = _cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not new.head(1):
@@ -32,7 +42,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFram
     return seen
 
 
-def propagate(sources: DataFrame, edges: DataFrame, sanitized: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def propagate(sources: DataFrame, edges: DataFrame, sanitized: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """sources (taint, def), edges (src, dst, kind) -> (taint, def, depth). A taint stops at (taint, def) rows of sanitized; a def there with a null taint stops all."""
     stop_one = sanitized.filter("taint is not null") if sanitized is not None else None
     stop_all = sanitized.filter("taint is null").select("def").distinct() if sanitized is not None else None
@@ -45,12 +55,14 @@ def propagate(sources: DataFrame, edges: DataFrame, sanitized: DataFrame | None
     edges = _cut(edges.select("src", "dst").distinct())
     new = _cut(held(sources.select("taint", "def").distinct()).withColumn("depth", F.lit(0)))
     seen = new
-    for depth in range(1, max_depth + 1):
+    for depth in rounds(max_depth):
         step = new.join(edges, new["def"] == edges.src).select("taint", F.col("dst").alias("def")).distinct()
         new = _cut(held(step).join(seen.select("taint", "def"), ["taint", "def"], "left_anti").select("taint", "def").withColumn("depth", F.lit(depth)))
         if not new.head(1):
             break
         seen = seen.unionByName(new)
+        if depth % 8 == 0:
+            seen = _cut(seen)
     return seen
 
 
@@ -59,12 +71,12 @@ def check_sinks(tainted: DataFrame, sinks: DataFrame) -> DataFrame:
     return tainted.select("taint", "def").join(sinks, "def").select("taint", "sink", "sink_type", "def").distinct()
 
 
-def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int = 256) -> DataFrame:
+def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (node, dep), nodes (node) -> (node, level): 0 without dependencies, else 1 + the deps' largest. Nodes on cycles, and those that need them, have a null level."""
     edges = _cut(edges.select("node", "dep").distinct())
     nodes = _cut(nodes.select("node").distinct())
     done = _cut(nodes.join(edges, "node", "left_anti").withColumn("level", F.lit(0)))
-    for _ in range(max_depth):
+    for _ in rounds(max_depth):
         left = edges.join(done.select("node"), "node", "left_anti")
         open_ = left.join(done.select(F.col("node").alias("dep"), "level"), "dep", "left").groupBy("node").agg(F.max("level").alias("m"), F.bool_or(F.col("level").isNull()).alias("waits"))
         new = _cut(open_.filter("not waits").select("node", (F.col("m") + 1).alias("level")))
@@ -74,15 +86,17 @@ def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int = 256) -> Dat
     return nodes.join(done, "node", "left")
 
 
-def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int = 20) -> DataFrame:
+def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (src, dst), starts (node), ends (node) -> (start, end, path): of each pair the shortest path, the least in order at ties. The frontier keeps one path for each pair of nodes."""
     edges = _cut(edges.select("src", "dst").distinct())
     new = _cut(starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.array("node").alias("path")).distinct())
     seen = new
-    for _ in range(max_depth):
+    for depth in rounds(max_depth):
         step = new.join(edges, new["at"] == edges.src).groupBy("start", F.col("dst").alias("at")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         new = _cut(step.join(seen.select("start", "at"), ["start", "at"], "left_anti"))
         if not new.head(1):
             break
         seen = seen.unionByName(new)
+        if depth % 8 == 0:
+            seen = _cut(seen)
     return seen.join(ends.select(F.col("node").alias("at")).distinct(), "at", "left_semi").select("start", F.col("at").alias("end"), "path")

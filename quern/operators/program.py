@@ -53,10 +53,10 @@ def import_bindings(imports: DataFrame, exports: DataFrame) -> DataFrame:
     return one.unionByName(whole)
 
 
-def export_bindings(own: DataFrame, again: DataFrame, max_depth: int = 20) -> DataFrame:
+def export_bindings(own: DataFrame, again: DataFrame, max_depth: int | None = None) -> DataFrame:
     """own (module, name, def), again (module, name, from_module, from_name): exports with those that are passed on; a name `*` passes all but default. A module's own name wins."""
     found = new = graph._cut(own.select("module", "name", "def"))
-    for _ in range(max_depth):
+    for k in graph.rounds(max_depth):
         n = new.select(F.col("module").alias("from_module"), F.col("name").alias("from_name"), "def")
         named = again.filter("name <> '*'").join(n, ["from_module", "from_name"]).select("module", "name", "def")
         star = again.filter("name = '*'").drop("name", "from_name").join(n.filter("from_name <> 'default'"), "from_module").select("module", F.col("from_name").alias("name"), "def")
@@ -64,6 +64,8 @@ def export_bindings(own: DataFrame, again: DataFrame, max_depth: int = 20) -> Da
         if not new.head(1):
             break
         found = found.unionByName(new)
+        if k % 8 == 0:
+            found = graph._cut(found)
     return found
 
 

@@ -83,6 +83,28 @@ def test_cycles_end(spark):
     assert levels == {1: None, 4: 0}
 
 
+def test_fixpoints_have_no_bound(spark):
+    chain = spark.range(70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    sources = spark.createDataFrame([("t", 0)], "taint string, def long")
+    assert graph.propagate(sources, chain).count() == 71
+    got = graph.paths(chain.filter("src < 22"), spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(22,)], "node long"))
+    assert [r["path"] for r in got.collect()] == [list(range(23))]
+
+
+def test_a_bound_is_an_error(spark):
+    chain = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
+    one = spark.createDataFrame([(0,)], "root long")
+    assert graph.closure(chain, one, 3).count() == 4
+    for run in (
+        lambda: graph.closure(chain, one, 2),
+        lambda: graph.propagate(spark.createDataFrame([("t", 0)], "taint string, def long"), chain, None, 2),
+        lambda: graph.topo_levels(chain.toDF("node", "dep"), spark.createDataFrame([(0,), (1,), (2,), (3,)], "node long"), 2),
+        lambda: graph.paths(chain, one.toDF("node"), spark.createDataFrame([(3,)], "node long"), 2),
+    ):
+        with pytest.raises(RuntimeError, match="fixpoint"):
+            run()
+
+
 def test_sanitizers_stop_taint(spark):
     edges = spark.createDataFrame([(1, 2, "ASSIGN"), (2, 3, "RETURN")], "src long, dst long, kind string")
     sources = spark.createDataFrame([("t", 1), ("u", 1)], "taint string, def long")

@@ -29,6 +29,12 @@ def test_modules(spark):
     assert {(r["target"], r["found"]) for r in deps.collect()} == {("a", True), ("gone", False)}
 
 
+def test_exports_pass_many_modules(spark):
+    own = spark.createDataFrame([("m0", "x", 1)], "module string, name string, def int")
+    again = spark.createDataFrame([(f"m{k + 1}", "*", f"m{k}", "*") for k in range(23)], "module string, name string, from_module string, from_name string")
+    assert P.export_bindings(own, again.coalesce(1)).count() == 24
+
+
 def test_frames_scopes_and_members(spark):
     frames = P.inherited_frames(spark.createDataFrame([("a", "CS_1")], "script string, frame string"), spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string"))
     assert _rows(frames) == [("a", "CS_1"), ("b", "CS_1"), ("c", "CS_1")]
