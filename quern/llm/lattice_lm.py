@@ -16,6 +16,8 @@ Edge cases: null is empty: one token, the end. Repeated rows are repeated traini
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -28,6 +30,8 @@ from .common import Scratch, space_words, sub_batches, texts_of
 MARK = "▁"
 #: Words over this length (bytes) are summed one by one.
 LONG = 160
+#: Bytes of such a word whose arcs are held at once.
+STEP = 4096
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -38,7 +42,7 @@ def _pow(base: int, n: int) -> np.ndarray:
     return np.array([pow(base, k, 1 << 64) for k in range(n)], np.uint64)
 
 
-_UP, _DOWN = _pow(_BASE, LONG + 8), _pow(_INVERSE, LONG + 8)
+_UP, _DOWN = _pow(_BASE, STEP + LONG + 8), _pow(_INVERSE, STEP + LONG + 8)
 
 
 def _mix(x):
@@ -46,6 +50,11 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
+def _log_sum(x: list[float]) -> float:
+    top = max(x, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum([math.exp(y - top) for y in x]))
+
+
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces as bytes, and their first log weights: the file's scores rank the pieces, and the weights fall with the rank."""
     import sentencepiece
@@ -143,12 +152,50 @@ class Lattice:
                 out[rows] = self._arcs(np.frombuffer(b"".join(marked[r] for r in rows.tolist()), np.uint8).reshape(len(rows), size))[1][-1]
         return out
 
+    def _forward(self, w: bytes, a: int, b: int, before: np.ndarray):
+        """Of one marked word: arcs (starts, ends, pieces) that end in (a, b], by end, and the forward log sums of the places from `longest` before a (or 0) to b. before: those up to a."""
+        low, found = max(0, a - self.longest), []
+        total = np.zeros(b - low + 1, np.uint64)
+        np.cumsum(_BYTE[np.frombuffer(w, np.uint8, b - low, low)] * _UP[: b - low], out=total[1:])
+        for k in self.sizes:
+            s = np.arange(max(0, a + 1 - k), b - k + 1)
+            if len(s):
+                rows, p = self._find(_mix((total[s + k - low] - total[s - low]) * _DOWN[s - low]))
+                found.append((s[rows], s[rows] + k, p))
+        s, e, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        k = np.flatnonzero(((s != 1) & (s != 2)) | (e <= 3))
+        k = k[np.argsort(e[k], kind="stable")]
+        s, e, p = s[k], e[k], p[k]
+        alpha, starts, logs = before.tolist(), (s - low).tolist(), self.logp[p].tolist()
+        cuts = np.searchsorted(e, np.arange(a + 1, b + 2)).tolist()
+        for i, j in itertools.pairwise(cuts):
+            alpha.append(_log_sum([alpha[starts[x]] + logs[x] for x in range(i, j)]))
+        return (s, e, p), np.array(alpha)
+
+    def _expect_long(self, w: bytes, count: float, into: np.ndarray) -> None:
+        """Adds one marked word's expected counts. Forward sums are kept at the steps' starts only and are found again on the way back."""
+        steps, befores, alpha = range(0, len(w), STEP), [], np.zeros(1)
+        for a in steps:
+            befores.append(alpha[-(self.longest + 1) :])
+            alpha = self._forward(w, a, min(len(w), a + STEP), befores[-1])[1]
+        all_, after = alpha[-1], {len(w): [0.0]}
+        for a, before in zip(reversed(steps), reversed(befores), strict=True):
+            b, low = min(len(w), a + STEP), max(0, a - self.longest)
+            (s, e, p), alpha = self._forward(w, a, b, before)
+            starts, logs, beta = s.tolist(), self.logp[p].tolist(), np.empty(b - a)
+            cuts = np.searchsorted(e, np.arange(a + 1, b + 2)).tolist()
+            for at in range(b, a, -1):
+                x = beta[at - a - 1] = _log_sum(after.pop(at, []))
+                for k in range(cuts[at - a - 1], cuts[at - a]):
+                    after.setdefault(starts[k], []).append(x + logs[k])
+            into += np.bincount(p, np.exp(alpha[s - low] + self.logp[p] + beta[e - a - 1] - all_) * count, len(into))
+
     def expect(self, words: list[bytes], counts: np.ndarray, into: np.ndarray) -> None:
-        """Adds the pieces' expected counts. Words over LONG count as their single bytes."""
+        """Adds the pieces' expected counts."""
         for size, rows, marked in self._by_size(words):
             if size > LONG:
                 for r in rows.tolist():
-                    np.add.at(into, [self.index[bytes([b])] for b in marked[r]], counts[r])
+                    self._expect_long(marked[r], float(counts[r]), into)
                 continue
             arcs, alpha = self._arcs(np.frombuffer(b"".join(marked[r] for r in rows.tolist()), np.uint8).reshape(len(rows), size))
             beta = np.full((size + 1, len(rows)), -np.inf)

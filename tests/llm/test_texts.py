@@ -192,6 +192,22 @@ def test_token_store(spark, odd, odd_rows, nothing):
     assert token_store.read(spark, f"{path}-none").count() == 0
 
 
+@pytest.mark.parametrize("step", [4096, 50])
+def test_long_words_give_expected_counts(monkeypatch, step):
+    pieces, logp = lattice_lm.vocabulary(PIECES)
+    lattice = lattice_lm.Lattice(pieces, logp)
+    words = ["日本語の文章はとても長いです" * 12, "internationalization" * 30, "x" * 158, "é" * 400]
+    words, c = [w.encode() for w in words], np.array([1.0, 2.0, 3.0, 4.0])
+    got, want = np.zeros(len(pieces)), np.zeros(len(pieces))
+    size = np.array([len(p) for p in pieces])
+    monkeypatch.setattr(lattice_lm, "STEP", step, raising=False)
+    lattice.expect(words, c, got)
+    assert got[size > 1].sum() > 50
+    monkeypatch.setattr(lattice_lm, "LONG", 1000)
+    lattice.expect(words, c, want)
+    assert np.allclose(got, want, atol=1e-6) and abs((got * size).sum() - sum(n * (len(w) + 3) for w, n in zip(words, c, strict=True))) < 1e-4
+
+
 def test_added_tokens(spark):
     from tokenizers import Tokenizer
 
