@@ -14,6 +14,7 @@ import struct
 import sys
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, sub_batches
+from .common import Scratch, sub_batches, texts_of
 
 SCALE = 20
 LANES = 1024
@@ -50,46 +51,208 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class Encoder(dict):
-    """Ids of texts, as bytes of little-endian 16-bit numbers.
+class _Runs:
+    """Ids of runs by their bytes: a hash table in arrays, so that all runs of many texts are looked up at once.
 
-    The file's added tokens are cut out first, the longest at a place. Byte-level BPE then splits what is between them by its pattern and encodes each piece apart, so pieces can be remembered. The library's model encodes what isn't remembered. The memory has two generations of `keep` pieces. If an added token has rules of its own (whitespace beside it, whole words, normalised text), texts that hold one are left to the library."""
+    A run's key is the run itself, in three numbers (up to SHORT bytes; its length, and whether a text begins with it, in the last one's top byte), so equal keys are equal runs. A value is (place in the pool of ids) << 32 | (number of ids), or ODD."""
 
-    def __init__(self, path: str, keep: int = 300_000):
-        super().__init__()
+    SHORT, SLOTS, MOST, ODD, NONE = 23, 1 << 21, 1 << 20, -1, -2
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.values, self.filled = np.zeros((3, self.SLOTS), np.uint64), np.full(self.SLOTS, self.NONE), 0
+        self.longer: dict[bytes, int] = {}
+        self.pool, self.used = np.empty(1 << 20, np.uint16), 0
+
+    def add(self, ids: list[int], sizes: list[int]) -> np.ndarray:
+        """The values of new runs, whose ids stand one after the other."""
+        n, k = len(ids), np.array(sizes, np.int64)
+        if self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(n, len(self.pool)), np.uint16)])
+        self.pool[self.used : self.used + n] = ids
+        out = (self.used + np.cumsum(k) - k) << 32 | k
+        self.used += n
+        return out
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        h = (keys[0] ^ (keys[1] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[2] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(43)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, NONE for keys that aren't in the table. Linear probing: every round looks up those that have met another key."""
+        at = self.slot(keys)
+        out = self.values[at]
+        rows = np.flatnonzero((out != self.NONE) & (self.keys[:, at] != keys).any(0))
+        while len(rows):
+            at[rows] = (at[rows] + 1) % self.SLOTS
+            out[rows] = self.values[at[rows]]
+            rows = rows[(out[rows] != self.NONE) & (self.keys[:, at[rows]] != keys[:, rows]).any(0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Puts in distinct keys that aren't there."""
+        at, rows = self.slot(keys), np.arange(keys.shape[1])
+        while len(rows):
+            free = rows[self.values[at[rows]] == self.NONE]
+            self.values[at[free]] = free  # one of those that want a slot gets it
+            got = free[self.values[at[free]] == free]
+            self.keys[:, at[got]], self.values[at[got]] = keys[:, got], values[got]
+            left = np.ones(len(at), bool)
+            left[got] = False
+            rows = rows[left[rows]]
+            at[rows] = (at[rows] + 1) % self.SLOTS
+        self.filled += keys.shape[1]
+
+
+#: Kinds of bytes: letters, digits, other marks, white space; 0 for those that only the pattern can judge.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[[c for c in range(128) if not chr(c).isalnum() and not 9 <= c <= 13 and c not in b" '"]] = 3
+_KIND[[9, 10, 11, 12, 13, 32]] = 4
+_TAIL = np.array([(1 << 8 * k) - 1 if k < 8 else (1 << 64) - 1 for k in range(9)], np.uint64)
+
+
+class Encoder:
+    """Ids of texts (UTF-8), as bytes of little-endian 16-bit numbers.
+
+    The file's added tokens are cut out first, the longest at a place. Byte-level BPE then splits what is between them by its pattern and encodes each piece apart. No piece reaches over a space that stands before something else than white space, so whole runs between such spaces are remembered, and the pattern and the library's model run only on runs that are new. The memory is bounded: it is dropped when it is full. If an added token has rules of its own (whitespace beside it, whole words, normalised text), texts that hold one are left to the library."""
+
+    def __init__(self, path: str, keep: int = 200_000):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        self._letters, self._model, self._old, self._keep = byte_letters(), t.model, {}, keep
+        self._letters, self._model, self._runs = byte_letters(), t.model, _Runs()
+        self._pieces, self._keep = {}, keep
         self._split = regex.compile(PATTERN).findall
         added = t.get_added_tokens_decoder()
-        self._added = {x.content: array("H", [i]).tobytes() for i, x in added.items()}
-        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
+        self._added = {x.content.encode(): array("H", [i]).tobytes() for i, x in added.items()}
+        self._cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + b")").split
         ruled = any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added.values())
         self._library = t if ruled else None
         if t.get_vocab_size() > 1 << 16 or sys.byteorder != "little":
             raise ValueError("ids must fit 16 bits, on a little-endian machine")
 
-    def __missing__(self, piece: str) -> bytes:
-        got = self._old.get(piece)
+    def _piece(self, piece: str) -> list[int]:
+        got = self._pieces.get(piece)
         if got is None:
-            got = array("H", [x.id for x in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]).tobytes()
-        if len(self) >= self._keep:
-            self._old = dict(self)
-            self.clear()
-        if len(piece) < 100:
-            self[piece] = got
+            got = [x.id for x in self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
+            if len(self._pieces) >= self._keep:
+                self._pieces.clear()
+            if len(piece) < 100:
+                self._pieces[piece] = got
         return got
 
-    def encode(self, text: str) -> bytes:
-        if not any(x in text for x in self._added):
-            return self._between(text)
-        if self._library is not None:
-            return array("H", self._library.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join([self._added[x] if k % 2 else self._between(x) for k, x in enumerate(self._cut(text))])
+    def _by_pattern(self, text: str) -> list[int]:
+        return list(chain.from_iterable(map(self._piece, (self._split if _OUTSIDE(text) else _LATIN)(text))))
+
+    def one(self, text: bytes) -> bytes:
+        """The ids of one text by the pattern; for texts with added tokens, or with white space beside a space."""
+        if self._library is not None and any(x in text for x in self._added):
+            return array("H", self._library.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join([self._added[x] if k % 2 else array("H", self._by_pattern(x.decode())).tobytes() for k, x in enumerate(self._cut(text))])
+
+    def _new(self, units: list[bytes], lead: list[bool], plain: list[bool]) -> np.ndarray:
+        """Encodes units (with a space before them where `lead` says so) and gives their values. Plain ones are pieces of one kind of byte."""
+        got, letters, tokenize = [], self._letters, self._model.tokenize
+        space = letters[32]
+        for u, first, one in zip(units, lead, plain, strict=True):
+            if one:
+                x = u.decode("latin-1")
+                if not x.isalnum() or not x.isascii():
+                    x = x.translate(letters)
+                got.append([t.id for t in tokenize(space + x if first else x)])
+            else:
+                x = u.decode()
+                got.append(None if first and x[0].isspace() else self._by_pattern(" " + x if first else x))
+        out = self._runs.add([x for y in got if y for x in y], [len(y or ()) for y in got])
+        out[[k for k, y in enumerate(got) if y is None]] = _Runs.ODD
+        return out
+
+    def _values(self, raw: np.ndarray, joined: bytes, start: np.ndarray, size: np.ndarray, lead: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Values of units, given by places in the bytes."""
+        runs, eight = self._runs, np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        short = size <= _Runs.SHORT
+        s, n = start[short], size[short]
+        keys = np.empty((3, len(s)), np.uint64)
+        keys[0] = eight[s] & _TAIL[np.minimum(n, 8)]
+        keys[1:] = 0
+        for k in (1, 2):
+            rows = np.flatnonzero(n > 8 * k)
+            keys[k, rows] = eight[s[rows] + 8 * k] & _TAIL[np.minimum(n[rows] - 8 * k, 8)]
+        keys[2] |= (n | (lead[short].astype(np.int64) << 7)).astype(np.uint64) << np.uint64(56)
+        found = runs.find(keys)
+        new = np.flatnonzero(found == _Runs.NONE)
+        if len(new):
+            order = new[np.lexsort(keys[:, new])]
+            change = np.ones(len(order), bool)
+            change[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)
+            once = order[change]
+            got = self._new([joined[a:b] for a, b in zip(s[once].tolist(), (s + n)[once].tolist(), strict=True)], lead[short][once].tolist(), plain[short][once].tolist())
+            runs.put(keys[:, once], got)
+            found[order] = got[np.cumsum(change) - 1]
+        out = np.empty(len(start), np.int64)
+        out[short] = found
+        rows = np.flatnonzero(~short)
+        if len(rows):
+            units = list(zip((joined[a:b] for a, b in zip(start[rows].tolist(), (start + size)[rows].tolist(), strict=True)), lead[rows].tolist(), plain[rows].tolist(), strict=True))
+            fresh = list({u for u in units if u not in runs.longer})
+            runs.longer.update(zip(fresh, self._new(*map(list, zip(*fresh, strict=True))).tolist() if fresh else (), strict=True))
+            out[rows] = [runs.longer[u] for u in units]
+            for u in fresh:
+                if len(u[0]) >= 100:
+                    del runs.longer[u]
+        return out
 
-    def _between(self, text: str) -> bytes:
-        return b"".join([self[x] for x in (self._split if _OUTSIDE(text) else _LATIN)(text)])
+    def batch(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
+        """The ids of each text, and `end`."""
+        runs = self._runs
+        if runs.filled > _Runs.MOST or len(runs.longer) > self._keep or runs.used > 8 * _Runs.MOST:
+            runs.clear()
+        joined = b" " + b" ".join(texts) + b" "
+        raw = np.frombuffer(joined + bytes(32), np.uint8)
+        body = raw[: len(joined)]
+        spaces = np.flatnonzero(body == 32)
+        run, length = spaces[:-1] + 1, np.diff(spaces) - 1
+        text_at = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])])
+        at = np.searchsorted(run, text_at)
+        lead = np.ones(len(run), bool)
+        lead[at] = False
+        # Runs of known bytes, without white space beside white space, are cut where the kind of byte changes; others are left to the pattern.
+        kind = _KIND[body]
+        latin = np.flatnonzero(body[:-1] == 0xC3)
+        ok = latin[(body[latin + 1] != 0x97) & (body[latin + 1] != 0xB7)]
+        kind[ok] = kind[ok + 1] = 1
+        hard = kind == 0
+        hard[1:] |= (kind[1:] == 4) & (kind[:-1] == 4)
+        blurred = np.zeros(len(run), bool)
+        blurred[np.searchsorted(spaces, np.flatnonzero(hard)) - 1] = True
+        cut = np.zeros(len(joined), bool)
+        cut[1:] = kind[1:] != kind[:-1]
+        if blurred.any():
+            step = np.zeros(len(joined) + 1, np.int8)
+            step[run[blurred]] += 1
+            step[(run + length)[blurred]] -= 1
+            cut &= np.cumsum(step[:-1], dtype=np.int8) == 0
+        cut[spaces] = False
+        cut[run[length > 0]] = True
+        start = np.flatnonzero(cut)
+        owner = np.searchsorted(spaces, start) - 1
+        size = np.minimum(np.append(start[1:], len(joined)), (run + length)[owner]) - start
+        begins = start == run[owner]
+        odd_run = lead & ((length == 0) | ((kind[run] == 4) & ~blurred))
+        value = np.concatenate([np.zeros(0, np.int64), *(self._values(raw, joined, start[k : k + (1 << 18)], size[k : k + (1 << 18)], (begins & lead[owner])[k : k + (1 << 18)], ~blurred[owner[k : k + (1 << 18)]]) for k in range(0, len(start), 1 << 18))])
+        count = np.where(value < 0, 0, value & 0xFFFFFFFF)
+        ends = np.append(0, np.cumsum(count))
+        ids = runs.pool[np.repeat((value >> 32) - ends[:-1], count) + np.arange(ends[-1])].tobytes()
+        cuts = np.append(ends[np.searchsorted(start, text_at)], ends[-1]).tolist()
+        odd_run[owner[value < 0]] = True
+        odd = np.logical_or.reduceat(odd_run, at).tolist()
+        special = [any(x in t for x in self._added) for t in texts] if any(x in joined for x in self._added) else odd
+        return [(self.one(t) if o or s else ids[2 * a : 2 * b]) + end for t, o, s, a, b in zip(texts, odd, special, cuts[:-1], cuts[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,9 +270,9 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     end = array("H", [end_id]).tobytes()
 
     def run(batches):
-        encode = _encoder(vocabulary).encode
+        encode = _encoder(vocabulary).batch
         for b in sub_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(t or "") + end for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(texts_of(b), end), pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -218,8 +381,9 @@ class Coder:
 def _counts(batches):
     total = np.zeros(1 << 16, np.int64)
     for b in batches:
-        for x in b.column(0).to_pylist():
-            total += np.bincount(np.frombuffer(x, np.uint16), minlength=1 << 16)
+        column = b.column(0)
+        for k in range(0, b.num_rows, 1024):
+            total += np.bincount(np.frombuffer(b"".join(column.slice(k, 1024).to_pylist()), np.uint16), minlength=1 << 16)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["token", "n"])
 
