@@ -9,26 +9,33 @@ A token is a word or a document's end. With N training tokens, c(w) of them w:
 
 so known words have their own arc beside the pieces, and the mass of unseen words is what Good and Turing say. The sum over all texts is at most 1.
 
-Counting: each task proposes its most frequent words. Those (at most `frequent`) are counted and scored by a broadcast dictionary of bounded size; all other words are rows (word, document, count), counted and joined by shuffle. Both ways are exact; the choice of words moves work, not results.
+Counting: texts are split once. A task numbers the distinct words of a chunk of texts (about CHUNK bytes) and writes the chunk as its words, each with its training count, and its documents as numbers. A word so is a row for each chunk, not for each document: the rows are counted by word, the distinct words are scored, and the scores go back to their chunks, where the documents' numbers are looked up in an array. The most frequent word has one row for each chunk, so no key is hot.
 
-Edge cases: null is empty: one token, the end. Repeated rows are repeated training text and are scored each. Without training rows P(end) is 1/2 and S keeps the file's weights. Words of any length are scored whole.
+How much comes from where: a known word's probability is mostly its count (with the fitted share `a`), an unseen word's is the lattice alone; README.md has measured shares.
+
+Edge cases: null is empty: one token, the end. Repeated rows are repeated training text and are scored each; null ids are rows like others. Without training rows P(end) is 1/2 and S keeps the file's weights. Words of any length are scored whole. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, space_words, sub_batches, texts_of
 
 MARK = "▁"
-#: Words over this length (bytes) are summed one by one.
+#: Bytes of text whose words are numbered together.
+CHUNK = 8 << 20
+#: Words (and their bytes) that a worker scores at once.
+BLOCK_WORDS, BLOCK_BYTES = 1 << 17, 4 << 20
+#: Words over this length (bytes) are summed one by one, with the same result.
 LONG = 160
 #: Bytes of such a word whose arcs are held at once.
 STEP = 4096
@@ -67,8 +74,7 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
         p = sp.id_to_piece(i)
         if sp.is_byte(i):
             continue
-        if MARK not in p[1:] and len(p.encode()) <= 32:
-            score[p.encode()] = float(sp.get_score(i))
+        score[p.encode()] = float(sp.get_score(i))
     least = min(score.values(), default=0.0)
     for b in range(256):
         score.setdefault(bytes([b]), least)
@@ -219,58 +225,87 @@ def _lattice(pieces: list[bytes], logp: np.ndarray) -> Lattice:
     return _built[key]
 
 
-def _propose(top: int):
-    def run(batches):
-        seen: Counter = Counter()
-        for b in sub_batches(batches):
-            for t in texts_of(b):
-                seen.update(space_words(t))
-                if len(seen) > 100_000:  # only which words are proposed hangs on this, no count
-                    seen = Counter(dict(seen.most_common(2 * top)))
-        got = seen.most_common(top)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64())], names=["w", "n"])
+_CHUNK_ROWS = "chunk long, local int, w binary, c long, docs binary"
 
-    return run
+
+def _pack_docs(ids: list[int | None], numbers: list[np.ndarray]) -> bytes:
+    n = len(ids)
+    null = np.array([i is None for i in ids], np.uint8)
+    return b"".join([n.to_bytes(8, "little"), np.array([i or 0 for i in ids], "<i8").tobytes(), null.tobytes(), np.array([len(x) for x in numbers], "<i8").tobytes(), *(x.tobytes() for x in numbers)])
+
+
+def _unpack_docs(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """Document ids, numbers of words, and the words' numbers."""
+    n = int.from_bytes(data[:8], "little")
+    ids, null = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, np.uint8, n, 8 + 8 * n)
+    return [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], np.frombuffer(data, "<i8", n, 8 + 9 * n), np.frombuffer(data, "<u4", -1, 8 + 17 * n)
 
 
-def _split(shared):
-    """Counts of frequent words in training rows (document -1), and a row for each other word of a document."""
+def _chunks(chunk_bytes: int):
+    """Per chunk a row for each distinct word (its number, its count in training rows) and one for all documents."""
 
     def run(batches):
-        frequent, total = shared.value, Counter()
+        part, k = TaskContext.get().partitionId() << 32, 0
+        local: defaultdict = defaultdict()
+        local.default_factory = local.__len__
+        ids, numbers, learnt, size = [], [], [], 0
+
+        def flush():
+            n = len(local)
+            c = np.bincount(np.concatenate([np.zeros(0, np.uint32), *(x for x, learn in zip(numbers, learnt, strict=True) if learn)]), minlength=n)
+            words = list(local)
+            for s in range(0, n, 1 << 16):
+                m = min(n, s + (1 << 16)) - s
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, part + k)), pa.array(np.arange(s, s + m, dtype=np.int32)), pa.array(words[s : s + m], pa.binary()), pa.array(c[s : s + m].astype(np.int64)), pa.nulls(m, pa.binary())], names=["chunk", "local", "w", "c", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([part + k]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([_pack_docs(ids, numbers)], pa.binary())], names=["chunk", "local", "w", "c", "docs"])
+
         for b in sub_batches(batches):
-            ws, ids, keys, ns, train = [], [], [], [], []
-            for i, h, learn, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), texts_of(b), strict=True):
-                words = space_words(t)
-                if learn:
-                    total.update(filter(frequent.__contains__, words))
-                for w, n in Counter([w for w in words if w not in frequent]).items():
-                    ws.append(w), ids.append(i), keys.append(h), ns.append(n), train.append(n if learn else 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(train, pa.int64())], names=["w", "doc_id", "h", "n", "c"])
-        ws = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ws, pa.binary()), pa.nulls(len(ws), pa.int64()), pa.nulls(len(ws), pa.int64()), pa.nulls(len(ws), pa.int64()), pa.array([total[w] for w in ws], pa.int64())], names=["w", "doc_id", "h", "n", "c"])
+            for i, learn, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), strict=True):
+                ids.append(i), learnt.append(learn)
+                numbers.append(np.array([local[w] for w in space_words(t)], "<u4"))
+                size += len(t)
+                if size >= chunk_bytes:
+                    yield from flush()
+                    local.clear(), ids.clear(), numbers.clear(), learnt.clear()
+                    size, k = 0, k + 1
+        if ids:
+            yield from flush()
 
     return run
 
 
+def _blocks(batches):
+    """Tables of many rows with words in the first column, bounded by number and bytes."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= BLOCK_WORDS or size >= BLOCK_BYTES:
+            yield pa.Table.from_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expected(shared):
     def run(batches):
         lattice = _lattice(*shared.value)
         into = np.zeros(len(lattice.pieces))
-        for b in batches:
-            lattice.expect(b.column(0).to_pylist(), np.ones(b.num_rows), into)
+        for t in _blocks(batches):
+            lattice.expect(t.column(0).to_pylist(), np.ones(t.num_rows), into)
         at = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(into[at])], names=["piece", "x"])
 
     return run
 
 
-def _rare(shared, n_all: int, end: float, own: float):
+def _scored(shared, n_all: int, end: float, own: float):
     def run(batches):
         lattice = _lattice(*shared.value)
-        for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(token_log10(c, lattice.log_marginals(words), n_all, end, own))], names=["w", "c", "lp"])
+        for t in _blocks(batches):
+            c = t.column(1).to_numpy().astype(float)
+            lp = token_log10(c, lattice.log_marginals(t.column(0).to_pylist()), n_all, end, own)
+            yield from t.append_column("lp", pa.array(lp)).to_batches()
 
     return run
 
@@ -281,35 +316,31 @@ def token_log10(c: np.ndarray, log_s: np.ndarray, n_all: int, end: float, own: f
         return np.logaddexp(counted, np.log((1 - own) * (1 - end)) + log_s) / np.log(10)
 
 
-def _final(shared):
-    def run(batches):
-        table, log_end, end_known = shared.value
-        get = table.get
-        for b in sub_batches(batches):
-            n, base, known, score = [], [], [], []
-            for t in texts_of(b):
-                words = space_words(t)
-                found = [x for x in map(get, words) if x is not None]
-                n.append(len(words) + 1)
-                base.append(float(sum(x[0] for x in found)) + log_end[0])
-                known.append(sum(x[2] for x in found) + end_known)
-                score.append(float(sum(x[1] for x in found)) + log_end[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(base), pa.array(known, pa.int64()), pa.array(score)], names=["doc_id", "h", "n_tokens", "f_base", "f_known", "f_score"])
+def _summed(ends: tuple[float, float, int]):
+    """Per chunk: its documents' sums over their words."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("local").to_numpy())
+        c, lp = (words.column(x).to_numpy()[order] for x in ("c", "lp"))
+        out = []
+        for data in docs.column("docs").to_pylist():
+            ids, n, numbers = _unpack_docs(data)
+            of = np.repeat(np.arange(len(n)), n)
+            total = lambda x: np.bincount(of, x[numbers], len(n))
+            out.append(pa.table([pa.array(ids, pa.int64()), pa.array(n + 1), pa.array(total((c > 0).astype(float)).astype(np.int64) + ends[2]), pa.array(total(np.log10(c + 1.0)) + ends[0]), pa.array(total(lp) + ends[1])], names=["doc_id", "n_tokens", "n_known", "logs", "score"]))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score(docs: DataFrame, learn, model_file: str, frequent: int = 60_000, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, learn, model_file: str, rounds: int = 2, chunk_bytes: int = CHUNK) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. learn: a boolean column of docs, true for training rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lattice")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
-    proposed = rows.select("text").mapInArrow(_propose(frequent // 3), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    top = {bytes(r["w"]) for r in proposed.orderBy(F.desc("n"), "w").limit(frequent).collect()}
-    counted = scratch.save(rows.mapInArrow(_split(spark.sparkContext.broadcast(top)), "w binary, doc_id long, h long, n long, c long"), "words")
-    rare_rows = counted.filter("n is not null")
-    counts = scratch.save(counted.groupBy("w").agg(F.sum("c").alias("c"), F.max(F.col("n").isNotNull()).alias("rare")), "counts")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
+    chunks = scratch.save(rows.mapInArrow(_chunks(chunk_bytes), _CHUNK_ROWS), "chunks")
+    words = chunks.filter("local is not null").select("chunk", "local", "w", "c")
+    counts = scratch.save(words.groupBy("w").agg(F.sum("c").alias("c")), "counts")
     n_words, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum(F.when(F.col("c") == 1, 1)), F.lit(0))).first()
     n_ends = rows.filter("learn").count()
     n_all, v = n_words + n_ends, distinct + (n_ends > 0)
@@ -322,21 +353,10 @@ def score(docs: DataFrame, learn, model_file: str, frequent: int = 60_000, round
             x[r["piece"]] += r["x"]
         logp = np.log(x / (x.sum() + n_ends))
     model = spark.sparkContext.broadcast((pieces, logp))
-    lattice = Lattice(pieces, logp)
-    known = {bytes(r["w"]): r["c"] for r in counts.filter("not rare").collect()}  # frequent words only
-    words = sorted(top)
-    c = np.array([known.get(w, 0) for w in words], float)
-    lp = token_log10(c, lattice.log_marginals(words), n_all, end, own)
-    table = {w: (float(np.log10(a + 1)), float(b), int(a > 0)) for w, a, b in zip(words, c, lp, strict=True)}
-    ends = (float(np.log10(n_ends + 1)), float(np.log10(end)) if n_ends or not n_all else float(np.log10(0.5)))
-    scored = rows.select("doc_id", "h", "text").mapInArrow(_final(spark.sparkContext.broadcast((table, ends, int(n_ends > 0)))), "doc_id long, h long, n_tokens long, f_base double, f_known long, f_score double")
-    rare = counts.filter("rare").select("w", "c").mapInArrow(_rare(model, n_all, end, own), "w binary, c long, lp double")
-    met = rare_rows.select("w", "doc_id", "h", "n").join(rare, "w").select("doc_id", "h", (F.col("n") * F.log10(F.col("c") + 1.0)).alias("b"), (F.col("n") * (F.col("c") > 0).cast("long")).alias("k"), (F.col("n") * F.col("lp")).alias("s"))
-    sums = met.groupBy("doc_id", "h").agg(F.sum("b").alias("b"), F.sum("k").alias("k"), F.sum("s").alias("s"))
-    scored = scratch.save(scored, "scored")
-    repeats = scored.groupBy("doc_id", "h").agg(F.count("*").alias("times"))
-    sums = sums.join(repeats, (sums.doc_id.eqNullSafe(repeats.doc_id)) & (sums.h == repeats.h)).select(sums.doc_id.alias("d2"), sums.h.alias("h2"), *((F.col(x) / F.col("times")).alias(x) for x in "bks"))
-    out = scored.join(sums, scored.doc_id.eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left")
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0.0))
-    base = F.col("f_base") + zero("b") - F.col("n_tokens") * float(np.log10(n_all + v + 1))
-    return out.select("doc_id", "n_tokens", (F.col("f_known") + F.round(zero("k")).cast("long")).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("f_score") + zero("s")).alias("score"))
+    scored = counts.mapInArrow(_scored(model, n_all, end, own), "w binary, c long, lp double")
+    back = words.select("chunk", "local", "w").join(scored, "w").select("chunk", "local", "c", "lp")
+    ends = (float(np.log10(n_ends + 1)), float(np.log10(end)) if n_ends or not n_all else float(np.log10(0.5)), int(n_ends > 0))
+    held = chunks.filter("docs is not null").select(F.col("chunk").alias("of"), "docs")
+    out = held.groupBy("of").cogroup(back.groupBy("chunk")).applyInArrow(_summed(ends), "doc_id long, n_tokens long, n_known long, logs double, score double")
+    base = F.col("logs") - F.col("n_tokens") * float(np.log10(n_all + v + 1))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
