@@ -86,7 +86,7 @@ def is_gecko_id(value: Column) -> Column:
 
 
 def is_version(value: Column) -> Column:
-    return F.coalesce(value.rlike(r"^\d+(\.\d+){0,3}$"), F.lit(False))
+    return F.coalesce(value.rlike(r"^\d+(\.\d+)*$"), F.lit(False))
 
 
 def extension_id_check(is_literal: Column, value: Column, own: Column) -> Column:
@@ -147,6 +147,25 @@ def truth_label(a: Column) -> Column:
     return F.when(a.isNull(), "UNKNOWN").when(a, "TRUE").otherwise("FALSE")
 
 
+def truth_and(a: Column, b: Column) -> Column:
+    return a & b
+
+
+def truth_or(a: Column, b: Column) -> Column:
+    return a | b
+
+
+def truth_nullish(left_kind: Column, left: Column, right: Column) -> Column:
+    """`??`: the right side's truth where the left is null or undefined, the left's where its kind is known, else unknown."""
+    return F.when(left_kind.isin("null", "undefined"), right).when(left_kind.isNotNull(), left)
+
+
+def literal_truth(kind: Column, text: Column) -> Column:
+    """Truth of a literal by its kind; null for kinds that aren't known."""
+    n = F.try_to_number(text, F.lit("S999999999999.999999"))
+    return F.when(kind == "string", text != "").when(kind == "boolean", text == "true").when(kind.isin("null", "undefined"), False).when(kind == "number", n != 0).when(kind.isin("object", "function", "regex"), True)
+
+
 def url_with_query(base: str, **parameters: Column) -> Column:
     """A base address with encoded parameters, in the order given."""
     parts = [F.concat(F.lit(f"{k}="), F.url_encode(v)) for k, v in parameters.items()]
@@ -159,5 +178,12 @@ def value_at(json: Column, path: str) -> Column:
     return F.get_json_object(json, f"${steps}")
 
 
+def with_value_at(json: Column, key: str, value: Column) -> Column:
+    """JSON text of an object with one of its keys set to a value (JSON text as well); what isn't an object is taken as an empty one."""
+    pairs = F.coalesce(F.from_json(json, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    kept = F.map_filter(pairs, lambda k, _: k != key)
+    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), F.parse_json(value))))
+
+
 def seconds_between(start: Column, end: Column) -> Column:
-    return (end.cast("double") - start.cast("double")).cast("double")
+    return end.cast("timestamp").cast("double") - start.cast("timestamp").cast("double")

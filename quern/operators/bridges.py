@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
+
 
 def storage_bridge(sets: DataFrame, gets: DataFrame) -> DataFrame:
-    """sets (area, key, set_id) and gets (area, key, get_id); a null key is one that isn't known and meets every key of its area, the area `*` every area. Equal keys are an equi join; only rows with an unknown key or area take the wider ones."""
+    """sets (package, area, key, set_id) and gets (package, area, key, get_id); a null key is one that isn't known and meets every key of its area, the area `*` every area. Values meet inside a package only. Equal keys are an equi join; only rows with an unknown key or area take the wider ones, which are equi joins on package and area, or on the package."""
     known_s, known_g = (d.filter(F.col("key").isNotNull() & (F.col("area") != "*")) for d in (sets, gets))
     wild_s, wild_g = (d.filter(F.col("key").isNull() & (F.col("area") != "*")) for d in (sets, gets))
-    star_g = gets.filter("area = '*'")
-    exact = known_s.join(known_g, ["area", "key"]).select("set_id", "get_id")
-    by_area = wild_s.drop("key").join(gets.filter("area <> '*'").drop("key"), "area").select("set_id", "get_id")
-    to_wild = known_s.drop("key").join(wild_g.drop("key"), "area").select("set_id", "get_id")
-    star = sets.select("set_id", F.col("key").alias("k")).join(star_g.select("get_id", "key"), F.col("k").isNull() | F.col("key").isNull() | (F.col("k") == F.col("key"))).select("set_id", "get_id")
+    exact = known_s.join(known_g, ["package", "area", "key"]).select("set_id", "get_id")
+    by_area = wild_s.drop("key").join(gets.filter("area <> '*'").drop("key"), ["package", "area"]).select("set_id", "get_id")
+    to_wild = known_s.drop("key").join(wild_g.drop("key"), ["package", "area"]).select("set_id", "get_id")
+    star_g = gets.filter("area = '*'").select("package", "get_id", F.col("key").alias("asked"))
+    star = sets.join(star_g, "package").filter(F.col("key").isNull() | F.col("asked").isNull() | (F.col("key") == F.col("asked"))).select("set_id", "get_id")
     return exact.unionByName(by_area).unionByName(to_wild).unionByName(star)
 
 
 def channel_bridge(senders: DataFrame, receivers: DataFrame) -> DataFrame:
-    """senders (send_id, channel, outer_id) and receivers (recv_id, channel, outer_id): equal channels; unequal outer ids refuse, null meets any."""
+    """senders (package, send_id, channel, outer_id) and receivers (package, recv_id, channel, outer_id): equal channels of a package; unequal outer ids refuse, null meets any."""
     r = receivers.withColumnRenamed("outer_id", "r_outer")
     ok = F.col("outer_id").isNull() | F.col("r_outer").isNull() | (F.col("outer_id") == F.col("r_outer"))
-    return senders.join(r, "channel").filter(ok).select("send_id", "recv_id", "channel")
+    return senders.join(r, ["package", "channel"]).filter(ok).select("send_id", "recv_id", "channel")
 
 
 def may_match(sent: Column, sent_known: Column, wanted: Column, wanted_known: Column) -> Column:
@@ -43,7 +45,7 @@ def frame_predecessors(scripts: DataFrame) -> DataFrame:
 
 def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, low: str, high: str, id_: str) -> DataFrame:
     """For each point the narrowest range of the same keys that holds it (the lesser id at ties); null if none."""
-    p = points.withColumn("__row", F.monotonically_increasing_id())
+    p = graph._cut(points.withColumn("__row", F.monotonically_increasing_id()))  # written, so that both uses see the same numbers
     joined = p.join(ranges, keys, "left").filter(F.col(id_).isNull() | ((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))))
     best = joined.groupBy("__row").agg(F.min_by(id_, F.struct(F.col(high) - F.col(low), F.col(id_))).alias(id_))
     return p.join(best, "__row", "left").drop("__row")
@@ -52,3 +54,10 @@ def innermost(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, lo
 def last_definition(uses: Column, keys: list[str], order: list[str]) -> Column:
     """The latest value before a row that isn't null: the definition that reaches it."""
     return F.last(uses, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def straight_line_taint(steps: DataFrame, keys: list[str], order: list[str], source: Column, clean: Column) -> DataFrame:
+    """Adds `tainted`: in code that runs straight on, whether a source was met since the last sanitizer (which ends the taint where it stands)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    since = steps.withColumn("__since", F.count_if(clean).over(w))
+    return since.withColumn("tainted", F.bool_or(source & ~clean).over(Window.partitionBy(*keys, "__since").orderBy(*order))).drop("__since")

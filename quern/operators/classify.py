@@ -24,6 +24,13 @@ def first_signature(rows: DataFrame, text: Column, signatures: DataFrame, keys:
     return head.join(F.broadcast(signatures), hit, "left").groupBy(*keys).agg(F.min_by("name", "ord").alias("library"))
 
 
+def library_by_name(files: DataFrame, path: str, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """The first rule (ord, name, pattern, ignore) whose pattern a file's name (without .js) has, for each key: library, ignore; null if none. Rules are of bounded size."""
+    stem = F.regexp_replace(path, r"\.(js|ts)$", "")
+    joined = files.select(*keys, stem.alias("__stem")).join(F.broadcast(rules), F.regexp_like("__stem", F.col("pattern")), "left")
+    return joined.groupBy(*keys).agg(F.min_by(F.struct(F.col("name").alias("library"), "ignore"), "ord").alias("r")).select(*keys, "r.library", "r.ignore")
+
+
 def frame_family(component: Column) -> Column:
     """Families of frames by the kind of component."""
     return (

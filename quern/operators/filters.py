@@ -33,6 +33,11 @@ def feasible(flows: DataFrame) -> DataFrame:
     return flows.filter(~F.coalesce(drop, F.lit(False)))
 
 
+def string_interpreting(sink_type: Column) -> Column:
+    """Whether a sink reads text as code or markup."""
+    return sink_type.isin(*V.CODE_SINKS, *V.DOM_SINKS)
+
+
 def host_restricted(patterns: Column) -> Column:
     """Whether every pattern that counts names a host; true for none."""
     return F.forall(F.filter(patterns, lambda p: ~is_ignored_pattern(p)), lambda p: F.coalesce((p != "<all_urls>") & (pattern_host(p) != "*"), F.lit(False)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -11,10 +13,17 @@ from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the session names; a local one only where none is named."""
+    """Cuts lineage by a checkpoint in the folder that the session names; where none is named, in a local one on a local master, and an error on a cluster, whose machines share no local folder."""
     spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+            shared = tempfile.mkdtemp(prefix="quern-")
+            atexit.register(shutil.rmtree, shared, True)
+        context.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -43,7 +52,7 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
 
 
 def propagate(sources: DataFrame, edges: DataFrame, sanitized: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
-    """sources (taint, def), edges (src, dst, kind) -> (taint, def, depth). A taint stops at (taint, def) rows of sanitized; a def there with a null taint stops all."""
+    """sources (taint, def), edges (src, dst, kind) -> (taint, def, depth, kind): the least number of steps, and the kind of the edge that brought the taint first (the least in order at ties; null at a source). A taint stops at (taint, def) rows of sanitized; a def there with a null taint stops all."""
     stop_one = sanitized.filter("taint is not null") if sanitized is not None else None
     stop_all = sanitized.filter("taint is null").select("def").distinct() if sanitized is not None else None
 
@@ -52,12 +61,13 @@ def propagate(sources: DataFrame, edges: DataFrame, sanitized: DataFrame | None
             return df
         return df.join(stop_one, ["taint", "def"], "left_anti").join(stop_all, "def", "left_anti")
 
-    edges = _cut(edges.select("src", "dst").distinct())
-    new = _cut(held(sources.select("taint", "def").distinct()).withColumn("depth", F.lit(0)))
+    kind = F.col("kind") if "kind" in edges.columns else F.lit(None).cast("string").alias("kind")
+    edges = _cut(edges.groupBy("src", "dst").agg(F.min(kind).alias("kind")))
+    new = _cut(held(sources.select("taint", "def").distinct()).select("taint", "def", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("kind")))
     seen = new
     for depth in rounds(max_depth):
-        step = new.join(edges, new["def"] == edges.src).select("taint", F.col("dst").alias("def")).distinct()
-        new = _cut(held(step).join(seen.select("taint", "def"), ["taint", "def"], "left_anti").select("taint", "def").withColumn("depth", F.lit(depth)))
+        step = new.drop("kind").join(edges, new["def"] == edges.src).groupBy("taint", F.col("dst").alias("def")).agg(F.min("kind").alias("kind"))
+        new = _cut(held(step).join(seen.select("taint", "def"), ["taint", "def"], "left_anti").select("taint", "def", F.lit(depth).alias("depth"), "kind"))
         if not new.head(1):
             break
         seen = seen.unionByName(new)

@@ -16,20 +16,25 @@ def taint_id(package: Column, script: Column, type_: Column, remark: Column, pla
 
 
 def sink_sites(nodes: DataFrame, sinks: DataFrame) -> DataFrame:
-    """nodes (node, type, callee), sinks (type, callee, sink_type): calls and constructions whose callee's first two segments are a rule's."""
-    n = nodes.filter(F.col("type").isin("CallExpression", "NewExpression")).withColumn("callee", F.substring_index("callee", ".", 2))
-    return n.join(F.broadcast(sinks), ["type", "callee"]).select("node", "callee", "sink_type")
-
-
-def compare(op: Column, left: Column, right: Column) -> Column:
-    """Truth of a comparison of two literals, as text; null where an operand or the operator isn't known. Numbers are compared as numbers."""
-    a, b = F.try_to_number(left, F.lit("S999999999999.999999")), F.try_to_number(right, F.lit("S999999999999.999999"))
-    numbers = a.isNotNull() & b.isNotNull()
-    less, same = F.when(numbers, a < b).otherwise(left < right), F.when(numbers, a == b).otherwise(left == right)
-    return (
-        F.when(op.isin("==", "==="), same).when(op.isin("!=", "!=="), ~same).when(op == "<", less).when(op == "<=", less | same)
-        .when(op == ">", ~(less | same)).when(op == ">=", ~less)
-    )
+    """nodes (node, type, callee), sinks (type, callee, sink_type): calls and constructions of what a rule names by one name, or by an object and a property; a rule's further segments aren't compared. The callee given is the rule's."""
+    r = sinks.select("type", F.substring_index("callee", ".", 2).alias("called"), "callee", "sink_type")
+    n = nodes.filter(F.col("type").isin("CallExpression", "NewExpression")).select(*(c for c in nodes.columns if c != "callee"), F.col("callee").alias("called"))
+    return n.join(F.broadcast(r), ["type", "called"]).select("node", "callee", "sink_type")
+
+
+def compare(op: Column, left_kind: Column, left: Column, right_kind: Column, right: Column) -> Column:
+    """Truth of a comparison of two literals (string, number, boolean, null, undefined) by the language's rules; null where an operand's kind or the operator isn't known."""
+    nothing = lambda k: k.isin("null", "undefined")
+    read = lambda t: F.try_to_number(F.trim(t), F.lit("S999999999999.999999"))
+    as_number = lambda k, t: F.when(k == "boolean", F.when(t == "true", 1).otherwise(0)).when(k == "null", 0).when((k == "string") & (F.trim(t) == ""), 0).when(k.isin("string", "number"), read(t))
+    a, b, strings = as_number(left_kind, left), as_number(right_kind, right), (left_kind == "string") & (right_kind == "string")
+    same_number = F.coalesce(a == b, F.lit(False))
+    strict = (left_kind == right_kind) & F.when(left_kind == "number", same_number).otherwise(left == right)
+    loose = F.when(nothing(left_kind) | nothing(right_kind), nothing(left_kind) & nothing(right_kind)).when(strings, left == right).otherwise(same_number)
+    less, more = F.when(strings, left < right).otherwise(F.coalesce(a < b, F.lit(False))), F.when(strings, left > right).otherwise(F.coalesce(a > b, F.lit(False)))
+    equal = F.when(strings, left == right).otherwise(same_number)
+    known = left_kind.isNotNull() & right_kind.isNotNull()
+    return F.when(known, F.when(op == "===", strict).when(op == "!==", ~strict).when(op == "==", loose).when(op == "!=", ~loose).when(op == "<", less).when(op == "<=", less | equal).when(op == ">", more).when(op == ">=", more | equal))
 
 
 def live_edges(edges: DataFrame, guards: DataFrame) -> DataFrame:
@@ -38,6 +43,24 @@ def live_edges(edges: DataFrame, guards: DataFrame) -> DataFrame:
     return edges.join(dead, ["src", "kind"], "left_anti")
 
 
+def live_cases(edges: DataFrame, cases: DataFrame) -> DataFrame:
+    """edges (src, dst, kind), cases (src, dst, truth) of switches: without the cases whose literal can't be the subject's (an entry that another case shares stays), and without the default where a case surely is the one."""
+    never = cases.groupBy("src", "dst").agg(F.bool_and(F.coalesce(~F.col("truth"), F.lit(False))).alias("never")).filter("never").select("src", "dst", F.lit("CASE").alias("kind"))
+    sure = cases.filter("truth").select("src", F.lit("DEFAULT").alias("kind")).distinct()
+    return edges.join(never, ["src", "dst", "kind"], "left_anti").join(sure, ["src", "kind"], "left_anti")
+
+
+def broken_graphs(edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """edges (graph, src, dst), entries (graph, entry, exit): what is wrong with graphs of control flow; empty if nothing is. An entry without a successor, an exit that has one or is never reached, and edges of graphs that aren't known."""
+    leaves = edges.select("graph", F.col("src").alias("node")).distinct()
+    arrives = edges.select("graph", F.col("dst").alias("node")).distinct()
+    say = lambda df, what: df.select("graph", F.lit(what).alias("fault"))
+    e, x = entries.select("graph", F.col("entry").alias("node")), entries.select("graph", F.col("exit").alias("node"))
+    out = say(e.join(leaves, ["graph", "node"], "left_anti"), "entry without a successor").unionByName(say(x.join(leaves, ["graph", "node"], "left_semi"), "exit with a successor"))
+    out = out.unionByName(say(x.join(arrives, ["graph", "node"], "left_anti"), "exit without a predecessor"))
+    return out.unionByName(say(edges.select("graph").distinct().join(entries, "graph", "left_anti"), "graph without an entry"))
+
+
 def key_shapes(args: DataFrame) -> DataFrame:
     """args (get_id, shape, literal, options, defaults): a row for each key that is asked for; a null key is one that isn't known. Shapes: literal, union, array, object, none (all keys), unknown."""
     none = F.array(F.lit(None).cast("string"))
@@ -116,3 +139,9 @@ def superclass_members(classes: DataFrame, own: DataFrame) -> DataFrame:
     up = graph.closure(classes.filter("parent is not null").select(F.col("class").alias("src"), F.col("parent").alias("dst")), classes.select(F.col("class").alias("root")).distinct())
     m = up.select(F.col("root").alias("c"), F.col("node").alias("class"), "depth").join(own, "class")
     return m.groupBy(F.col("c").alias("class"), "name", "is_static").agg(F.min_by("def", "depth").alias("def"))
+
+
+def set_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two sets of rows with the same columns: `and`, `minus` and `or` of them, with the operation in `op`."""
+    out = a.intersect(b).withColumn("op", F.lit("and"))
+    return out.unionByName(a.subtract(b).withColumn("op", F.lit("minus"))).unionByName(a.union(b).distinct().withColumn("op", F.lit("or")))

@@ -52,6 +52,63 @@ def summary(flows: DataFrame, files: DataFrame) -> DataFrame:
     return by.crossJoin(size).select(F.to_json(F.struct("flows", "files", "bytes")).alias("summary"))  # one row each
 
 
+def totals(files: DataFrame) -> DataFrame:
+    """One row: how many files and bytes."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+
+
+def issues(flows: DataFrame, file: str) -> DataFrame:
+    """Flows by file."""
+    return flows.groupBy(file).agg(F.count("*").alias("issues"))
+
+
+def representatives(sources: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
+    """The first source of each key has its path; the others are kept as stubs, without one (`repeated`). The first is found by an aggregate and joined back, so a hot key's rows are never one task's."""
+    first = sources.groupBy(*keys).agg(F.min(F.struct(*order)).alias("__first"))
+    out = sources.join(first, keys).withColumn("repeated", F.struct(*order) != F.col("__first")).drop("__first")
+    return out.withColumn(path, F.when(~F.col("repeated"), F.col(path)))
+
+
+def hit_rate(lookups: DataFrame, key: str) -> DataFrame:
+    """Hits and lookups of each cache, and their ratio; 0 without lookups."""
+    out = lookups.groupBy(key).agg(F.count_if("hit").alias("hits"), F.count("*").alias("lookups"))
+    return out.withColumn("rate", F.coalesce(F.col("hits") / F.nullif(F.col("lookups"), F.lit(0)), F.lit(0.0)))
+
+
+def dataset_rows(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """rows (is_true, is_duplicate, kind): the true ones that repeat no other, of the kinds asked for."""
+    return rows.filter(F.coalesce("is_true", F.lit(False)) & ~F.coalesce("is_duplicate", F.lit(False)) & F.col("kind").isin(kinds))
+
+
+def constraint_json(constraint: Column) -> Column:
+    """A constraint as JSON text; fields without a value are left out."""
+    return F.to_json(constraint)
+
+
+def flow_json(flows: DataFrame) -> DataFrame:
+    """A JSON line for each flow; null fields are kept, as readers count on all fields."""
+    return flows.select(F.to_json(F.struct(*flows.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def source_markdown(sources: DataFrame) -> DataFrame:
+    """sources (source_type, remark, location, path): a heading for each type with its number, and a line for each source with its path, in order: (source_type, no, line)."""
+    line = F.concat(F.lit("- "), F.coalesce("remark", F.lit("")), F.lit(" at "), F.coalesce("location", F.lit("[unknown_loc]")), F.when(F.col("path").isNotNull(), F.concat(F.lit(": "), F.col("path"))).otherwise(""))
+    w = Window.partitionBy("source_type").orderBy("location", "remark", "path")
+    body = sources.select("source_type", F.row_number().over(w).alias("no"), line.alias("line"))
+    heads = sources.groupBy("source_type").agg(F.count("*").alias("n")).select("source_type", F.lit(0).alias("no"), F.format_string("## %s (%d)", "source_type", "n").alias("line"))
+    return heads.unionByName(body)
+
+
+def html_page(flows: DataFrame, columns: list[str], title: str) -> str:
+    """A whole page with a row for each flow, without any outside file. For a report of a size that a reader can take in; the rows come to the driver."""
+    import html
+
+    rows = "\n".join(r["row"] for r in html_rows(flows, columns).toLocalIterator())
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
+    t = html.escape(title)
+    return f'<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>{t}</title><style>table{{border-collapse:collapse}}td,th{{border:1px solid #999;padding:2px 6px}}</style></head>\n<body><h1>{t}</h1><table><thead><tr>{head}</tr></thead><tbody>\n{rows}\n</tbody></table></body></html>\n'
+
+
 def dot_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (graph, id, label), edges (graph, src, dst, label): a row for each graph with its DOT text; a graph is a function's, so its lines fit one row."""
     quote = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -61,10 +118,10 @@ def dot_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lines.select("graph", F.concat(F.lit("digraph {\n"), F.array_join(F.col("x.line"), "\n"), F.lit("\n}\n")).alias("dot"))
 
 
-def html_rows(flows: DataFrame, columns: list[str]) -> DataFrame:
+def html_rows(flows: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
     """A table row of escaped cells for each flow; a page of them needs no outside file."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    return flows.select(F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in columns), F.lit("</tr>")).alias("row"))
+    return flows.select(*(keep or []), F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), esc(c), F.lit("</td>")) for c in columns), F.lit("</tr>")).alias("row"))
 
 
 def worst_first(covered: DataFrame, key: str) -> DataFrame:

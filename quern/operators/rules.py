@@ -98,6 +98,11 @@ def default_rules() -> dict:
     return {"version": 1, "rules": rules, "suppress": hidden}
 
 
+def rule_counts(rules: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many rules and suppressions there are: (by..., kind, n)."""
+    return rules.groupBy(*(by or []), F.when(F.col("suppress"), "suppress").otherwise("rules").alias("kind")).agg(F.count("*").cast("int").alias("n"))
+
+
 def _fits(values: str, one: str, by_glob: bool):
     test = (lambda p: glob_match(F.col(one), p)) if by_glob else (lambda p: p == F.col(one))
     return (F.size(values) == 0) | F.exists(values, test)

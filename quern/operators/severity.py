@@ -41,6 +41,12 @@ def constraint(source_type: Column, sink_type: Column, family: Column, matches:
     )
 
 
+def with_fallback(flows: DataFrame, constraints: DataFrame, trackers: DataFrame) -> DataFrame:
+    """flows (frame, taint), constraints (frame, severity), trackers (taint, severity): a flow's severity is its frame's, else that of the tracker of its taint, else LOW. Each side has one row for a key."""
+    out = flows.join(constraints.withColumnRenamed("severity", "__of_frame"), "frame", "left").join(trackers.withColumnRenamed("severity", "__of_taint"), "taint", "left")
+    return out.withColumn("severity", F.coalesce("__of_frame", "__of_taint", F.lit("LOW"))).drop("__of_frame", "__of_taint")
+
+
 def most_severe(rows: DataFrame, keys: list[str], rank: str, order: str, columns: list[str]) -> DataFrame:
     """For each key the row of the largest rank, the first in order at ties."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns, rank), F.struct(F.col(rank), -F.col(order))).alias("r")).select(*keys, "r.*")

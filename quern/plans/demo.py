@@ -4,12 +4,12 @@ The tables stand in for facts: events for reads and writes of stored values, par
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
-from ..operators import bridges, classify, filters, graph, report, rules, severity
+from ..operators import bridges, classify, filters, graph, program, report, rules, severity
 from ..operators.privilege import gate
 from ..sources.packages import html_scripts
 from ..streaming.counts import stream_table, window_counts
@@ -93,8 +93,8 @@ SELECT event_id, flow_type, reason, reason IS NULL AS crossing FROM gated""")
 def q_privilege(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = rules.match_flows(_flows(spark, sf_dir), rules.rules_frame(spark, [rules.default_rules()]))
     family = F.element_at(F.array(*map(F.lit, ("CS", "BG", "MAIN", "EX"))), (F.col("user_id") % 4 + 1).cast("int"))
-    f = named.withColumns({"source_family": family, "sink_family": family, "storage_area": F.lit("local"), "storage_key": (F.col("user_id") % 2).cast("string"), "sink_code": F.lit("")})
-    readers = spark.createDataFrame([("local", "0")], "area string, key string")
+    f = named.withColumns({"source_family": family, "sink_family": family, "package": F.lit("p"), "storage_area": F.lit("local"), "storage_key": (F.col("user_id") % 2).cast("string"), "sink_code": F.lit("")})
+    readers = spark.createDataFrame([("p", "local", "0")], "package string, area string, key string")
     return gate(f, readers).select("event_id", "flow_type", "reason", "crossing")
 
 
@@ -103,11 +103,12 @@ rules AS (SELECT * FROM (VALUES (0, 'PROMO*', 'A'), (1, '*BRASS', 'B'), (2, 'STA
 SELECT name, ord, tag FROM names JOIN rules ON name = pat OR (contains(pat, '*') AND regexp_full_match(name, replace(pat, '*', '.*')))
 WHERE NOT (regexp_full_match(name, '.*PLATED.*') AND tag = 'B')""")
 def q_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _t(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct()
-    r = spark.createDataFrame([(0, "PROMO*", "A"), (1, "*BRASS", "B"), (2, "STANDARD*", "C"), (3, "*STEEL*", "D")], "ord int, pat string, tag string")
-    off = spark.createDataFrame([("*PLATED*", "B")], "off string, off_tag string")
-    found = names.join(F.broadcast(r), S.glob_match(F.col("name"), F.col("pat")))
-    return found.join(F.broadcast(off), S.glob_match(F.col("name"), F.col("off")) & (F.col("tag") == F.col("off_tag")), "left_anti").select("name", "ord", "tag")
+    names = _t(spark, sf_dir, "part").select(F.col("p_type").alias("source_type")).distinct()
+    pairs = names.select("source_type", F.lit("T").alias("sink_type"), F.lit("S").alias("source_cap"), F.lit("K").alias("sink_cap"))
+    by_name = [{"id": tag, "flowType": tag, "match": {"sourceType": pattern}} for pattern, tag in (("PROMO*", "A"), ("*BRASS", "B"), ("STANDARD*", "C"), ("*STEEL*", "D"))]
+    off = [{"id": "off", "flowType": "B", "match": {"sourceType": "*PLATED*"}}]
+    found = rules.match_pairs(pairs, rules.rules_frame(spark, [{"version": 1, "rules": by_name, "suppress": off}]))
+    return found.select(F.col("source_type").alias("name"), "ord", F.col("flow_type").alias("tag"))
 
 
 _EVENT_KEY = "json_extract_string(props, '$.k')"
@@ -116,9 +117,9 @@ _EVENT_KEY = "json_extract_string(props, '$.k')"
 @query(f"""WITH e AS (SELECT event_id, user_id, ts, event_type, {_EVENT_KEY} AS k FROM events)
 SELECT s.event_id AS set_id, g.event_id AS get_id FROM e s JOIN e g ON s.user_id = g.user_id AND s.k = g.k AND s.event_type = 'click' AND g.event_type = 'view'""")
 def q_storage_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("area"), F.get_json_object("props", "$.k").alias("key"), "event_type").filter("key is not null")
-    sets = e.filter("event_type = 'click'").select("area", "key", F.col("event_id").alias("set_id"))
-    gets = e.filter("event_type = 'view'").select("area", "key", F.col("event_id").alias("get_id"))
+    e = _t(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("string").alias("package"), F.lit("local").alias("area"), F.get_json_object("props", "$.k").alias("key"), "event_type").filter("key is not null")
+    sets = e.filter("event_type = 'click'").select("package", "area", "key", F.col("event_id").alias("set_id"))
+    gets = e.filter("event_type = 'view'").select("package", "area", "key", F.col("event_id").alias("get_id"))
     return bridges.storage_bridge(sets, gets).select("set_id", "get_id")
 
 
@@ -128,12 +129,12 @@ def q_reaching_def(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", bridges.last_definition(d, ["user_id"], ["ts", "event_id"]).alias("def_id"))
 
 
-@query("""WITH RECURSIVE t(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 10 = 0 UNION ALL
+@query("""WITH RECURSIVE t(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL
 SELECT root, node // 2, depth + 1 FROM t WHERE node // 2 > 0) SELECT root, node, depth FROM t""")
 def q_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
     edges = p.select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst")).filter("dst > 0")
-    return graph.closure(edges, p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("root")))
+    return graph.closure(edges, p.select(F.col("p_partkey").alias("root")))
 
 
 @query("SELECT p_partkey AS node, CASE WHEN p_partkey < 1 THEN 0 ELSE CAST(floor(log2(p_partkey)) AS INT) END AS level FROM part")
@@ -177,7 +178,7 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script\b([^>]*)>(.*?)</script\s*>', 2)) AS body, unnest(regexp_extract_all(html, '(?is)<script\b([^>]*)>(.*?)</script\s*>', 1)) AS a FROM pages)
-SELECT page_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(trim(body))) AS BIGINT) AS chars FROM s WHERE NOT regexp_matches(a, 'src\s*=') AND trim(body) <> '' GROUP BY page_id""")
+SELECT page_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(length(regexp_replace(body, '^\s+|\s+$', '', 'g'))) AS BIGINT) AS chars FROM s WHERE regexp_extract(a, 'src\s*=\s*"?([^"\s]*)', 1) = '' AND regexp_replace(body, '^\s+|\s+$', '', 'g') <> '' GROUP BY page_id""")
 def q_html_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_scripts(_t(spark, sf_dir, "pages"), "page_id", "html").filter("kind = 'inline'")
     return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("body").cast("long")).alias("chars"))
@@ -235,9 +236,8 @@ def q_frame_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)
 SELECT event_id, coalesce(bool_or(event_type = 'click') OVER (PARTITION BY user_id, g ORDER BY ts, event_id), false) AS tainted FROM e""")
 def q_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, sf_dir, "events").withColumn("g", F.count_if(F.col("event_type") == "error").over(w))
-    return e.select("event_id", F.bool_or(F.col("event_type") == "click").over(Window.partitionBy("user_id", "g").orderBy("ts", "event_id")).alias("tainted"))
+    e = _t(spark, sf_dir, "events")
+    return bridges.straight_line_taint(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "click", F.col("event_type") == "error").select("event_id", "tainted")
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -257,8 +257,7 @@ UNION ALL SELECT 'or', count(*) FROM (SELECT p_partkey FROM part WHERE p_size <
 def q_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _t(spark, sf_dir, "part").filter("p_size < 25").select(F.col("p_partkey").alias("k"))
     b = _t(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("k"))
-    n = lambda op, d: d.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
-    return n("and", a.intersect(b)).unionByName(n("minus", a.subtract(b))).unionByName(n("or", a.union(b).distinct()))
+    return program.set_algebra(a, b).groupBy("op").agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT doc_id, text, length(text) // 2 AS s FROM documents)
@@ -273,8 +272,8 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 WHERE s_suppkey % 3 = 0 OR c_custkey % 3 = 0 OR s_suppkey % 3 = c_custkey % 3""")
 def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     outer = lambda c: F.when(F.col(c) % 3 != 0, F.col(c) % 3)
-    send = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("send_id"), F.col("s_nationkey").cast("string").alias("channel"), outer("s_suppkey").alias("outer_id"))
-    recv = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("recv_id"), F.col("c_nationkey").cast("string").alias("channel"), outer("c_custkey").alias("outer_id"))
+    send = _t(spark, sf_dir, "supplier").select(F.lit("p").alias("package"), F.col("s_suppkey").alias("send_id"), F.col("s_nationkey").cast("string").alias("channel"), outer("s_suppkey").alias("outer_id"))
+    recv = _t(spark, sf_dir, "customer").select(F.lit("p").alias("package"), F.col("c_custkey").alias("recv_id"), F.col("c_nationkey").cast("string").alias("channel"), outer("c_custkey").alias("outer_id"))
     roots = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("channel"), F.col("r_name").alias("root"))
     return bridges.channel_bridge(send, recv).join(roots, "channel").select("send_id", "recv_id", "channel", "root")
 
@@ -305,3 +304,6 @@ def q_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag AS tool, count(*) FILTER (l_linestatus = 'O') AS tp, count(*) FILTER (l_linestatus <> 'O') AS fp, count(*) FILTER (l_linestatus = 'O') / count(*) AS precision FROM lineitem GROUP BY 1")
 def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.verdict_counts(_t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tool"), (F.col("l_linestatus") == "O").alias("is_true")))
+
+
+from . import more  # noqa: E402, F401  (more queries, into the same tables)

@@ -104,7 +104,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def read_folders(spark: SparkSession, root: str) -> DataFrame:
     """Rows of FILES of unpacked packages, a folder below root each; folders without a manifest.json are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rest = F.substring_index(F.col("path"), root.rstrip("/").split("/")[-1] + "/", -1)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    own = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    # Paths are cut by the length of the root's own path; the scheme before it may be written in more than one way.
+    rest = F.substring(F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", ""), len(own) + 2, 1 << 30)
     files = raw.select(F.regexp_extract(rest, "^([^/]+)/", 1).alias("package"), F.lit("DIR").alias("kind"), F.regexp_replace(rest, "^[^/]+/", "").alias("path"), F.col("length").alias("size"), "content", F.lit(None).cast("binary").alias("public_key"), F.lit(None).cast("string").alias("error"))
     return files.join(files.filter("path = 'manifest.json'").select("package"), "package", "left_semi").select(*(c.split()[0] for c in FILES.split(", ")))
 
@@ -137,14 +140,27 @@ def attributes(text: Column) -> Column:
 
 
 def html_scripts(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, ord, kind (inline, local or external), src, body, script_type of each script tag. Inline scripts that are empty are left out; a local source is kept once."""
+    """key, ord, kind (inline, local or external), src, body, script_type, inline_no of each script tag. A tag with an empty src is inline; surrounding white space of a src doesn't count, and a src of nothing else is left out, as are inline scripts of white space; a local source is kept once. inline_no numbers the inline scripts of a page from 0."""
     tags = F.arrays_zip(F.regexp_extract_all(html, F.lit(_TAG), F.lit(1)).alias("a"), F.regexp_extract_all(html, F.lit(_TAG), F.lit(2)).alias("b"))
     t = pages.select(key, F.posexplode(tags).alias("ord", "t")).select(key, "ord", attributes(F.col("t.a")).alias("at"), F.col("t.b").alias("body"))
-    src = F.element_at("at", "src")
-    t = t.select(key, "ord", F.when(src.isNull(), "inline").when(is_external_url(src), "external").otherwise("local").alias("kind"), src.alias("src"), F.when(src.isNull(), F.trim("body")).alias("body"), F.coalesce(F.element_at("at", "type"), F.lit("text/javascript")).alias("script_type"))
+    blank = lambda c: F.regexp_replace(c, r"(?s)^[\s\ufeff\u00a0]+|[\s\ufeff\u00a0]+$", "")
+    raw = F.nullif(F.element_at("at", "src"), F.lit(""))
+    src = blank(raw)
+    t = t.filter(src.isNull() | (src != ""))
+    t = t.select(key, "ord", F.when(src.isNull(), "inline").when(is_external_url(src), "external").otherwise("local").alias("kind"), src.alias("src"), F.when(src.isNull(), blank(F.col("body"))).alias("body"), F.coalesce(F.element_at("at", "type"), F.lit("text/javascript")).alias("script_type"), (F.coalesce(F.element_at("at", "type"), F.lit("")) != "").alias("typed"))
     t = t.filter((F.col("kind") != "inline") | (F.length("body") > 0))
-    first = t.groupBy(key, "kind", "src", F.when(F.col("kind") == "inline", F.col("ord")).alias("__o")).agg(F.min_by(F.struct("ord", "body", "script_type"), "ord").alias("r"))
-    return first.select(key, "r.ord", "kind", "src", "r.body", "r.script_type")
+    first = t.groupBy(key, "kind", "src", F.when(F.col("kind") == "inline", F.col("ord")).alias("__o")).agg(F.min_by(F.struct("ord", "body", "script_type", "typed"), "ord").alias("r"))
+    out = first.select(key, "r.ord", "kind", "src", "r.body", "r.script_type", "r.typed")
+    numbers = out.filter("kind = 'inline'").groupBy(key).agg(F.array_sort(F.collect_list("ord")).alias("__all"))  # the scripts of a page
+    return out.join(numbers, key, "left").withColumn("inline_no", F.when(F.col("kind") == "inline", F.array_position("__all", F.col("ord")).cast("int") - 1)).drop("__all")
+
+
+def inline_files(scripts: DataFrame, page_path: str) -> DataFrame:
+    """Inline rows of `html_scripts` as scripts of their own: path (below .epg-inline, named after the page and the number) and code (three or four lines of comment that say where it is from, and the body)."""
+    page = F.col(page_path)
+    safe = F.regexp_replace(F.regexp_replace(page, r"[/\\:]", "_"), r"(?i)\.html?$", "")
+    head = F.concat(F.lit("// [epg-virtual-inline]\n// source-html: "), page, F.lit("\n// script-index: "), F.col("inline_no").cast("string"), F.lit("\n"), F.when(F.col("typed"), F.concat(F.lit("// script-type: "), F.col("script_type"), F.lit("\n"))).otherwise(""))
+    return scripts.filter("kind = 'inline'").select(page_path, F.concat(F.lit(".epg-inline/"), safe, F.lit(".inline-"), F.col("inline_no").cast("string"), F.lit(".js")).alias("path"), F.concat(head, F.col("body")).alias("code"))
 
 
 def resolve(page_path: Column, src: Column) -> Column:

@@ -21,7 +21,7 @@ def _sorted(rows):
     return sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(demo.QUERIES))
+@pytest.mark.parametrize("name", sorted(demo.SQL))
 def test_against_sql(spark, duck, name):
     got = demo.QUERIES[name](spark, SF)
     want = duck.sql(demo.SQL[name])

@@ -69,8 +69,8 @@ def test_severity(spark, source, family, matches, want):
 
 
 def test_storage_bridge_wildcards(spark):
-    sets = spark.createDataFrame([("local", "a", 1), ("local", None, 2), ("sync", "a", 3)], "area string, key string, set_id long")
-    gets = spark.createDataFrame([("local", "a", 10), ("local", None, 11), ("*", "a", 12)], "area string, key string, get_id long")
+    sets = spark.createDataFrame([("p", "local", "a", 1), ("p", "local", None, 2), ("p", "sync", "a", 3), ("q", "local", "a", 4)], "package string, area string, key string, set_id long")
+    gets = spark.createDataFrame([("p", "local", "a", 10), ("p", "local", None, 11), ("p", "*", "a", 12), ("r", "local", "a", 13)], "package string, area string, key string, get_id long")
     got = sorted(tuple(r) for r in bridges.storage_bridge(sets, gets).collect())
     assert got == [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 12)]
 
@@ -160,10 +160,12 @@ def _field(k, v):
 
 
 def test_html_scripts(spark):
-    html = '<script>one()</script><SCRIPT SRC="../lib/a.js"></SCRIPT><script src=/b.js type=module></script><script src="https://x/y.js"></script><script>  </script>'
+    html = '<script>one()</script><SCRIPT SRC="../lib/a.js"></SCRIPT><script src=/b.js type=module></script><script src="https://x/y.js"></script><script>  </script><script src="">two()</script><script src=" c.js ">x</script><script>\n\n</script><script src="  "></script>'
     got = packages.html_scripts(spark.createDataFrame([(1, html)], "k long, html string"), "k", "html")
     rows = {(r["kind"], r["src"], r["script_type"]) for r in got.collect()}
-    assert rows == {("inline", None, "text/javascript"), ("local", "../lib/a.js", "text/javascript"), ("local", "/b.js", "module"), ("external", "https://x/y.js", "text/javascript")}
+    assert rows == {("inline", None, "text/javascript"), ("local", "../lib/a.js", "text/javascript"), ("local", "/b.js", "module"), ("external", "https://x/y.js", "text/javascript"), ("local", "c.js", "text/javascript")}
+    inline = packages.inline_files(got.withColumn("page", F.lit("pages/p.html")), "page").orderBy("path").collect()
+    assert [(r["path"], r["code"].split("\n")[-1]) for r in inline] == [(".epg-inline/pages_p.inline-0.js", "one()"), (".epg-inline/pages_p.inline-1.js", "two()")]
     paths = spark.range(1).select(*(packages.resolve(F.lit("pages/p.html"), F.lit(s)) for s in ("../lib/a.js?x", "/b.js", "./c.js"))).first()
     assert tuple(paths) == ("lib/a.js", "b.js", "pages/c.js")
 
@@ -201,3 +203,28 @@ def test_report_texts(spark):
     assert [(r["k"], r["percent"]) for r in report.worst_first(cov, "k").collect()] == [("b", "0.0%"), ("a", "50.0%")]
     r = spark.range(1).select(S.url_with_query("https://h/p", id=F.lit("a b"), v=F.lit("1")).alias("u"), S.value_at(F.lit('{"a": {"b": [1, {"c": "z"}]}}'), "a.b.1.c").alias("v")).first()
     assert (r["u"], r["v"]) == ("https://h/p?id=a+b&v=1", "z")
+
+
+def test_folders(spark, tmp_path):
+    root = tmp_path / "ext"
+    for path, text in {"myext/manifest.json": "{}", "myext/ext/a.js": "1", "other/manifest.json": "{}", "other/b.js": "2", "none/c.js": "3"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    got = {(r["package"], r["path"]) for r in packages.read_folders(spark, str(root)).collect()}
+    assert got == {("myext", "manifest.json"), ("myext", "ext/a.js"), ("other", "manifest.json"), ("other", "b.js")}
+
+
+def test_long_chains_and_levels(spark):
+    chain = spark.range(300).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    levels = graph.topo_levels(chain.filter("src < 20").toDF("dep", "node"), spark.range(21).toDF("node"))
+    assert {r["node"]: r["level"] for r in levels.collect()} == {k: k for k in range(21)}
+    got = graph.paths(chain.filter("src < 30"), spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(30,)], "node long"))
+    assert [r["path"] for r in got.collect()] == [list(range(31))]
+
+
+def test_html_page_needs_no_other_file(spark):
+    page = report.html_page(spark.createDataFrame([("<b>", "x")], "flow_type string, sink string"), ["flow_type", "sink"], "Flows & more")
+    assert "&lt;b&gt;" in page and "Flows &amp; more" in page and "<script src" not in page and "<link" not in page
+    lines = [r["line"] for r in report.source_markdown(spark.createDataFrame([("S", "r", "L1", "a>b"), ("S", None, None, None)], "source_type string, remark string, location string, path string")).orderBy("source_type", "no").collect()]
+    assert lines == ["## S (2)", "-  at [unknown_loc]", "- r at L1: a>b"]
+    assert report.flow_json(spark.createDataFrame([("F", None)], "a string, b string")).first()["json"] == '{"a":"F","b":null}'

@@ -8,11 +8,15 @@ def _rows(df):
 
 
 def test_sinks_branches_and_edges(spark):
-    nodes = spark.createDataFrame([(1, "CallExpression", "chrome.tabs.create"), (2, "NewExpression", "Function"), (3, "Identifier", "eval")], "node int, type string, callee string")
+    nodes = spark.createDataFrame([(1, "CallExpression", "chrome.tabs"), (2, "NewExpression", "Function"), (3, "Identifier", "eval"), (4, "CallExpression", "chrome.tabs.create")], "node int, type string, callee string")
     sinks = spark.createDataFrame([("CallExpression", "chrome.tabs", "TABS"), ("NewExpression", "Function", "NEW_FUNCTION")], "type string, callee string, sink_type string")
     assert _rows(P.sink_sites(nodes, sinks)) == [(1, "chrome.tabs", "TABS"), (2, "Function", "NEW_FUNCTION")]
-    c = spark.createDataFrame([("<", "9", "10"), ("===", "a", "b"), (">=", "2", None), ("in", "1", "2"), ("!=", "a", "b"), (">", "b", "a")], "op string, a string, b string")
-    assert [r[0] for r in c.select(P.compare(F.col("op"), F.col("a"), F.col("b"))).collect()] == [True, False, None, None, True, True]
+    cases = [
+        (("<", "number", "9", "number", "10"), True), (("<", "string", "9", "string", "10"), False), (("===", "string", "1", "string", "1.0"), False), (("===", "number", "1", "string", "1"), False), (("==", "number", "1", "string", "1"), True),
+        ((">=", "number", "2", None, None), None), (("in", "string", "1", "string", "2"), None), (("!=", "string", "a", "string", "b"), True), ((">", "string", "b", "string", "a"), True), (("==", "null", "null", "undefined", "undefined"), True), (("==", "null", "null", "number", "0"), False),
+    ]
+    c = spark.createDataFrame([x for x, _ in cases], "op string, k string, a string, m string, b string").coalesce(1)
+    assert [r[0] for r in c.select(P.compare(*(F.col(x) for x in ("op", "k", "a", "m", "b")))).collect()] == [x for _, x in cases]
     edges = spark.createDataFrame([(1, 2, "TRUE"), (1, 3, "FALSE"), (4, 5, "TRUE"), (4, 6, "FALSE"), (7, 8, "TRUE"), (7, 9, "FALSE")], "src int, dst int, kind string")
     guards = spark.createDataFrame([(1, True, False), (4, True, True), (7, False, False)], "src int, truth boolean, is_loop boolean")
     assert {r["dst"] for r in P.live_edges(edges, guards).collect()} == {2, 5, 6, 9}
