@@ -1,13 +1,14 @@
 """Near-duplicates by MinHash, banded candidates and odd sketches.
 
 1. Each text's set of word shingles gives K MinHash samples: bands of them propose candidates, and all of them, folded into a parity bitmap (an odd sketch), estimate the similarity of a candidate pair by the population count of the bitmaps' XOR.
-2. Texts with equal sets are one class; only one of them goes on.
-3. In each bucket (band, value), members are paired with one hub, not with each other. Pairs that the sketch finds likely are confirmed on the full sets, and the links make components. This is repeated with another hub. Then the pairs of a bucket that lie in different components are considered: only these can still change a component. They are bounded by sizes, by the sketch, and by counts of shingles in hash classes, whose lesser ones add up to no less than the overlap. So no link between different components is lost, and a bucket whose members are alike costs as many pairs as it has members.
-4. Components are found by star contraction over written tables.
+2. Texts with equal sets are one class, named by the set's 128-bit digest; only classes go on, however many rows and ids they have.
+3. In each bucket (band, value), classes are paired with two hubs, the least and the most central of them, not with each other. Pairs that the sketch finds likely are confirmed on the full sets, and the links make components.
+4. Then only pairs of a bucket that lie in different components can still change a component. Where a bucket has few classes, or few outside its largest component, those few meet the others. The classes of all other buckets (templates: texts that are alike, but not enough) are paired anew by their rarest shingles: two sets with a similarity of t have a shingle in common among the n - ceil(t * n) + 1 rarest of each, so buckets by these lose nothing, and what a template's texts share isn't among them. All these pairs are bounded by sizes, by the sketch and by counts of shingles in hash classes (the lesser counts add up to no less than the overlap), then confirmed. No link between different components is lost, and a bucket of texts that are alike costs as many pairs as it has members.
+5. Components are found by star contraction over written tables.
 
-A pair at the threshold of 0.85 misses all 32 bands of 4 rows with probability 5e-11 and is refused by the sketch with about 1e-8.
+A pair at 0.8 misses all 32 bands of 4 rows with probability 5e-8 (at 0.85: 5e-11) and is refused by the sketch with about 1e-8.
 
-Edge cases: texts without words are linked with nothing and kept; a text of fewer words than a shingle has its whole word sequence as its only shingle; repeated rows are linked like any equal texts. An empty table gives an empty result.
+Edge cases: texts without words are linked with nothing and kept; a text of fewer words than a shingle has its whole word sequence as its only shingle; repeated rows are linked like any equal texts, and so are different texts with one doc_id. A null doc_id counts as the least id: its component's id is null, and it is kept. An empty table gives an empty result. Only doc_id and text are read, so other columns may have any name; `one_of_each` keeps them all.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ BANDS, ROWS = 32, 4
 K = BANDS * ROWS
 SKETCH_BITS = 512
 CLASSES = 128
-#: Rows of ids (8 bytes each) that may be broadcast; beyond, the join is by shuffle.
+#: Rows of ids (16 bytes each) that may be broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A bucket's classes meet directly where it has so many at most, or so many outside its largest component.
+FEW, OUTSIDERS = 256, 64
+#: A shingle of so many sets at most isn't common.
+COMMON = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,10 +112,14 @@ def most_bits(threshold: float, sigmas: float = 5.5) -> int:
     return max((z for z in range(SKETCH_BITS // 2) if sketch_similarity(z) >= least), default=SKETCH_BITS)
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def _sign(size: int):
     def run(batches):
         for b in sub_batches(batches):
-            ids, n, digests, bands, odd = b.column(0), [], [], [], []
+            n, digests, bands, odd = [], [], [], []
             for s in shingle_sets(texts_of(b), size):
                 n.append(len(s))
                 if not len(s):
@@ -120,29 +129,46 @@ def _sign(size: int):
                 h = np.full(BANDS, 7, np.uint64)
                 for r in range(ROWS):
                     h = _mix(h * _MULT + m[r::ROWS])
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                digests.append(_digest(s))
                 bands.append((h + np.arange(BANDS, dtype=np.uint64) * _MULT).view(np.int64))
                 odd.append(odd_sketch(m).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "digest", "bands", "odd"])
 
     return run
 
 
 def _sets(size: int):
+    """Digest, the set, and its counts of shingles by hash class; null counts where they are too large for the type."""
+
     def run(batches):
         for b in sub_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(texts_of(b), size)], pa.binary())], names=["id", "s"])
+            sets = shingle_sets(texts_of(b), size)
+            counts = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([c.astype(np.int16) if c.max() < 1 << 15 else None for c in counts], pa.list_(pa.int16()))], names=["digest", "s", "by_class"])
 
     return run
 
 
-def _classes(size: int):
-    """Counts of shingles by hash class; null where they are too large for the type."""
+def _shingles(batches):
+    for b in batches:
+        for s in b.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.int64))], names=["bucket"])
+
+
+def _rarest(shared, percent: int):
+    """The n - ceil(t * n) + 1 first shingles of each set in one order for all sets: those that aren't common by their hash, then the common ones by how many sets have them."""
 
     def run(batches):
-        for b in sub_batches(batches):
-            counts = [np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES) for s in shingle_sets(texts_of(b), size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.astype(np.int16) if c.max() < 1 << 15 else None for c in counts], pa.list_(pa.int16()))], names=["rep", "by_class"])
+        names, df = shared.value
+        order = np.argsort(names)
+        names, df = names[order], df[order]
+        for b in batches:
+            for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(s, np.int64)
+                at = np.minimum(np.searchsorted(names, x), max(0, len(names) - 1))
+                often = np.where(names[at] == x, df[at], 0) if len(names) else np.zeros(len(x), np.int64)
+                first = x[np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(first), pa.binary()), pa.array(first)], names=["digest", "bucket"])
 
     return run
 
@@ -165,63 +191,130 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def groups(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.save(texts.mapInArrow(_sign(size), "doc_id long, n_shingles long, digest binary, bands array<long>, odd array<long>"), "signed")
-    reps = scratch.save(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "reps")
-    classes = scratch.save(signed.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("digest is not null").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "odd").dropDuplicates(["rep"]), "classes")
-    # Buckets of more than one class.
-    rows = classes.select(F.col("rep"), F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, h, text: a row is known by its id and a hash of its text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), text.alias("text"))
+
+
+def _same_row(left: str, right: str):
+    return F.col(f"{left}.h").eqNullSafe(F.col(f"{right}.h")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+
+
+def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """Per row: doc_id, h (a hash of its text), n_shingles, class (null without words), component_id, kept."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    texts = _marked(docs)
+    signed = scratch.save(texts.mapInArrow(_sign(size), "doc_id long, h long, n_shingles long, digest binary, bands array<long>, odd array<long>"), "signed")
+    # One row for each class; min() takes a null id as the least.
+    classes = scratch.save(signed.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "h")).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", "odd"))), "classes")
+    # Buckets of more than one class. What is aggregated is written before it meets the rows, so that adaptive execution can split a hot bucket.
+    rows = classes.select("digest", F.explode("bands").alias("bucket"))
+    shared = scratch.save(rows.groupBy("bucket").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("m")).filter("low < high").drop("high"), "shared")
     buckets = scratch.save(rows.join(shared, "bucket"), "buckets")
-    sketches = classes.join(buckets.select("rep").distinct(), "rep", "left_semi").select("rep", "n_shingles", "odd")
-    sketches = scratch.save(sketches, "sketches")
+    # A bucket's second hub is its most central class, which meets most others in its buckets: of a text and its edited copies, the text.
+    central = scratch.save(buckets.groupBy("digest").agg(F.sum("m").alias("met")), "central")
+    hub = scratch.save(buckets.join(central, "digest").groupBy("bucket").agg(F.max_by("digest", F.struct("met", "digest")).alias("hub")), "hub")
+    # The sets of all classes in them, found once.
+    near = scratch.save(buckets.select("digest").distinct(), "near")
+    wanted = scratch.save(classes.join(near, "digest").select("rep.doc_id", "rep.h"), "wanted")
+    sets = texts.alias("t").join(small(wanted, wanted.count()).alias("w"), _same_row("t", "w"), "left_semi").mapInArrow(_sets(size), "digest binary, s binary, by_class array<short>")
+    sets = scratch.save(sets.dropDuplicates(["digest"]), "sets")
+    sketches = scratch.save(classes.join(sets.select("digest", "by_class"), "digest").select("digest", "n_shingles", "odd", "by_class"), "sketches")
     limit = most_bits(percent / 100)
 
-    def likely(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that sizes and odd sketches allow, written."""
-        sa = sketches.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa"))
-        sb = sketches.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob"))
-        bits = sum((F.bit_count(F.col("oa")[k].bitwiseXOR(F.col("ob")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-        fits = (bits <= limit) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return scratch.save(pairs.join(sa, "a").join(sb, "b").filter(fits).select("a", "b"), name)
+    def fits(x: str, y: str):
+        """Whether sizes, odd sketches and counts by hash class allow a link."""
+        n, m = F.col(f"n_shingles_{x}"), F.col(f"n_shingles_{y}")
+        bits = sum((F.bit_count(F.col(f"odd_{x}")[k].bitwiseXOR(F.col(f"odd_{y}")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+        overlap = F.aggregate(F.zip_with(f"by_class_{x}", f"by_class_{y}", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+        return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (bits <= limit) & F.coalesce((100 + percent) * overlap >= percent * (n + m), F.lit(True))
+
+    def suffixed(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*(c if c == "bucket" else F.col(c).alias(f"{c}_{x}") for c in df.columns))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs that the full sets confirm, written."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        ids = scratch.save(ids, f"{name}-ids")
-        wanted = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = scratch.save(wanted.mapInArrow(_sets(size), "id long, s binary"), f"{name}-sets")
-        joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-        out = scratch.save(joined.mapInArrow(_confirm(percent), "a long, b long"), name)
-        scratch.free(f"{name}-sets", f"{name}-ids")
-        return out
-
-    hub_pairs = buckets.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
-    links = confirmed(likely(hub_pairs, "hubs"), "links")
-    parts = components(links, scratch, "cc1")
-    # What may still join components: pairs of a bucket in two components.
-    placed = buckets.select("bucket", "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    open_rows = scratch.save(placed.join(mixed, "bucket").join(sketches, "rep"), "open")
-    # Counts of shingles by hash class: the sum of the lesser counts of two texts is no less than their overlap.
-    ids = open_rows.select(F.col("rep").alias("doc_id")).distinct()
-    by_class = texts.join(small(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_classes(size), "rep long, by_class array<short>")
-    open_rows = open_rows.join(scratch.save(by_class, "by_class"), "rep")
-    x, y = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n_shingles", "odd", "by_class"))) for s in "ab")
-    overlap = F.aggregate(F.zip_with("by_class_a", "by_class_b", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-    enough = F.coalesce((100 + percent) * overlap >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b")), F.lit(True))
-    bits = sum((F.bit_count(F.col("odd_a")[k].bitwiseXOR(F.col("odd_b")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    crossing = x.join(y, (x.bucket == y.bucket) & (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & (bits <= limit) & enough)
-    rest = scratch.save(crossing.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct().join(scratch.spark.read.parquet(scratch.path("hubs")), ["a", "b"], "left_anti"), "rest")
-    more = confirmed(rest, "more")
-    if more.head(1):
-        parts = components(links.unionByName(more), scratch, "cc2")
-    placed = reps.join(parts, reps.rep == parts.id, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    scratch.free("classes", "buckets", "sketches", "hubs", "open", "rest", "by_class")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+        """Those of the pairs (a, b) that the full sets confirm, written."""
+        s = sets.select("digest", "s")
+        joined = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        return scratch.save(joined.mapInArrow(_confirm(percent), "a binary, b binary"), name)
+
+    def crossing(members: DataFrame, parts: DataFrame, name: str, few: int | None) -> tuple[DataFrame, DataFrame]:
+        """members (bucket, digest): the likely pairs that may join components, written, and the rows of buckets that are left for later (none if `few` is None)."""
+        placed = scratch.save(members.join(parts.select(F.col("id").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest")), f"{name}-placed")
+        sized = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+        open_ = scratch.save(sized.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0"), f"{name}-buckets")
+        rows = placed.join(open_, "bucket")
+        direct = F.lit(True) if few is None else (F.col("m") <= few) | (F.col("outside") <= OUTSIDERS)
+        full = scratch.save(rows.filter(direct).join(sketches, "digest").select("bucket", "digest", "component", "n_shingles", "odd", "by_class", (F.col("component") == F.col("main")).alias("inside")), f"{name}-open")
+        x, y = suffixed(full.filter("not inside").drop("inside"), "x"), suffixed(full, "y")
+        met = x.join(y, "bucket").filter((F.col("component_x") != F.col("component_y")) & (F.col("inside_y") | (F.col("digest_x") < F.col("digest_y"))) & fits("x", "y"))
+        pairs = scratch.save(met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct(), f"{name}-pairs")
+        return pairs, rows.filter(~direct)
+
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    hubs = buckets.join(hub, "bucket").select(F.explode(F.array(pair("low", "digest"), F.when(F.col("hub") < F.col("digest"), pair("hub", "digest")).otherwise(pair("digest", "hub")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
+    likely = hubs.join(suffixed(sketches, "a").withColumnRenamed("digest_a", "a"), "a").join(suffixed(sketches, "b").withColumnRenamed("digest_b", "b"), "b").filter(fits("a", "b")).select("a", "b")
+    links = confirmed(scratch.save(likely, "hubs"), "links")
+    parts = components(links, scratch, "cc-hubs")
+
+    def joined(pairs: DataFrame, name: str) -> DataFrame:
+        """The components with what the pairs add."""
+        nonlocal links
+        if not pairs.head(1):
+            return parts
+        more = confirmed(pairs, f"links-{name}")
+        if not more.head(1):
+            return parts
+        links = links.unionByName(more)
+        return components(links, scratch, f"cc-{name}")
+
+    pairs, rest = crossing(buckets.select("bucket", "digest"), parts, "near", FEW)
+    parts = joined(pairs, "near")
+    many = scratch.save(rest.select("digest").distinct(), "many")
+    if many.head(1):
+        own = scratch.save(sets.join(many, "digest").select("digest", "s"), "own")
+        often = scratch.save(own.select("s").mapInArrow(_shingles, "bucket long").groupBy("bucket").agg(F.count("*").alias("df")).filter(F.col("df") > COMMON), "often")
+        # Which shingles count as common only moves work: as many are broadcast as are bounded.
+        least = COMMON
+        while often.filter(F.col("df") > least).count() > BROADCAST_ROWS:
+            least *= 2
+        common = often.filter(F.col("df") > least).toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast((common["bucket"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
+        rare = scratch.save(own.mapInArrow(_rarest(shared, percent), "digest binary, bucket long"), "rare")
+        parts = joined(crossing(rare, parts, "rare", None)[0], "rare")
+    placed = classes.select("digest", "rep.doc_id").join(parts.select(F.col("id").alias("digest"), "component"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
+    least = placed.groupBy("component").agg(F.min(F.struct("doc_id")).alias("least"))
+    named = scratch.save(placed.join(least, "component").select("digest", F.col("component").alias("class"), F.col("least.doc_id").alias("component_id")), "named")
+    scratch.free("classes", "shared", "buckets", "central", "hub", "near", "wanted", "sets", "sketches", "hubs", "many", "own", "often", "rare", *(f"{x}-{y}" for x in ("near", "rare") for y in ("placed", "buckets", "open", "pairs")))
+    own = ["doc_id", "h", "n_shingles"]
+    worded = signed.filter("digest is not null").select(*own, "digest").join(named, "digest").select(*own, "class", "component_id")
+    out = worded.unionByName(signed.filter("digest is null").select(*own, F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, kept."""
+    return decide(docs, percent, size).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the least id (of its texts the one with the least hash, of repeated rows one). Rows without words stay. Only what goes, and what is repeated, is joined to the rows."""
+    scratch = Scratch(docs.sparkSession, "dedup")
+    key = "__quern_row"
+    if key in docs.columns:
+        raise ValueError(f"a column may not be named {key}")
+    decided = scratch.save(decide(docs, percent, size).filter("class is not null").groupBy("class", "doc_id", "h", "kept").agg(F.count("*").alias("times")), "decided")
+    chosen = scratch.save(decided.filter("kept").groupBy("class").agg(F.min("h").alias("least")), "chosen")
+    kept = decided.join(chosen, "class", "left").withColumn("stays", F.col("kept") & (F.col("h") == F.col("least")))
+    gone = scratch.save(kept.filter("not stays").select(F.struct("doc_id", "h").alias(key)), "gone")
+    again = scratch.save(kept.filter("stays and times > 1").select(F.struct("doc_id", "h").alias(key)), "again")
+    text = F.col("text").cast("string")
+    rows = docs.withColumn(key, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")))
+    # A struct is null-safe: its fields' nulls are equal.
+    out = rows.join(small(gone, gone.count()), key, "left_anti")
+    n = again.count()
+    if n:
+        repeated = out.join(small(again, n), key, "left_semi").dropDuplicates([key])
+        out = out.join(small(again, n), key, "left_anti").unionByName(repeated)
+    return out.drop(key)
