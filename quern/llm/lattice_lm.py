@@ -32,7 +32,7 @@ from .common import Scratch, space_words, sub_batches, texts_of
 
 MARK = "▁"
 #: Bytes of text whose words are numbered together.
-CHUNK = 8 << 20
+CHUNK = 16 << 20
 #: Words (and their bytes) that a worker scores at once.
 BLOCK_WORDS, BLOCK_BYTES = 1 << 17, 4 << 20
 #: Words over this length (bytes) are summed one by one, with the same result.
