@@ -56,16 +56,20 @@ class _Runs:
 
     A run's key is the run itself, in three numbers (up to SHORT bytes; its length, and whether a text begins with it, in the last one's top byte), so equal keys are equal runs. A value is (place in the pool of ids) << 32 | (number of ids), or ODD."""
 
-    SHORT, SLOTS, MOST, ODD, NONE = 23, 1 << 21, 1 << 20, -1, -2
+    SHORT, SLOTS, MOST, ODD, NONE = 23, 1 << 20, 600_000, -1, -2
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.values, self.filled = np.zeros((3, self.SLOTS), np.uint64), np.full(self.SLOTS, self.NONE), 0
-        self.longer: dict[bytes, int] = {}
+        self.forget()
         self.pool, self.used = np.empty(1 << 20, np.uint16), 0
 
+    def forget(self) -> None:
+        """Empties the table; values that were given before stay good."""
+        self.keys, self.values, self.filled = np.zeros((3, self.SLOTS), np.uint64), np.full(self.SLOTS, self.NONE), 0
+        self.longer: dict[tuple, int] = {}
+
     def add(self, ids: list[int], sizes: list[int]) -> np.ndarray:
         """The values of new runs, whose ids stand one after the other."""
         n, k = len(ids), np.array(sizes, np.int64)
@@ -79,7 +83,7 @@ class _Runs:
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
         h = (keys[0] ^ (keys[1] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[2] * np.uint64(0xC2B2AE3D27D4EB4F))) * np.uint64(0xD6E8FEB86659FD93)
-        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(43)).astype(np.int64)
+        return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(44)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Values, NONE for keys that aren't in the table. Linear probing: every round looks up those that have met another key."""
@@ -174,6 +178,8 @@ class Encoder:
 
     def _values(self, raw: np.ndarray, joined: bytes, start: np.ndarray, size: np.ndarray, lead: np.ndarray, plain: np.ndarray) -> np.ndarray:
         """Values of units, given by places in the bytes."""
+        if self._runs.filled > _Runs.MOST:  # a slice has 2^18 units at most, so the table is never full
+            self._runs.forget()
         runs, eight = self._runs, np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
         short = size <= _Runs.SHORT
         s, n = start[short], size[short]
@@ -210,7 +216,7 @@ class Encoder:
     def batch(self, texts: list[bytes], end: bytes = b"") -> list[bytes]:
         """The ids of each text, and `end`."""
         runs = self._runs
-        if runs.filled > _Runs.MOST or len(runs.longer) > self._keep or runs.used > 8 * _Runs.MOST:
+        if runs.filled > _Runs.MOST // 3 * 2 or len(runs.longer) > self._keep or runs.used > 8 * _Runs.MOST:
             runs.clear()
         joined = b" " + b" ".join(texts) + b" "
         raw = np.frombuffer(joined + bytes(32), np.uint8)
