@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier of words and word beginnings, regularised by counterfactual pairs.
 
-In each training text that names a group, the group's term is swapped for the other terms of the list; the squared change of the logit is penalised. A group's mere mention so carries (almost) no weight, even where labels are skewed against it.
+In each labelled training text that names a group, the group's term is swapped for every other term of its kind and language, and taken out; the squared change of the linear score is penalised. A group's mere mention so carries (almost) no weight, even where labels are skewed against it. Where no training text names a group there is nothing to swap, and the fit is plain logistic regression (README.md says for which data). `gap` measures what is left on sentences that aren't in training.
 
 The training sample is bounded (`cap` rows of each label); scoring reads every whole text in one pass without a shuffle. The model is a dictionary of at most `max_features` words, so its broadcast is bounded.
 
-Edge cases: null and empty texts score as the model's intercept says; without labelled rows (or with one class only) every score is the label's rate in training, 0 if there is none. Repeated rows are scored alike, one result each.
+Edge cases: null and empty texts score as the model's intercept says; without labelled rows (or with one class only) every score is the label's rate in training, 0 if there is none. Equal texts have equal scores; repeated rows have one result each; a null id is scored like any other and never trains. Very long texts are scored whole, a word set at a time. Words with equal chi-square are taken in order. Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -16,14 +16,32 @@ from pyspark.sql import functions as F
 
 from .common import adam, alpha_words, sigmoid, stratified, sub_batches, texts_of
 
-#: Terms that name a group of people, as they are swapped for each other.
-IDENTITY_TERMS = (
-    "women men woman man girls boys christians muslims jews hindus buddhists atheists christian muslim jewish hindu buddhist atheist "
-    "black white asian african european american mexican chinese indian arab turkish gay lesbian straight bisexual transgender "
-    "immigrants immigrant refugees refugee foreigners foreigner disabled deaf blind elderly teenagers "
-    "frauen männer christen muslime juden schwarze ausländer flüchtlinge femmes hommes chrétiens musulmans juifs noirs étrangers "
-    "mujeres hombres cristianos musulmanes judíos negros extranjeros"
-).split()
+#: Terms that name a group of people, by kind and language; those of a line are swapped for each other.
+KINDS = tuple(
+    tuple(line.split())
+    for line in """
+women men girls boys
+woman man girl boy
+christians muslims jews hindus buddhists atheists
+christian muslim jewish hindu buddhist atheist
+black white asian african european american mexican chinese indian arab turkish
+gay lesbian straight bisexual transgender
+immigrants refugees foreigners
+immigrant refugee foreigner
+disabled deaf blind
+elderly teenagers
+frauen männer
+christen muslime juden
+schwarze ausländer flüchtlinge
+femmes hommes
+chrétiens musulmans juifs
+noirs étrangers
+mujeres hombres
+cristianos musulmanes judíos
+negros extranjeros
+""".strip().split("\n")
+)
+IDENTITY_TERMS = tuple(t for kind in KINDS for t in kind)
 
 RESULT = "doc_id long, score double"
 
@@ -32,13 +50,24 @@ RESULT = "doc_id long, score double"
 STEMS = (3, 4, 5, 6, 7)
 
 
-def features(text: bytes, terms=frozenset()) -> set[bytes]:
-    """The distinct words of a text, and their beginnings, marked by `*`. Identity terms have no beginnings: a swap changes all that they are."""
-    words = set(alpha_words(text))
+def features_of(words: set[bytes], terms=frozenset()) -> set[bytes]:
+    """Distinct words and their beginnings, marked by `*`. Identity terms have no beginnings: a swap changes all that they are."""
     out = set(words)
-    words -= terms
     for k in STEMS:
-        out.update([w[:k] + b"*" for w in words if len(w) >= k])
+        out.update([w[:k] + b"*" for w in words if len(w) >= k and w not in terms])
+    return out
+
+
+def features(text: bytes, terms=frozenset()) -> set[bytes]:
+    return features_of(set(alpha_words(text)), terms)
+
+
+def swapped(words: set[bytes], others: dict[bytes, tuple[bytes, ...]]) -> list[set[bytes]]:
+    """The words of a text with each of its identity terms swapped for every other of its kind, and taken out."""
+    out = []
+    for term in sorted(words & others.keys()):
+        rest = words - {term}
+        out += [rest, *(rest | {t} for t in others[term])]
     return out
 
 
@@ -55,29 +84,57 @@ def _words(terms: frozenset[bytes]):
     return run
 
 
-def _indices(vocab: dict[bytes, int], terms: dict[bytes, int]):
-    """Per text: label, the vocabulary's words in it, and those of them that are identity terms."""
-    plain = frozenset(terms)
+def _indices(vocab: dict[bytes, int], others: dict[bytes, tuple[bytes, ...]]):
+    """Per text: label, the vocabulary's words in it, and the same of each text that a swap makes of it (their sizes, and their words end to end)."""
+    plain = frozenset(others)
+
+    def numbers(words: set[bytes]) -> np.ndarray:
+        return np.array(sorted(vocab[w] for w in features_of(words, plain) if w in vocab), np.int32)
 
     def run(batches):
         for b in sub_batches(batches):
-            idx, held = [], []
+            idx, sizes, swaps = [], [], []
             for t in texts_of(b):
-                seen = features(t, plain)
-                idx.append(np.array(sorted(vocab[w] for w in seen if w in vocab), np.int32).tobytes())
-                held.append(np.array(sorted(terms[w] for w in seen if w in terms), np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(idx, pa.binary()), pa.array(held, pa.binary())], names=["label", "idx", "terms"])
+                words = set(alpha_words(t))
+                idx.append(numbers(words).tobytes())
+                made = [numbers(x) for x in swapped(words, others)]
+                sizes.append(np.array([len(x) for x in made], np.int32).tobytes())
+                swaps.append(b"".join(x.tobytes() for x in made))
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x, pa.binary()) for x in (idx, sizes, swaps))], names=["label", "idx", "sizes", "swaps"])
 
     return run
 
 
-def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: float = 3e-4, counterfactual: float = 1.0, steps: int = 400, identity_terms=IDENTITY_TERMS) -> dict:
+class Swaps:
+    """The penalty of all swaps: the mean over training texts of the mean squared change of the linear score (the logit) that swaps of the text make. The score after the logistic function is flat where it is near 0 or 1, and would hide the change there."""
+
+    def __init__(self, cols: np.ndarray, owner: np.ndarray, n: int, sizes: list[np.ndarray], swaps: list[np.ndarray]):
+        self.cols, self.owner, self.n = cols, owner, n
+        count = np.array([len(x) for x in sizes], np.int64)
+        self.text = np.repeat(np.arange(n), count)
+        self.share = np.repeat(1.0 / np.maximum(count, 1), count) / max(1, n)
+        flat = np.concatenate([np.zeros(0, np.int32), *sizes])
+        self.swap_cols, self.swap_owner = np.concatenate([np.zeros(0, np.int32), *swaps]), np.repeat(np.arange(len(flat)), flat)
+
+    def value_and_grad(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """w: weights of words, and the bias last."""
+        d = len(w) - 1
+        change = np.bincount(self.owner, w[self.cols], self.n)[self.text] - np.bincount(self.swap_owner, w[self.swap_cols], len(self.text))
+        on_text, on_swap = np.bincount(self.text, 2 * self.share * change, self.n), -2 * self.share * change
+        g = np.empty(d + 1)
+        g[:d] = np.bincount(self.cols, on_text[self.owner], d) + np.bincount(self.swap_cols, on_swap[self.swap_owner], d)
+        g[d] = 0.0  # the bias is in both
+        return float((self.share * change**2).sum()), g
+
+
+def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: float = 3e-4, counterfactual: float = 1.0, steps: int = 400, kinds=KINDS) -> dict:
     """Learns from labelled (doc_id, text, label 0/1), about `cap` rows of each label at most.
 
     Words are chosen by chi-square of presence against the label; identity terms that occur are always among them."""
+    others = {t.encode(): tuple(x.encode() for x in kind if x != t) for kind in kinds for t in kind}
     labelled = labelled.filter(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"), "doc_id")
     stats = (
-        labelled.select("text", "label").mapInArrow(_words(frozenset(t.encode() for t in identity_terms)), "word binary, label int")
+        labelled.select("text", "label").mapInArrow(_words(frozenset(others)), "word binary, label int")
         .groupBy("word").agg(F.sum(F.col("label").cast("long")).alias("a"), F.count("*").alias("n"))
     )
     n_pos, n_all = (labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first())
@@ -87,18 +144,14 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
     a, n, p = F.col("a"), F.col("n"), n_pos / n_all
     chi = (a - n * p) * (a - n * p) / (n * p * (1 - p))
     top = stats.filter(n >= 3).select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(max_features).collect()
-    terms_here = list(identity_terms)
-    words = list(dict.fromkeys([bytes(r["word"]) for r in top if r["chi"] > 10.0] + [t.encode() for t in terms_here]))
+    words = list(dict.fromkeys([bytes(r["word"]) for r in top if r["chi"] > 10.0] + list(others)))
     vocab = {w: k for k, w in enumerate(words)}
-    terms = {t.encode(): vocab[t.encode()] for t in terms_here}
-    rows = labelled.select("text", "label").mapInArrow(_indices(vocab, terms), "label int, idx binary, terms binary").collect()
+    rows = labelled.select("text", "label").mapInArrow(_indices(vocab, others), "label int, idx binary, sizes binary, swaps binary").collect()
     y = np.array([r["label"] for r in rows], float)
     lens = np.array([len(r["idx"]) // 4 for r in rows])
     cols, owner = np.frombuffer(b"".join(r["idx"] for r in rows), np.int32), np.repeat(np.arange(len(rows)), lens)
-    # A swap of term s for t changes the logit by w[t] - w[s]: the pairs' penalty is a quadratic form of the terms' weights.
-    all_terms = np.array(sorted(terms.values()))
-    named = np.bincount(np.frombuffer(b"".join(r["terms"] for r in rows), np.int32), minlength=len(words)).astype(float)
-    d = len(words)
+    ints = lambda name: [np.frombuffer(r[name], np.int32) for r in rows]
+    swaps, d = Swaps(cols, owner, len(rows), ints("sizes"), ints("swaps")), len(words)
 
     def grad(w):
         z = np.bincount(owner, w[cols], len(rows)) + w[d]
@@ -106,18 +159,14 @@ def fit(labelled: DataFrame, cap: int = 6000, max_features: int = 4096, l2: floa
         g = np.empty(d + 1)
         g[:d], g[d] = np.bincount(cols, r[owner], d), r.sum()
         g[:d] += l2 * w[:d]
-        if counterfactual and named.any():
-            wt, share = w[all_terms], named[all_terms] / len(rows)
-            mean, total = wt.mean(), share.sum()
-            # d/dw of sum_s share_s * mean_t (w_t - w_s)^2
-            g[all_terms] += 2 * counterfactual * (share * (wt - mean) + (total * wt - (share * wt).sum()) / len(wt))
-            g[all_terms] += 2 * counterfactual * share * wt  # and against the sentence with the term taken out
+        if counterfactual and len(swaps.text):
+            g += counterfactual * swaps.value_and_grad(w)[1]
         return g
 
     w0 = np.zeros(d + 1)
     w0[d] = np.log(p / (1 - p))
     w = adam(grad, w0, steps, 0.15)
-    return {"weights": {x: float(w[k]) for x, k in vocab.items() if abs(w[k]) > 1e-6}, "bias": float(w[d]), "terms": frozenset(terms)}
+    return {"weights": {x: float(w[k]) for x, k in vocab.items() if abs(w[k]) > 1e-6}, "bias": float(w[d]), "terms": frozenset(others)}
 
 
 def score_text(model: dict, text: bytes) -> float:
@@ -126,6 +175,20 @@ def score_text(model: dict, text: bytes) -> float:
     return float(sigmoid(model["bias"] + sum(sorted(x for x in map(get, features(text, model["terms"])) if x is not None))))
 
 
+#: Sentences that no training text is, in which a group's name stands for {}.
+TEMPLATES = ("the {} met in town today", "my neighbours are {} and we had dinner", "a film about {} won the prize", "many {} work at the hospital", "she wrote a book on {} history")
+
+
+def gap(model: dict, templates=TEMPLATES, kinds=KINDS) -> float:
+    """The mean difference between the largest and the least score that the terms of a kind give to a sentence."""
+    spans = []
+    for template in templates:
+        for kind in kinds:
+            s = [score_text(model, template.format(t).encode()) for t in kind]
+            spans.append(max(s) - min(s))
+    return float(np.mean(spans))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and the score, 0 to 1, of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
