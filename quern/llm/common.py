@@ -33,9 +33,11 @@ def fold(doc_id: Column | str, m: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one of our own only where none is configured."""
+    """The folder that the cluster shares; where none is configured, a local one of our own on a local master, and an error on a cluster, whose machines share no local folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         import atexit

@@ -85,8 +85,8 @@ def _scanned(index: Index, b: pa.RecordBatch) -> tuple[np.ndarray, list[list[int
     items: list[set[str]] = [set() for _ in words]
     for d, (_, w) in zip((np.searchsorted(starts, [k for k, _ in found], "right") - 1).tolist(), found, strict=True):
         items[d].update(index.items[w])
-    if "__hits" in b.schema.names:
-        for d, (h, i) in enumerate(zip(b.column("__hits").to_pylist(), b.column("__items").to_pylist(), strict=True)):
+    if "__quern_hits" in b.schema.names:
+        for d, (h, i) in enumerate(zip(b.column("__quern_hits").to_pylist(), b.column("__quern_items").to_pylist(), strict=True)):
             hit[starts[d] + np.array(h, np.int64)] = True
             items[d].update(i)
     n = np.array([len(w) for w in words], np.int64)
@@ -120,12 +120,12 @@ def _run(docs: DataFrame, benchmark: DataFrame, size: int, max_windows: int, las
                 if final:
                     yield last(b, n, hits, met)
                 else:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.string()))], names=[*names, "__hits", "__items"])
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.string()))], names=[*names, "__quern_hits", "__quern_items"])
 
         if final:
             return docs.mapInArrow(run, schema)
         scratch = scratch or Scratch(docs.sparkSession, "decontam")
-        more = T.StructType([*docs.select(names).schema.fields, T.StructField("__hits", T.ArrayType(T.LongType())), T.StructField("__items", T.ArrayType(T.StringType()))])
+        more = T.StructType([*docs.select(names).schema.fields, T.StructField("__quern_hits", T.ArrayType(T.LongType())), T.StructField("__quern_items", T.ArrayType(T.StringType()))])
         docs = scratch.save(docs.mapInArrow(run, more), f"part{k}")
 
 

@@ -72,7 +72,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.calibrate(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return mixed.select("doc_id", F.col("__tokens").alias("n_tokens"), F.col("__p").alias("probability"), F.col("__kept").alias("kept"))
+    return mixed.select("doc_id", F.col("__quern_tokens").alias("n_tokens"), F.col("__quern_p").alias("probability"), F.col("__quern_kept").alias("kept"))
 
 
 def queries() -> dict:
