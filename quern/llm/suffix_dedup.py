@@ -13,12 +13,12 @@ Edge cases: null is empty; texts under `length` bytes keep everything; repeated
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,12 @@ from .common import Scratch, sub_batches, texts_of
 LENGTH, K = 50, 20
 W = LENGTH - K + 1
 HOT = 5_000
+#: Names of such anchors that may be broadcast; beyond, the joins are by shuffle.
+BROADCAST_NAMES = 1_000_000
 #: Contexts of a block of tied anchors.
 BLOCK = 50_000
+#: Bytes of text to a bucket; its entries are about as many bytes at most.
+BUCKET_BYTES = 32 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,6 +141,21 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, contexts, np.concatenate([np.cumsum(np.frombuffer(zlib.decompress(b[4 + 13 * n :]), np.int64)) for b, n in zip(blobs, sizes, strict=True)])
 
 
+def _squeezed(batches):
+    """Texts as they are shuffled: compressed, each by itself."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in sub_batches(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(t) for t in texts_of(b)], pa.binary())], names=["id", "z"])
+
+
+def _opened(batches):
+    """Batches with the texts as they were in the place of `z`, in bounded pieces."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in sub_batches(batches, "z", 1 << 18):
+        texts = pa.array([unpack(z) for z in b.column(1).to_pylist()], pa.binary())
+        yield from sub_batches(iter([pa.RecordBatch.from_arrays([b.column(0), texts, *b.columns[2:]], names=["id", "text", *b.schema.names[2:]])]))
+
+
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return b.column(0).to_numpy(zero_copy_only=False)
 
@@ -189,7 +208,7 @@ def _decide(table: pa.Table) -> pa.Table:
 
 def _contexts(batches):
     """The asked-for contexts of texts, each once for a text."""
-    for b in sub_batches(batches):
+    for b in _opened(batches):
         ids, a, asked = _ids(b), Anchors(texts_of(b)), b.column(2).to_pylist()
         seen: set[tuple[int, int]] = set()
         wanted, rows = [set(x) for x in asked], []
@@ -288,7 +307,7 @@ def _cut(with_text: bool):
     """Takes out what is covered: a decision about a context holds wherever the text has it."""
 
     def run(batches):
-        for b in sub_batches(batches):
+        for b in _opened(batches):
             texts, full, part = texts_of(b), b.column(2).to_pylist(), b.column(3).to_pylist()
             rows = [i for i in range(b.num_rows) if full[i] or part[i]]
             gone: dict[int, np.ndarray] = {}
@@ -325,37 +344,32 @@ def _cut(with_text: bool):
     return run
 
 
-def _forget(spark) -> None:
-    """Has the driver notice that the last job's shuffle files are no longer wanted, so that disks needn't hold those of all phases at once."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, if wanted)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    n_buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    squeezed = texts.mapInArrow(_squeezed, "id long, z binary")
     entries = texts.mapInArrow(_sample(n_buckets), "bucket long, blob binary")
     decided = scratch.save(entries.groupBy("bucket").applyInArrow(_decide, _DECIDED), "decided")
-    _forget(spark)
     asked = decided.filter("tie").groupBy("id").agg(F.collect_set("context").alias("asked"))
-    contexts = scratch.save(texts.join(asked, "id").mapInArrow(_contexts, _CONTEXT), "contexts")
-    _forget(spark)
-    hot = [r["name"] for r in contexts.groupBy("name").count().filter(F.col("count") > HOT).select("name").collect()]  # fewer than contexts / HOT
-    is_hot = F.col("name").isin(hot) if hot else F.lit(False)
-    parts = contexts.filter(~is_hot).repartition("name").sortWithinPartitions("name").mapInArrow(_ties, "id long, context long, bits long")
-    if hot:
-        windows = scratch.save(contexts.filter(is_hot).mapInArrow(_windows, "w binary, id long, context long, o int"), "windows")
-        least = windows.groupBy("w").agg(F.min("id").alias("least"))
+    contexts = scratch.save(squeezed.join(asked, "id").mapInArrow(_contexts, _CONTEXT), "contexts")
+    hot = scratch.save(contexts.groupBy("name").count().filter(F.col("count") > HOT).select("name"), "hot")
+    n_hot = hot.count()
+    named = F.broadcast(hot) if n_hot <= BROADCAST_NAMES else hot
+    parts = contexts.join(named, "name", "left_anti").select("name", "id", "context", "shift", "n", "s").repartition("name").sortWithinPartitions("name").mapInArrow(_ties, "id long, context long, bits long")
+    if n_hot:
+        windows = scratch.save(contexts.join(named, "name", "left_semi").select("name", "id", "context", "shift", "n", "s").mapInArrow(_windows, "w binary, id long, context long, o int"), "windows")
+        # written before it meets the windows, so that adaptive execution can split a window that very many documents have
+        least = scratch.save(windows.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").drop("most"), "least")
         found = windows.join(least, "w").filter(F.col("id") > F.col("least")).groupBy("id", "context").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("bits"))
         parts = parts.unionByName(found)
     parts = scratch.save(parts, "parts")
-    scratch.free("contexts", "windows")
-    _forget(spark)
+    scratch.free("contexts", "windows", "least", "hot")
     full = decided.filter("not tie").select("id", "context", F.lit(None).cast("long").alias("bits"))
     by_doc = full.unionByName(parts).groupBy("id").agg(F.collect_set(F.when(F.col("bits").isNull(), F.col("context"))).alias("full"), F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("context", "bits"))).alias("part"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(by_doc, "id", "left").select("id", "text", "full", "part").mapInArrow(_cut(with_text), out)
+    return squeezed.join(by_doc, "id", "left").select("id", "z", "full", "part").mapInArrow(_cut(with_text), out)
 
