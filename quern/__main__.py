@@ -19,7 +19,7 @@ def scripts_of(files: DataFrame, ignore: list[str]) -> DataFrame:
     own = packages.scripts(files, filters.ignored(F.col("path"), ignore)).select("package", F.col("path").alias("script"), text.alias("code"))
     pages = files.filter(F.col("path").rlike(r"(?i)\.html?$")).select("package", F.concat_ws("\n", "package", "path").alias("page"), text.alias("html"))
     inline = packages.html_scripts(pages.select("page", "html"), "page", "html").withColumn("package", F.substring_index("page", "\n", 1)).withColumn("page", F.substring_index("page", "\n", -1))
-    made = inline.filter("kind = 'inline'").select("package", F.concat(F.lit(".epg-inline/"), F.regexp_replace(F.regexp_replace("page", r"[/\\:]", "_"), r"(?i)\.html?$", ""), F.lit(".inline-"), F.col("inline_no").cast("string"), F.lit(".js")).alias("script"), F.col("body").alias("code"))
+    made = inline.filter("kind = 'inline'").select("package", packages.inline_path(F.col("page"), F.col("inline_no")).alias("script"), F.col("body").alias("code"))
     return own.unionByName(made)
 
 

@@ -155,12 +155,21 @@ def html_scripts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return out.join(numbers, key, "left").withColumn("inline_no", F.when(F.col("kind") == "inline", F.array_position("__all", F.col("ord")).cast("int") - 1)).drop("__all")
 
 
+#: Fixed value: the folder of inline scripts' own names.
+INLINE_FOLDER = ".epg-inline"
+
+
+def inline_path(page: Column, number: Column) -> Column:
+    """The name of a page's inline script."""
+    safe = F.regexp_replace(F.regexp_replace(page, r"[/\\:]", "_"), r"(?i)\.html?$", "")
+    return F.concat(F.lit(f"{INLINE_FOLDER}/"), safe, F.lit(".inline-"), number.cast("string"), F.lit(".js"))
+
+
 def inline_files(scripts: DataFrame, page_path: str) -> DataFrame:
-    """Inline rows of `html_scripts` as scripts of their own: path (below .epg-inline, named after the page and the number) and code (three or four lines of comment that say where it is from, and the body)."""
+    """Inline rows of `html_scripts` as scripts of their own: path (below INLINE_FOLDER, named after the page and the number) and code (three or four lines of comment that say where it is from, and the body)."""
     page = F.col(page_path)
-    safe = F.regexp_replace(F.regexp_replace(page, r"[/\\:]", "_"), r"(?i)\.html?$", "")
-    head = F.concat(F.lit("// [epg-virtual-inline]\n// source-html: "), page, F.lit("\n// script-index: "), F.col("inline_no").cast("string"), F.lit("\n"), F.when(F.col("typed"), F.concat(F.lit("// script-type: "), F.col("script_type"), F.lit("\n"))).otherwise(""))
-    return scripts.filter("kind = 'inline'").select(page_path, F.concat(F.lit(".epg-inline/"), safe, F.lit(".inline-"), F.col("inline_no").cast("string"), F.lit(".js")).alias("path"), F.concat(head, F.col("body")).alias("code"))
+    head = F.concat(F.lit("// [inline]\n// source-html: "), page, F.lit("\n// script-index: "), F.col("inline_no").cast("string"), F.lit("\n"), F.when(F.col("typed"), F.concat(F.lit("// script-type: "), F.col("script_type"), F.lit("\n"))).otherwise(""))
+    return scripts.filter("kind = 'inline'").select(page_path, inline_path(page, F.col("inline_no")).alias("path"), F.concat(head, F.col("body")).alias("code"))
 
 
 def resolve(page_path: Column, src: Column) -> Column:
