@@ -15,8 +15,6 @@ from ..operators.privilege import gate, refined
 from ..sources import packages, script_facts
 from .demo import _FLOWS_SQL, _flows, _t, _values, query
 
-SQL_BOOL = "CAST({} AS BOOLEAN)"
-
 
 def _pick(names: list[str], n):
     return F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
