@@ -20,15 +20,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = Scratch(spark, "dropped").save(near_dedup.groups(docs, 85, 5).filter("not kept").select(F.col("doc_id").alias("__id")), "ids")
-    ids = near_dedup.small(dropped.distinct(), dropped.count())
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    return near_dedup.one_of_each(docs, 80, 5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = decontam.clean(docs.withColumn("__before", F.length("text")), read_table(spark, sf_dir, "benchmark"), 10)
-    n = F.when(F.col("__before") == F.length("text"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return clean.withColumn("n_chars", F.coalesce(n, F.col("n_chars"))).drop("__before")
+    before = "__quern_before"
+    if before in docs.columns:
+        raise ValueError(f"a column may not be named {before}")
+    clean = decontam.clean(docs.withColumn(before, F.length("text")), read_table(spark, sf_dir, "benchmark"), 10)
+    n = F.when(F.col(before) == F.length("text"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return clean.withColumn("n_chars", F.coalesce(n, F.col("n_chars"))).drop(before)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

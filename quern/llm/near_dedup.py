@@ -50,7 +50,7 @@ class _WordHash(dict):
     """64-bit hashes of words; what it remembers is bounded."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

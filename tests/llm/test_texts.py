@@ -63,52 +63,122 @@ def test_repeats_in_small_alphabets(spark):
     assert _rows(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == _repeats(rows)
 
 
-def _sets(rows, size=5):
-    out = {}
-    for d, t in rows:
-        w = lower(t).split()
-        out[d] = frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)])
-    return out
+def _set(t, size=5):
+    w = lower(t).split()
+    return frozenset([tuple(w)] if 0 < len(w) < size else [tuple(w[i : i + size]) for i in range(len(w) - size + 1)])
+
+
+def _least(ids):
+    """A null id is the least."""
+    return None if None in ids else min(ids)
 
 
-def _components(sets, percent=85):
-    parent = {d: d for d in sets}
+def _linked(rows, percent=80):
+    """Brute force over rows (doc_id, text), which may repeat: (doc_id, n_shingles, component_id, kept) of each, and the components as lists of row numbers."""
+    sets = [_set(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(d):
         while parent[d] != d:
             d = parent[d]
         return d
 
-    for a, b in itertools.combinations(sorted(sets), 2):
+    for a, b in itertools.combinations(range(len(rows)), 2):
         both = len(sets[a] & sets[b])
         if sets[a] and sets[b] and 100 * both >= percent * len(sets[a] | sets[b]):
-            x, y = sorted((find(a), find(b)))
-            parent[y] = x
-    return sorted((d, len(s), find(d), find(d) == d) for d, s in sets.items())
+            parent[find(a)] = find(b)
+    parts = collections.defaultdict(list)
+    for k in range(len(rows)):
+        parts[find(k)].append(k)
+    least = {r: _least([rows[k][0] for k in v]) for r, v in parts.items()}
+    return sorted(((d, len(sets[k]), least[find(k)], d == least[find(k)]) for k, (d, _) in enumerate(rows)), key=repr), list(parts.values())
 
 
-def test_near_copies_of_the_table(spark, real, nothing):
-    assert _rows(near_dedup.groups(spark.read.parquet(f"{SF}/documents.parquet"))) == sorted(_components(_sets(real.items())), key=repr)
-    assert near_dedup.groups(nothing).count() == 0
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_copies_of_the_table(spark, real, nothing, percent):
+    assert _rows(near_dedup.groups(spark.read.parquet(f"{SF}/documents.parquet"), percent)) == _linked(list(real.items()), percent)[0]
+    assert near_dedup.groups(nothing).count() == 0 and near_dedup.one_of_each(nothing).columns == nothing.columns
 
 
-def test_near_copies_by_edits(spark):
+def _edited(n=120, words=150, most=9):
     rng = np.random.default_rng(2)
-    base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    base = [f"w{k}" for k in rng.integers(0, 5000, words)]
     rows = []
-    for i in range(120):
+    for i in range(n):
         w = list(base)
-        for k in rng.choice(150, i % 9, replace=False):
+        for k in rng.choice(words, i % most, replace=False):
             w[k] = f"e{i}x{k}"
         rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("few", [near_dedup.FEW, 3])
+def test_near_copies_by_edits(spark, monkeypatch, few):
+    """With `few` at 3 nearly all pairs beyond the hubs' are found by the rarest shingles."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", min(few, near_dedup.OUTSIDERS))
+    rows = _edited()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert _rows(near_dedup.groups(df)) == sorted(_components(_sets(rows)), key=repr)
+    for percent in (80, 85):
+        assert _rows(near_dedup.groups(df, percent)) == _linked(rows, percent)[0]
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rows = [(None if i % 11 == 0 else i % 13, t) for i, t in _edited(60)]
+    rows += [(5, "quite another text that has more than five words"), (5, "quite another text that has more than five words"), (7, None), (7, ""), (None, "quite another text that has more than five words"), (None, "   ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, parts = _linked(rows)
+    assert _rows(near_dedup.groups(df)) == want
+    once = near_dedup.one_of_each(df)
+    got = collections.Counter(tuple(r) for r in once.collect())
+    left = 0
+    for part in parts:
+        own = [rows[k] for k in part]
+        if not _set(own[0][1]):
+            assert all(got[r] for r in own)
+            left += len(own)
+            continue
+        left += 1
+        assert sum(got[r] for r in set(own)) == 1 and {d for d, t in set(own) if got[d, t]} == {_least([d for d, _ in own])}
+    assert once.columns == df.columns and sum(got.values()) == left
 
 
 def test_near_copies_of_odd_rows(odd, odd_rows):
-    got = {r["doc_id"]: r for r in near_dedup.groups(odd).collect() if r["doc_id"] is not None}
-    assert len(got) == len({r[1] for r in odd_rows if r[1] is not None}) and near_dedup.groups(odd).count() == odd.count()
-    assert all(got[i]["n_shingles"] == 0 and got[i]["kept"] for i in (0, 1, 2)) and got[7]["component_id"] == 6 and not got[7]["kept"]
+    want, _ = _linked([(r[1], r[2]) for r in odd_rows])
+    assert _rows(near_dedup.groups(odd)) == want
+    assert near_dedup.one_of_each(odd).columns == odd.columns
+
+
+def test_templates_make_no_square(spark, monkeypatch):
+    """2,000 texts that share half of their shingles: all are in one another's buckets, none is linked, and few pairs are looked at."""
+    frame = " ".join(f"frame{k}" for k in range(100))
+    rows = [(i, frame + " " + " ".join(f"own{i}x{k}" for k in range(70))) for i in range(2000)]
+    saved = {}
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **o: saved.setdefault(name, save(self, df, name, **o)))
+    monkeypatch.setattr(Scratch, "free", lambda self, *names: None)
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.filter("kept").count() == 2000
+    most = saved["buckets"].groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert most > 500 and saved["many"].count() > 1000
+    assert saved["near-open"].count() < 40 * 2000 and saved["rare"].count() < 10 * 2000 and saved["near-pairs"].count() + saved["rare-pairs"].count() < 2000
+
+
+def test_recall_of_links(spark):
+    """Links against brute force on the table of 1,000 documents, by sets of shingles: all components are equal."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(path).select("doc_id", "text").collect()]
+    by_shingle = collections.defaultdict(list)
+    sets = [_set(t) for _, t in rows]
+    for k, s in enumerate(sets):
+        for x in s:
+            by_shingle[hash(x)].append(k)
+    pairs = {(a, b) for v in by_shingle.values() if len(v) > 1 for a, b in itertools.combinations(v, 2)}
+    linked = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(spark.read.parquet(path)).collect()}
+    found = sum(got[rows[a][0]] == got[rows[b][0]] for a, b in linked)
+    print(f"recall of links at 0.8 on {len(rows)} documents: {found} of {len(linked)}")
+    assert found == len(linked) > 20
 
 
 def test_sketches_estimate():
@@ -138,20 +208,69 @@ def _base(rows, learn):
     return sorted((str(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in words)
 
 
-@pytest.mark.parametrize("frequent", [5, 100_000])
-def test_base_scores(odd, odd_rows, frequent):
-    got = lattice_lm.score(odd, fold("doc_id", 7) != 2, PIECES, frequent=frequent)
+@pytest.mark.parametrize("chunk", [50, lattice_lm.CHUNK])
+def test_base_scores(odd, odd_rows, chunk):
+    got = lattice_lm.score(odd, fold("doc_id", 7) != 2, PIECES, chunk_bytes=chunk)
     want = _base([(r[1], r[2]) for r in odd_rows], lambda d: d is None or zlib.crc32(str(d).encode()) % 7 != 2)
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got.collect()) == want
 
 
 def test_scores_do_not_hang_on_the_split(odd, nothing):
-    a, b = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lattice_lm.score(odd, F.lit(True), PIECES, frequent=k).collect()} for k in (5, 100_000))
+    a, b = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lattice_lm.score(odd, F.lit(True), PIECES, chunk_bytes=k).collect()} for k in (50, lattice_lm.CHUNK))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-6 * max(1, abs(a[k])) and a[k] < 0 for k in a)
     assert lattice_lm.score(nothing, F.lit(True), PIECES).count() == 0
     assert lattice_lm.score(odd, F.lit(False), PIECES).filter("score < 0 and n_known = 0").count() == odd.count()
 
 
+def test_scores_by_enumeration(spark, monkeypatch):
+    """Documents' scores recomputed in plain Python: every segmentation of every word, for the scoring and for both rounds of expected counts."""
+    mark = lattice_lm.MARK.encode()
+    pieces = [mark, b"a", b"b", b"ab", mark + b"a", b"aba", *(bytes([x]) for x in range(256) if x not in b"ab")]
+    first = np.log(np.random.default_rng(0).dirichlet(np.ones(len(pieces))))
+    monkeypatch.setattr(lattice_lm, "vocabulary", lambda _: (pieces, first))
+    docs = [(1, "ab aba"), (2, "ab b ab"), (3, "abba bab"), (4, None), (5, "ba")]
+    learn = {1, 2, 4}
+
+    def ways(w):
+        """Segmentations of a marked word; none starts inside the mark."""
+        def go(x, at):
+            if not x:
+                yield []
+            for k in range(1, len(x) + 1):
+                if x[:k] in pieces and not (at in (1, 2) and at + k > 3):
+                    for rest in go(x[k:], at + k):
+                        yield [x[:k], *rest]
+
+        return list(go(mark + w, 0))
+
+    trained = [w for d, t in docs if d in learn for w in lower(t).split()]
+    c, ends = collections.Counter(trained), len(learn)
+    weights = dict(zip(pieces, np.exp(first), strict=True))
+    total = lambda w, p: sum(math.prod(p[x] for x in s) for s in ways(w))
+    for _ in range(2):
+        x = dict.fromkeys(pieces, 0.01)
+        for w in c:
+            for s in ways(w):
+                for piece in s:
+                    x[piece] += math.prod(weights[q] for q in s) / total(w, weights)
+        whole = sum(x.values()) + ends
+        weights = {p: n / whole for p, n in x.items()}
+    n = len(trained) + ends
+    own, end = 1 - sum(k == 1 for k in c.values()) / len(trained), ends / n
+    want = {d: math.log10(end) + sum(math.log10(own * c[w] / n + (1 - own) * (1 - end) * total(w, weights)) for w in lower(t).split()) for d, t in docs}
+    got = lattice_lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id").isin(*learn), PIECES)
+    assert {r["doc_id"]: round(r["score"], 6) for r in got.collect()} == {d: round(x, 6) for d, x in want.items()}
+
+
+def test_all_pieces_are_kept():
+    import sentencepiece
+
+    pieces, _ = lattice_lm.vocabulary(PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    whole = {sp.id_to_piece(i).encode() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i))}
+    assert whole <= set(pieces) and max(map(len, whole)) > 32
+
+
 def test_lattice_sums_all_segmentations():
     pieces = [lattice_lm.MARK.encode(), b"a", b"b", b"ab", lattice_lm.MARK.encode() + b"a", b"aba", *(bytes([x]) for x in range(256) if x not in b"ab")]
     p = np.random.default_rng(0).dirichlet(np.ones(len(pieces)))
@@ -208,6 +327,27 @@ def test_long_words_give_expected_counts(monkeypatch, step):
     assert np.allclose(got, want, atol=1e-6) and abs((got * size).sum() - sum(n * (len(w) + 3) for w, n in zip(words, c, strict=True))) < 1e-4
 
 
+def test_more_pieces_than_the_table_holds():
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"w{i}q{i * 7919 % 1000003}" for i in range(500_000))
+    got = token_store.Encoder(BPE).batch([b"x", text.encode(), b"", b"y  z"])
+    t = Tokenizer.from_file(BPE)
+    assert [np.frombuffer(g, np.uint16).tolist() for g in got] == [t.encode(x, add_special_tokens=False).ids for x in ("x", text, "", "y  z")]
+
+
+def test_random_unicode_has_the_librarys_ids():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng, t, e = random.Random(1), Tokenizer.from_file(BPE), token_store.Encoder(BPE)
+    letters = " \n\t\x1c\x85\xa0\u3000ab1'sé日.!²½ſ\u200b\ufeff×÷Àß"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(5000)]
+    texts += ["it's 's  's\n\n  's", "<|endoftext|>", " x <|endoftext|>  y<|endoftext|><|endoftext|>", "a" * 5000, "x " * 300 + "y" * 40]
+    assert [np.frombuffer(g, np.uint16).tolist() for g in e.batch([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_added_tokens(spark):
     from tokenizers import Tokenizer
 
@@ -252,6 +392,49 @@ def test_fingerprints(spark, real, nothing):
     assert fingerprints.against_edited(nothing).count() == 0
 
 
+def _plain_sketch(text):
+    """The parse by plain loops over Python numbers: runs folded, four coin tosses, cuts at local minima, least names in bins."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    low, bins = fingerprints.LOW_BINS, fingerprints.BINS
+    best = {}
+    names = [mix(ord(c) + 1) for c in text]
+    for level in range(1, fingerprints.LEVELS + 1):
+        folded = [(x, len(list(run))) for x, run in itertools.groupby(names)]
+        x = [mix((y + mix(n)) & m64) if n > 1 else y for y, n in folded]
+        label = x
+        for _ in range(4):
+            new = []
+            for k, y in enumerate(label):
+                d = y ^ (label[k - 1] if k else ~y & m64)
+                at = (d & -d).bit_length() - 1
+                new.append(2 * at | (y >> at & 1))
+            label = new
+        phrases = []
+        for k, y in enumerate(x):
+            if not k or (label[k] < label[k - 1] and label[k] < (label[k + 1] if k + 1 < len(label) else 99)):
+                phrases.append([])
+            phrases[-1].append(y)
+        names = [mix((sum(mix((y + (k + 1) * 0x9E3779B97F4A7C15) & m64) for k, y in enumerate(p)) + level) & m64) for p in phrases]
+        for y in names:
+            h = mix(y)
+            b = h >> 60 if level == 1 else (h >> 58) + low
+            best[b] = min(best.get(b, m64), h & ((1 << 58) - 1))
+    return [1 + mix(best[b]) % 65535 if b in best else 0 for b in range(low + bins)]
+
+
+def test_parse_by_plain_loops(real):
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "aa", "aaaaab", "ß日本日本", *("".join(rng.choice(list("abc "), n)) for n in (2, 9, 40, 300)), *[t[:1500] for t in list(real.values())[:15] if t]]
+    got = fingerprints.sketches(texts)
+    assert [s.tolist() for s in got] == [_plain_sketch(t) for t in texts]
+
+
 def test_equal_parts_are_parsed_alike():
     rng = np.random.default_rng(3)
     common = "".join(rng.choice(list("abcdefgh "), 3000))
