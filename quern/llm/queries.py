@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, lattice_lm, mixing, near_dedup, oracle, quality, suffix_dedup, token_store, toxicity
+from . import decontam, fingerprints, langid, lattice_lm, mixing, near_dedup, oracle, quality, suffix_dedup, token_store, toxicity, whitening
 from .common import Scratch, fold, read_table, stratified
 
 
@@ -75,8 +75,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__quern_tokens").alias("n_tokens"), F.col("__quern_p").alias("probability"), F.col("__quern_kept").alias("kept"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    found = [op1_toxicity, op2_langid, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_lattice_lm, op7_token_store, op8_fingerprints, op9_decontam, op10_mixing]
+    found = [op1_toxicity, op2_langid, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_lattice_lm, op7_token_store, op8_fingerprints, op9_decontam, op10_mixing, op11_whitening]
     return {f.__name__: functools.partial(f) for f in found}
 
 
