@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, langid, lattice_lm, mixing, near_dedup, oracle, quality, suffix_dedup, token_store, toxicity, whitening
+from . import alignment, decontam, fingerprints, langid, lattice_lm, mixing, near_dedup, oracle, packing, quality, suffix_dedup, token_store, toxicity, whitening
 from .common import Scratch, fold, read_table, stratified
 
 
@@ -79,8 +79,20 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
-    found = [op1_toxicity, op2_langid, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_lattice_lm, op7_token_store, op8_fingerprints, op9_decontam, op10_mixing, op11_whitening]
+    found = [op1_toxicity, op2_langid, op3_suffix_dedup, op4_near_dedup, op5_quality, op6_lattice_lm, op7_token_store, op8_fingerprints, op9_decontam, op10_mixing, op11_whitening, op12_alignment, op13_packing]
     return {f.__name__: functools.partial(f) for f in found}
 
 

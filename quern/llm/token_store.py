@@ -264,7 +264,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = Encoder(path)
@@ -276,7 +276,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     end = array("H", [end_id]).tobytes()
 
     def run(batches):
-        encode = _encoder(vocabulary).batch
+        encode = encoder(vocabulary).batch
         for b in sub_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encode(texts_of(b), end), pa.binary())], names=["doc_id", "ids"])
 
