@@ -1,4 +1,4 @@
-"""Facts of calls joined with the catalog of functions: sources, sinks, edges, sanitizers; protocols of messages; stored values; whole analyses.
+"""Facts of calls joined with the catalog of functions: sources, sinks, edges, sanitizers; protocols of messages; stored values; whole analyses (`analyse`).
 
 All facts are keyed by (package, script) and a number; the catalog is broadcast, being of bounded size, and every other join is an equi join on those keys."""
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import api_catalog
-from . import bridges, graph, rules
+from . import bridges, graph, program, programs, rules, valueflow
+from .valueflow import path
 
 KEY = ["package", "script"]
 
@@ -59,18 +60,18 @@ def sources(done: DataFrame, args: DataFrame, params: DataFrame, members: DataFr
 
 
 def sinks(done: DataFrame, calls: DataFrame, args: DataFrame, params: DataFrame, properties: DataFrame, markup: DataFrame | None = None) -> DataFrame:
-    """(package, script, sink_type, def, sink). An argument's property is the sink where the argument is written as an object, else the argument; what can't be text is no code; replies of listeners are sinks."""
+    """(package, script, sink_type, def, sink, path). An argument's property is the sink where the argument is written as an object, else the argument at that path; what can't be text is no code; replies of listeners are sinks."""
     a = args.select(*KEY, "call", F.col("ord").alias("arg"), F.col("def").alias("value"), "hint", F.col("type").alias("form"))
     s = done.filter("role = 'sink'").select(*KEY, "call", F.col("arg").cast("long").alias("arg"), "property", F.col("tag").alias("sink_type")).join(a, [*KEY, "call", "arg"])
     s = s.filter(~((F.col("sink_type") == "EVAL") & F.col("hint").isin("no_string", "callable")) & ~((F.col("sink_type") == "TIME_EVAL") & (F.col("hint").isin("no_string", "callable"))))
     p = properties.select(*KEY, F.col("object").alias("value"), F.col("name").alias("property"), F.col("def").alias("own"))
-    direct = s.filter("property is null or form <> 'ObjectExpression'").select(*KEY, "sink_type", F.col("value").alias("def"), F.col("call").alias("sink"))
-    parts = s.filter("property is not null and form = 'ObjectExpression'").join(p, [*KEY, "value", "property"]).select(*KEY, "sink_type", F.col("own").alias("def"), F.col("call").alias("sink"))
+    direct = s.filter("property is null or form <> 'ObjectExpression'").select(*KEY, "sink_type", F.col("value").alias("def"), F.col("call").alias("sink"), F.when(F.col("property").isNull(), path()).otherwise(path(F.col("property"))).alias("path"))
+    parts = s.filter("property is not null and form = 'ObjectExpression'").join(p, [*KEY, "value", "property"]).select(*KEY, "sink_type", F.col("own").alias("def"), F.col("call").alias("sink"), path().alias("path"))
     reply = done.filter("role = 'reply'").select(*KEY, "call", F.col("arg").cast("long").alias("ord"), F.col("tag").alias("sink_type")).join(_callbacks(done, args, params), [*KEY, "call", "ord"]).select(*KEY, "sink_type", F.col("def").alias("callee"))
-    answered = calls.select(*KEY, "call", "callee").join(reply, [*KEY, "callee"]).join(a.filter("arg = 0"), [*KEY, "call"]).select(*KEY, "sink_type", F.col("value").alias("def"), F.col("call").alias("sink"))
+    answered = calls.select(*KEY, "call", "callee").join(reply, [*KEY, "callee"]).join(a.filter("arg = 0"), [*KEY, "call"]).select(*KEY, "sink_type", F.col("value").alias("def"), F.col("call").alias("sink"), path().alias("path"))
     out = direct.unionByName(parts).unionByName(answered)
     if markup is not None:
-        out = out.unionByName(markup.select(*KEY, "sink_type", "def", "sink"))
+        out = out.unionByName(markup.select(*KEY, "sink_type", "def", "sink", path().alias("path")))
     return out.distinct()
 
 
@@ -133,46 +134,103 @@ def projected(properties: DataFrame, messages: DataFrame) -> DataFrame:
     return out.join(deeper, "def", "left_anti").select("root", "path", "def")
 
 
-def storage_ops(done: DataFrame, args: DataFrame, properties: DataFrame, params: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """sets (package, area, key, set_id) and gets (package, area, key, get_id) of stored values, as bridges.storage_bridge takes them; ids are `key_of` a value."""
+def storage_ops(done: DataFrame, args: DataFrame, properties: DataFrame, params: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sets (package, area, key, set_id) and gets (package, area, key, get_id, changed) of stored values, as bridges.storage_bridge takes them; ids are value ids. The keys that are asked for follow program.key_shapes: a literal, an array or a choice of literals, an object of defaults, nothing (all keys), or what isn't known."""
     area = F.regexp_extract("api", r"^chrome\.storage\.(\w+)\.", 1)
     ops = done.filter("role = 'bridge'").withColumn("area", area).select(*KEY, "call", "api", "area")
-    first = args.filter("ord = 0").select(*KEY, "call", "def", F.col("type").alias("form"), "literal")
-    o = ops.join(first, [*KEY, "call"])
+    first = args.filter("ord = 0").select(*KEY, "call", "def", F.col("type").alias("form"), "literal", F.col("function").isNotNull().alias("callback"))
     p = properties.select(*KEY, F.col("object").alias("def"), F.col("name").alias("key"), F.col("def").alias("own"))
-    put = o.filter(F.col("api").endswith(".set"))
-    sets = put.join(p, [*KEY, "def"]).select("package", "area", "key", key_of("own").alias("set_id"))
-    sets = sets.unionByName(put.filter("form <> 'ObjectExpression'").select("package", "area", F.lit(None).cast("string").alias("key"), key_of("def").alias("set_id")))
-    back = _callbacks(done, args, params).filter("ord = 0").select(*KEY, "call", F.col("def").alias("got"))
-    asked = o.filter(F.col("api").endswith(".get")).join(back, [*KEY, "call"], "left").withColumn("got", F.coalesce("got", "call"))
-    gets = asked.filter("form = 'Literal'").select("package", "area", F.col("literal").alias("key"), key_of("got").alias("get_id"))
-    gets = gets.unionByName(asked.filter("form = 'ObjectExpression'").join(p, [*KEY, "def"]).select("package", "area", "key", key_of("got").alias("get_id")))
-    gets = gets.unionByName(asked.filter("form not in ('Literal', 'ObjectExpression')").select("package", "area", F.lit(None).cast("string").alias("key"), key_of("got").alias("get_id")))
+    put = ops.filter(F.col("api").endswith(".set")).join(first, [*KEY, "call"])
+    no_key = F.lit(None).cast("string")
+    sets = put.join(p, [*KEY, "def"]).select("package", "area", "key", programs.value_id("own").alias("set_id"))
+    sets = sets.unionByName(put.filter("form <> 'ObjectExpression'").select("package", "area", no_key.alias("key"), programs.value_id("def").alias("set_id")))
+    # a callback may stand in any place, as the keys may be left out
+    back = ops.join(args.filter("function is not null").select(*KEY, "call", "function"), [*KEY, "call"]).join(params.filter("ord = 0").select(*KEY, "function", F.col("def").alias("got")), [*KEY, "function"]).select(*KEY, "call", "got")
+    asked = ops.filter(F.col("api").endswith(".get")).join(first, [*KEY, "call"], "left").join(back, [*KEY, "call"], "left").withColumn("get_id", programs.value_id(F.coalesce("got", "call")))
+    parts = nodes.filter("field in ('elements', 'consequent', 'alternate')").groupBy(*KEY, F.col("parent").alias("def")).agg(F.collect_set(F.when(F.col("type") == "Literal", F.col("text"))).alias("options"), F.bool_and(F.col("type") == "Literal").alias("plain"))
+    names = p.groupBy(*KEY, "def").agg(F.collect_set("key").alias("defaults"))
+    none = F.col("def").isNull() | F.col("callback") | (F.col("literal").isin("null", "undefined") & F.col("form").isin("Literal", "Identifier"))
+    shape = F.when(none, "none").when(F.col("form") == "Literal", "literal").when(F.col("plain") & F.col("form").isin("ArrayExpression", "ConditionalExpression"), F.when(F.col("form") == "ArrayExpression", "array").otherwise("union")).when(F.col("form") == "ObjectExpression", "object").otherwise("unknown")
+    where = asked.join(parts, [*KEY, "def"], "left").join(names, [*KEY, "def"], "left").withColumn("shape", shape)
+    keys = program.key_shapes(where.select("get_id", "shape", "literal", "options", "defaults")).select("get_id", "key").distinct()
+    gets = where.select("package", "area", "get_id").distinct().join(keys, "get_id").select("package", "area", "key", "get_id", F.lit(False).alias("changed"))
     changed = ops.filter(F.col("api").endswith("onChanged.addListener")).join(_callbacks(done, args, params).filter("ord = 0"), [*KEY, "call"])
-    gets = gets.unionByName(changed.select("package", F.lit("*").alias("area"), F.lit(None).cast("string").alias("key"), key_of("def").alias("get_id")))
-    return sets, gets
-
-
-def key_of(column: str) -> Column:
-    """A value's name over all packages and scripts."""
-    return F.concat_ws(":", "package", "script", F.col(column).cast("string"))
-
-
-def analyse(t: dict[str, DataFrame], rule_sets: list[dict] | None = None) -> DataFrame:
-    """From the fact tables of scripts to flows: sources, sinks and edges by the catalog, stored values across scripts, taint to its fixpoint, rules. Rows: package, source_script, source_type, source_call, sink_script, sink_type, sink_call, flow_type, rule_id."""
-    done = effects(t["call"])
-    found = sources(done, t["arg"], t["param"], t["member"])
-    hits = sinks(done, t["call"], t["arg"], t["param"], t["property"], t["markup"])
-    values = t["edge"].select(*KEY, "src", "dst", "kind").unionByName(edges(done, t["arg"])).unionByName(returns(t["calls"], t["return"]))
-    values = values.select(key_of("src").alias("src"), key_of("dst").alias("dst"), "kind")
-    stored = bridges.storage_bridge(*storage_ops(done, t["arg"], t["property"], t["param"]))
-    values = values.unionByName(stored.select(F.col("set_id").alias("src"), F.col("get_id").alias("dst"), F.lit("STORAGE").alias("kind")))
-    start = found.select(F.concat_ws(" ", key_of("call"), "source_type").alias("taint"), key_of("def").alias("def"))
-    clean = sanitized(done).select(F.lit(None).cast("string").alias("taint"), key_of("def").alias("def"))
-    tainted = graph.propagate(start, values, clean)
-    met = graph.check_sinks(tainted, hits.select(key_of("sink").alias("sink"), "sink_type", key_of("def").alias("def"))).select("taint", "sink", "sink_type").distinct()
-    names = found.select(F.concat_ws(" ", key_of("call"), "source_type").alias("taint"), "package", F.col("script").alias("source_script"), "source_type", F.col("call").alias("source_call")).distinct()
-    ends = hits.select(key_of("sink").alias("sink"), F.col("script").alias("sink_script"), F.col("sink").alias("sink_call")).distinct()
-    flows = met.join(names, "taint").join(ends, "sink")
-    named = rules.match_flows(flows, rules.rules_frame(flows.sparkSession, rule_sets or [rules.default_rules()]))
+    return sets, gets.unionByName(changed.select("package", F.lit("*").alias("area"), no_key.alias("key"), programs.value_id("def").alias("get_id"), F.lit(True).alias("changed")))
+
+
+def stored_edges(sets: DataFrame, gets: DataFrame) -> DataFrame:
+    """Edges from stored values to what reads them: under their key in an answer, under the key and `newValue` in a change."""
+    met = bridges.storage_bridge(sets, gets.drop("changed")).distinct().join(sets.select("set_id", F.col("key").alias("put")).distinct(), "set_id").join(gets.select("get_id", F.col("key").alias("asked"), "changed").distinct(), "get_id")
+    key = F.coalesce("put", "asked")
+    met = met.filter("put is null or asked is null or put = asked")
+    take = F.when(F.col("put").isNotNull(), path()).when(F.col("changed"), path("*")).when(F.col("asked").isNotNull(), path(F.col("asked"))).otherwise(path())
+    give = F.when(F.col("changed"), F.array(F.coalesce(key, F.lit("*")), F.lit("newValue"))).when(key.isNotNull(), path(key)).otherwise(path())
+    return met.select(F.col("set_id").alias("src"), F.col("get_id").alias("dst"), take.alias("take"), give.alias("give"), F.lit(False).alias("flat"), F.lit("heap").alias("step")).distinct()
+
+
+def message_edges(t: dict[str, DataFrame], own: DataFrame) -> DataFrame:
+    """Edges of messages inside a package: from what is sent to the listeners' parameter, and from what they answer to what takes the answer; none where the protocols (`action`, `type`) can't agree."""
+    sent, heard = (graph._cut(d) for d in programs.channels(t))
+    id_, channel, any_ = programs.value_id, F.lit("runtime").alias("channel"), F.lit(None).cast("string").alias("outer_id")
+    pairs = bridges.channel_bridge(sent.select("package", id_("call").alias("send_id"), channel, any_).distinct(), heard.select("package", id_("call").alias("recv_id"), channel, any_).distinct())
+    message = t["param"].filter("ord = 0").select(*KEY, "function", "def")
+    asked = sender_protocol(t["property"], sent.select(*KEY, id_("call").alias("send"), "def"))
+    wanted = receiver_protocol(programs.message_tests(t, own), heard.join(message, [*KEY, "function"]).select(*KEY, id_("call").alias("receive"), "function", "def"))
+    pairs = graph._cut(protocol_pairs(pairs.select("send_id", "recv_id"), asked, wanted))
+    to = heard.join(message, [*KEY, "function"]).select(id_("call").alias("recv_id"), id_("def").alias("dst"))
+    out = pairs.join(sent.select(id_("call").alias("send_id"), id_("def").alias("src")), "send_id").join(to, "recv_id").select("src", "dst")
+    reply = t["param"].filter("ord = 2").select(*KEY, "function", F.col("def").alias("callee")).join(heard, [*KEY, "function"]).select(*KEY, "callee", id_("call").alias("recv_id"))
+    said = t["call"].select(*KEY, F.col("call").alias("answer"), "callee").join(reply, [*KEY, "callee"]).join(t["arg"].filter("ord = 0").select(*KEY, F.col("call").alias("answer"), "def"), [*KEY, "answer"]).select("recv_id", id_("def").alias("src"))
+    back = pairs.join(said, "recv_id").join(sent.select(id_("call").alias("send_id"), id_("back").alias("dst")), "send_id").select("src", "dst")
+    return _plain(out.unionByName(back).distinct(), "heap")
+
+
+def _plain(pairs: DataFrame, step: str) -> DataFrame:
+    return pairs.select("src", "dst", path().alias("take"), path().alias("give"), F.lit(False).alias("flat"), F.lit(step).alias("step"))
+
+
+def flow_edges(t: dict[str, DataFrame], done: DataFrame, own: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """All edges between the values of all scripts, summaries of functions included: inside scripts by assignment, the catalog's, calls and returns, modules, the names of a frame, messages, stored values."""
+    id_ = programs.value_id
+    local = graph._cut(programs.value_edges(t, own))
+    out = programs.by_assignment(local, t, own)
+    by_catalog = edges(done, t["arg"]).select(id_("src").alias("src"), id_("dst").alias("dst"), path().alias("take"), path().alias("give"), F.lit(True).alias("flat"), F.lit("same").alias("step"))
+    bound = programs.imports(t, programs.exports(t))
+    if frames is not None:
+        bound = bound.unionByName(programs.shared_names(t, frames))
+    bound = graph._cut(bound)
+    crossing = graph._cut(programs.crossing_calls(t, bound))
+    named = bound.select(F.col("value").alias("src"), id_("def").alias("dst"), path().alias("take"), F.when(F.col("property").isNull(), path()).otherwise(path(F.col("property"))).alias("give"), F.lit(False).alias("flat"), F.lit("heap").alias("step"))
+    given = t["arg"].select(id_("call").alias("call"), "ord", id_("def").alias("src"))
+    taken = t["param"].select(id_("function").alias("function"), "ord", id_("def").alias("dst"))
+    far = crossing.join(given, "call").join(taken, ["function", "ord"])
+    returned = t["return"].select(id_("function").alias("function"), id_("def").alias("def"))
+    calls = t["calls"].select(id_("call").alias("call"), id_("function").alias("function")).unionByName(crossing).distinct()
+    back = calls.join(returned, "function").select(F.col("def").alias("src"), F.col("call").alias("dst"))
+    stored = stored_edges(*(graph._cut(d) for d in storage_ops(done, t["arg"], t["property"], t["param"], t["node"])))
+    outside = _plain(far.select("src", "dst"), "call").unionByName(named).unionByName(stored).unionByName(message_edges(t, own))
+    out = graph._cut(out.unionByName(by_catalog).unionByName(_plain(back, "return")).unionByName(programs.beside(outside)).join(sanitized(done).select(id_("def").alias("dst")).distinct(), "dst", "left_anti"))
+    sites = programs.call_sites(t, local).unionByName(far.select("call", "function", "src", "dst", path().alias("take"), path().alias("give"), F.lit(False).alias("flat")))
+    params = t["binding"].filter("kind = 'param'").select(id_("scope").alias("function"), id_("def").alias("root")).unionByName(t["param"].select(id_("function").alias("function"), id_("def").alias("root"))).distinct().join(calls.select("function").distinct(), "function", "left_semi")
+    params = params.withColumn("def", F.explode(F.array(F.col("root"), F.concat("root", F.lit("@")))))
+    return out.unionByName(valueflow.summaries(out, params, returned, sites).select(*out.columns))
+
+
+def analyse(t: dict[str, DataFrame], rule_sets: list[dict] | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """From the fact tables of scripts (written before) to flows: sources and sinks by the catalog where code can run, taint by paths over all edges to its fixpoint, rules. frames (package, frame, ord, script), if known, says which scripts run together. Rows: package, source_script, source_type, source_call, sink_script, sink_type, sink_call, flow_type, rule_id."""
+    id_ = programs.value_id
+    own, never = graph._cut(programs.owners(t["node"])), graph._cut(programs.dead(t["node"], t["branch"]))
+    runs = lambda df, node: df.join(never.withColumnRenamed("node", node), [*KEY, node], "left_anti")
+    t = programs.with_patterns(t)
+    t = t | {"call": runs(t["call"], "call"), "edge": runs(t["edge"], "dst"), "member": runs(t["member"], "node"), "markup": runs(t["markup"], "sink"), "return": runs(t["return"], "def")}
+    done = graph._cut(effects(t["call"]))
+    found = graph._cut(sources(done, t["arg"], t["param"], t["member"]))
+    hits = graph._cut(sinks(done, t["call"], t["arg"], t["param"], t["property"], t["markup"]))
+    start = found.select(F.concat_ws(" ", id_("call"), "source_type").alias("taint"), F.explode(F.array(id_("def"), F.concat(id_("def"), F.lit("@")))).alias("def"), path().alias("path"))
+    start = start.join(sanitized(done).select(id_("def").alias("def")), "def", "left_anti")
+    tainted = valueflow.propagate(start, flow_edges(t, done, own, frames))
+    ends = hits.select(id_("sink").alias("sink"), "sink_type", id_("def").alias("def"), F.col("path").alias("at"), F.col("script").alias("sink_script"), F.col("sink").alias("sink_call"))
+    met = tainted.join(ends, "def").filter(valueflow.fits(F.col("path"), F.col("at"))).select("taint", "sink_type", "sink_script", "sink_call").distinct()
+    names = found.select(F.concat_ws(" ", id_("call"), "source_type").alias("taint"), "package", F.col("script").alias("source_script"), "source_type", F.col("call").alias("source_call")).distinct()
+    named = rules.match_flows(met.join(names, "taint"), rules.rules_frame(met.sparkSession, rule_sets or [rules.default_rules()]))
     return named.select("package", "source_script", "source_type", "source_call", "sink_script", "sink_type", "sink_call", "flow_type", "rule_id").distinct()

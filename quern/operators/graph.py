@@ -1,4 +1,4 @@
-"""Fixpoints over edge tables. Each round is checkpointed to the shared folder, joins only the new rows (semi-naive) and brings nothing but a count to the driver."""
+"""Fixpoints over edge tables. Each round is written to the shared folder, joins only the new rows (semi-naive) and brings nothing but a count to the driver."""
 
 from __future__ import annotations
 
@@ -6,25 +6,34 @@ import atexit
 import itertools
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the folder that the session names; where none is named, in a local one on a local master, and an error on a cluster, whose machines share no local folder."""
-    spark: SparkSession = df.sparkSession
+_SHARED = "quern.shared"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where none is named, a local one on a local master, and an error on a cluster, whose machines share no local folder."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
-            shared = tempfile.mkdtemp(prefix="quern-")
-            atexit.register(shutil.rmtree, shared, True)
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get(_SHARED, None)
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
+        atexit.register(shutil.rmtree, found[7:], True)
+        spark.conf.set(_SHARED, found)
+    return found
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: computed once, reread where an executor is lost, and read by column."""
+    at = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def rounds(most: int | None) -> Iterator[int]:

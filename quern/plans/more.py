@@ -614,7 +614,7 @@ def q_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH s AS (SELECT page_id, generate_subscripts(bs, 1) AS k, unnest(bs) AS body FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS bs FROM pages))
-SELECT page_id, '.epg-inline/page_' || page_id || '.inline-' || (k - 1) || '.js' AS path, '// [inline]' || chr(10) || '// source-html: page/' || page_id || '.html' || chr(10) || '// script-index: ' || (k - 1) || chr(10) || body AS code FROM s""")
+SELECT page_id, '.inline-scripts/page_' || page_id || '.inline-' || (k - 1) || '.js' AS path, '// [inline]' || chr(10) || '// source-html: page/' || page_id || '.html' || chr(10) || '// script-index: ' || (k - 1) || chr(10) || body AS code FROM s""")
 def q_inline_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("page"), "html")
     files = packages.inline_files(packages.html_scripts(p, "page", "html"), "page")

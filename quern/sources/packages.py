@@ -156,7 +156,7 @@ def html_scripts(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 #: Fixed value: the folder of inline scripts' own names.
-INLINE_FOLDER = ".epg-inline"
+INLINE_FOLDER = ".inline-scripts"
 
 
 def inline_path(page: Column, number: Column) -> Column:

@@ -165,7 +165,7 @@ def test_html_scripts(spark):
     rows = {(r["kind"], r["src"], r["script_type"]) for r in got.collect()}
     assert rows == {("inline", None, "text/javascript"), ("local", "../lib/a.js", "text/javascript"), ("local", "/b.js", "module"), ("external", "https://x/y.js", "text/javascript"), ("local", "c.js", "text/javascript")}
     inline = packages.inline_files(got.withColumn("page", F.lit("pages/p.html")), "page").orderBy("path").collect()
-    assert [(r["path"], r["code"].split("\n")[-1]) for r in inline] == [(".epg-inline/pages_p.inline-0.js", "one()"), (".epg-inline/pages_p.inline-1.js", "two()")]
+    assert [(r["path"], r["code"].split("\n")[-1]) for r in inline] == [(".inline-scripts/pages_p.inline-0.js", "one()"), (".inline-scripts/pages_p.inline-1.js", "two()")]
     paths = spark.range(1).select(*(packages.resolve(F.lit("pages/p.html"), F.lit(s)) for s in ("../lib/a.js?x", "/b.js", "./c.js"))).first()
     assert tuple(paths) == ("lib/a.js", "b.js", "pages/c.js")
 
