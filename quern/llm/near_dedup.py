@@ -3,7 +3,7 @@
 1. Each text's set of word shingles gives K MinHash samples: bands of them propose candidates, and all of them, folded into a parity bitmap (an odd sketch), estimate the similarity of a candidate pair by the population count of the bitmaps' XOR.
 2. Texts with equal sets are one class, named by the set's 128-bit digest; only classes go on, however many rows and ids they have.
 3. In each bucket (band, value), classes are paired with two hubs, the least and the most central of them, not with each other. Pairs that the sketch finds likely are confirmed on the full sets, and the links make components.
-4. Then only pairs of a bucket that lie in different components can still change a component. Where a bucket has few classes, or few outside its largest component, those few meet the others. The classes of all other buckets (templates: texts that are alike, but not enough) are paired anew by their rarest shingles: two sets with a similarity of t have a shingle in common among the n - ceil(t * n) + 1 rarest of each, so buckets by these lose nothing, and what a template's texts share isn't among them. All these pairs are bounded by sizes, by the sketch and by counts of shingles in hash classes (the lesser counts add up to no less than the overlap), then confirmed. No link between different components is lost, and a bucket of texts that are alike costs as many pairs as it has members.
+4. Then only pairs of a bucket that lie in different components can still change a component. Where a bucket has few classes, or few outside its largest component, those few meet the others. The classes of all other buckets (templates: texts that are alike, but not enough) are paired anew by their rarest shingles: two sets with a similarity of t have a shingle in common among the n - ceil(t * n) + 1 rarest of each, so buckets by these lose nothing, and what a template's texts share isn't among them. Where such buckets are large too (texts put together from the same passages, which share their rarest shingles with very many others), their classes get MinHash samples anew, in bands of WIDE_ROWS: texts far under the threshold hardly ever agree on so many samples, and there are as many bands as keep a link's miss under MISS. All these pairs are bounded by sizes, by the sketch and by counts of shingles in hash classes (the lesser counts add up to no less than the overlap), then confirmed. No link between different components is lost, and a bucket of texts that are alike costs as many pairs as it has members. A pair is looked at without being linked only if it shares a small bucket, or is so like that it agrees on a wide band: pairs just under the threshold do, and there the work grows with their number.
 5. Components are found by star contraction over written tables.
 
 A pair at 0.8 misses all 32 bands of 4 rows with probability 5e-8 (at 0.85: 5e-11) and is refused by the sketch with about 1e-8.
@@ -29,7 +29,9 @@ CLASSES = 128
 #: Rows of ids (16 bytes each) that may be broadcast; beyond, the join is by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: A bucket's classes meet directly where it has so many at most, or so many outside its largest component.
-FEW, OUTSIDERS = 256, 64
+FEW, OUTSIDERS = 64, 64
+#: Samples in a band for the classes of buckets that stay large, and how often a link may be missed by them.
+WIDE_ROWS, MISS = 16, 1e-8
 #: A shingle of so many sets at most isn't common.
 COMMON = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -173,6 +175,33 @@ def _rarest(shared, percent: int):
     return run
 
 
+def wide_bands(percent: int) -> int:
+    """How many bands of WIDE_ROWS samples a link at the threshold misses with a probability of MISS."""
+    return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** WIDE_ROWS))))
+
+
+def _wide(percent: int):
+    """digest, s -> digest, bucket: a row for each wide band."""
+
+    def run(batches):
+        n = wide_bands(percent)
+        rng = np.random.default_rng(21)
+        a, b = (rng.integers(1, 1 << 63, n * WIDE_ROWS, dtype=np.uint64) for _ in range(2))
+        a |= np.uint64(1)
+        for batch in batches:
+            for d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(s, np.uint64)
+                best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+                for k in range(0, len(x), 64):
+                    best = np.minimum(best, (x[k : k + 64, None] * a + b).min(0))
+                h = np.arange(n, dtype=np.uint64) * _MULT
+                for r in range(WIDE_ROWS):
+                    h = _mix(h * _MULT + best[r::WIDE_ROWS])
+                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.binary()), pa.array(h.view(np.int64))], names=["digest", "bucket"])
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
@@ -282,11 +311,16 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         common = often.filter(F.col("df") > least).toPandas()
         shared = docs.sparkSession.sparkContext.broadcast((common["bucket"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
         rare = scratch.save(own.mapInArrow(_rarest(shared, percent), "digest binary, bucket long"), "rare")
-        parts = joined(crossing(rare, parts, "rare", None)[0], "rare")
+        pairs, rest = crossing(rare, parts, "rare", FEW)
+        parts = joined(pairs, "rare")
+        still = scratch.save(rest.select("digest").distinct(), "still")
+        if still.head(1):
+            wide = scratch.save(sets.join(still, "digest").select("digest", "s").mapInArrow(_wide(percent), "digest binary, bucket long"), "wide")
+            parts = joined(crossing(wide, parts, "wide", None)[0], "wide")
     placed = classes.select("digest", "rep.doc_id").join(parts.select(F.col("id").alias("digest"), "component"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc_id")).alias("least"))
     named = scratch.save(placed.join(least, "component").select("digest", F.col("component").alias("class"), F.col("least.doc_id").alias("component_id")), "named")
-    scratch.free("classes", "shared", "buckets", "central", "hub", "near", "wanted", "sets", "sketches", "hubs", "many", "own", "often", "rare", *(f"{x}-{y}" for x in ("near", "rare") for y in ("placed", "buckets", "open", "pairs")))
+    scratch.free("classes", "shared", "buckets", "central", "hub", "near", "wanted", "sets", "sketches", "hubs", "many", "own", "often", "rare", "still", "wide", *(f"{x}-{y}" for x in ("near", "rare", "wide") for y in ("placed", "buckets", "open", "pairs")))
     own = ["doc_id", "h", "n_shingles"]
     worded = signed.filter("digest is not null").select(*own, "digest").join(named, "digest").select(*own, "class", "component_id")
     out = worded.unionByName(signed.filter("digest is null").select(*own, F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("component_id")))

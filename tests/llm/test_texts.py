@@ -112,7 +112,7 @@ def _edited(n=120, words=150, most=9):
     return rows
 
 
-@pytest.mark.parametrize("few", [near_dedup.FEW, 3])
+@pytest.mark.parametrize("few", [256, near_dedup.FEW, 3])
 def test_near_copies_by_edits(spark, monkeypatch, few):
     """With `few` at 3 nearly all pairs beyond the hubs' are found by the rarest shingles."""
     monkeypatch.setattr(near_dedup, "FEW", few)
@@ -149,19 +149,57 @@ def test_near_copies_of_odd_rows(odd, odd_rows):
     assert near_dedup.one_of_each(odd).columns == odd.columns
 
 
-def test_templates_make_no_square(spark, monkeypatch):
+@pytest.fixture
+def steps(monkeypatch):
+    """What a run of near_dedup writes, by name, and how many rows its joins of buckets have."""
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **o: saved.setdefault(name, save(self, df, name, **o)))
+    monkeypatch.setattr(Scratch, "free", lambda self, *names: None)
+
+    def joined(name):
+        if f"{name}-open" not in saved:
+            return 0
+        sizes = saved[f"{name}-open"].groupBy("bucket").agg(F.count("*").alias("all"), F.count_if(~F.col("inside")).alias("outside"))
+        return sizes.agg(F.sum(F.col("all") * F.col("outside"))).first()[0] or 0
+
+    return saved, joined
+
+
+def test_templates_make_no_square(spark, steps):
     """2,000 texts that share half of their shingles: all are in one another's buckets, none is linked, and few pairs are looked at."""
+    saved, joined = steps
     frame = " ".join(f"frame{k}" for k in range(100))
     rows = [(i, frame + " " + " ".join(f"own{i}x{k}" for k in range(70))) for i in range(2000)]
-    saved = {}
-    save = Scratch.save
-    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **o: saved.setdefault(name, save(self, df, name, **o)))
-    monkeypatch.setattr(Scratch, "free", lambda self, *names: None)
     got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.filter("kept").count() == 2000
     most = saved["buckets"].groupBy("bucket").count().agg(F.max("count")).first()[0]
-    assert most > 500 and saved["many"].count() > 1000
-    assert saved["near-open"].count() < 40 * 2000 and saved["rare"].count() < 10 * 2000 and saved["near-pairs"].count() + saved["rare-pairs"].count() < 2000
+    many = saved["many"].count()
+    assert most > 500 and many > 1000
+    assert saved["rare"].count() <= 34 * many  # of 166 shingles each, 34 may be among the rarest
+    assert saved["near-open"].count() < 40 * 2000 and joined("near") < 64 * 2000 and joined("rare") < 2000 and "wide" not in saved
+
+
+def test_recombined_passages_make_no_square(spark, steps):
+    """800 texts of 75 of the same 100 passages, in one order, so that all pairs share very many shingles, rare ones included; 20 copies with an edit are linked. Rows that are joined stay within a few times the rows of buckets."""
+    saved, joined = steps
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 12)) for _ in range(100)]
+    rows = [(i, " ".join(passages[k] for k in np.sort(rng.permutation(100)[:75]))) for i in range(800)]
+    rows += [(1000 + i, rows[30 * i][1] + " one more end") for i in range(20)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 85).collect()}
+    assert all(got[1000 + i] == 30 * i for i in range(20))
+    assert sum(d == c for d, c in got.items()) == 800
+    assert joined("near") <= 64 * saved["buckets"].count() and joined("rare") <= 64 * saved["rare"].count()
+    assert saved["wide"].count() == near_dedup.wide_bands(85) * saved["still"].count() and joined("wide") <= saved["wide"].count()
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_wide_bands_lose_no_link(spark, monkeypatch, percent):
+    """With small bounds everything beyond the hubs goes to the wide bands; brute force finds the same."""
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 0)
+    rows = _edited(60, most=14)
+    assert _rows(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent)) == _linked(rows, percent)[0]
 
 
 def test_recall_of_links(spark):
