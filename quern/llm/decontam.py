@@ -1,14 +1,15 @@
 """Benchmark decontamination: document windows against a hash set of benchmark n-grams.
 
-A window is `size` consecutive words of an item; an item of fewer words, but not none, is one window. The windows are broadcast, with their words, where their number is within `max_windows`; larger benchmarks are cut into parts of about that size by a hash of the item, and each part is scanned in turn over a written table, so the broadcast stays bounded and no window is dropped. A scan hashes every run of known words, looks the hashes up, and verifies hits word by word.
+A window is `size` consecutive words of an item; an item of fewer words, but not none, is one window. The windows are broadcast, with their words, where their number is within `max_windows`; larger benchmarks are cut into parts of about that size by a hash of the item, and each part is scanned for in turn, so the broadcast stays bounded and no window is dropped: the documents are written once with a row number, each part's pass reads their texts and writes only numbers and hits of rows that have any, and the hits of all parts are joined to the rows. A scan hashes every run of known words, looks the hashes up, and verifies hits word by word.
 
 Results per document: its hit words, from which spans or whole documents are removed. No shuffle of texts.
 
-Edge cases: null has no words; an item or a document without words meets nothing; repeated items are all counted; with an empty benchmark nothing is hit.
+Edge cases: null has no words; an item or a document without words meets nothing; repeated items are all counted; repeated rows, and rows with one id or a null one, are documents of their own; with an empty benchmark nothing is hit, and an empty table gives an empty result. A very long text is scanned in one piece, by itself, in memory that is a small multiple of it. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -16,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Scratch, alnum_words, sub_batches, texts_of
+from .common import Scratch, alnum_words, fresh, sub_batches, texts_of
 
 SIZE = 10
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -72,7 +72,7 @@ class Index:
 
 
 def _scanned(index: Index, b: pa.RecordBatch) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
-    """Per row of the batch: the number of words, the places of hit words, and the items met; what earlier parts have found is added."""
+    """Per row of the batch: the number of words, the places of hit words, and the items met."""
     get, words = index.vocab.get, [alnum_words(t) for t in texts_of(b)]
     ids: list[int] = []
     starts = []
@@ -85,10 +85,6 @@ def _scanned(index: Index, b: pa.RecordBatch) -> tuple[np.ndarray, list[list[int
     items: list[set[str]] = [set() for _ in words]
     for d, (_, w) in zip((np.searchsorted(starts, [k for k, _ in found], "right") - 1).tolist(), found, strict=True):
         items[d].update(index.items[w])
-    if "__quern_hits" in b.schema.names:
-        for d, (h, i) in enumerate(zip(b.column("__quern_hits").to_pylist(), b.column("__quern_items").to_pylist(), strict=True)):
-            hit[starts[d] + np.array(h, np.int64)] = True
-            items[d].update(i)
     n = np.array([len(w) for w in words], np.int64)
     hits = [np.flatnonzero(hit[s : s + k]).tolist() for s, k in zip(starts, n.tolist(), strict=True)]
     return n, hits, [sorted(x) for x in items]
@@ -103,30 +99,46 @@ def _parts(items: DataFrame, size: int, max_windows: int):
         for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).toLocalIterator():
             for w in item_windows(r["text"], size):
                 windows.setdefault(w, []).append(r["item"] or "")
-        yield k == parts - 1, items.sparkSession.sparkContext.broadcast(Index(windows))
+        yield parts, items.sparkSession.sparkContext.broadcast(Index(windows))
 
 
-def _run(docs: DataFrame, benchmark: DataFrame, size: int, max_windows: int, last, schema: str) -> DataFrame:
-    """Scans with each part of the benchmark; `last` makes the result's batch of a batch and what was found in it. Several parts are a chain of passes over written tables."""
+def _run(docs: DataFrame, benchmark: DataFrame, size: int, max_windows: int, last, schema) -> DataFrame:
+    """Scans with each part of the benchmark; `last` makes the result's batch of a batch and what was found in it."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    scratch, names = None, docs.columns
-    for k, (final, shared) in enumerate(_parts(items, size, max_windows)):
+    names, found, scratch, base = docs.columns, [], None, None
+    row, hits, met = (fresh(f"__quern_{x}", names) for x in ("row", "hits", "items"))
+    for k, (parts, shared) in enumerate(_parts(items, size, max_windows)):
+        if parts == 1:
 
-        def run(batches, shared=shared, final=final):
+            def run(batches, shared=shared):
+                index = shared.value
+                for b in sub_batches(batches):
+                    yield last(b, *_scanned(index, b))
+
+            return docs.mapInArrow(run, schema)
+        if base is None:
+            scratch = Scratch(docs.sparkSession, "decontam")
+            base = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "base")
+
+        def part(batches, shared=shared):
             index = shared.value
             for b in sub_batches(batches):
-                n, hits, met = _scanned(index, b)
-                b = b.select(names)
-                if final:
-                    yield last(b, n, hits, met)
-                else:
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hits, pa.list_(pa.int64())), pa.array(met, pa.list_(pa.string()))], names=[*names, "__quern_hits", "__quern_items"])
-
-        if final:
-            return docs.mapInArrow(run, schema)
-        scratch = scratch or Scratch(docs.sparkSession, "decontam")
-        more = T.StructType([*docs.select(names).schema.fields, T.StructField("__quern_hits", T.ArrayType(T.LongType())), T.StructField("__quern_items", T.ArrayType(T.StringType()))])
-        docs = scratch.save(docs.mapInArrow(run, more), f"part{k}")
+                _, places, names_met = _scanned(index, b)
+                some = [i for i, x in enumerate(places) if x]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([places[i] for i in some], pa.list_(pa.int64())), pa.array([names_met[i] for i in some], pa.list_(pa.string()))], names=["row", "hits", "items"])
+
+        found.append(scratch.save(base.select(F.col(row).alias("row"), "text").mapInArrow(part, "row long, hits array<long>, items array<string>"), f"part{k}"))
+        shared.unpersist()
+    every = functools.reduce(DataFrame.unionByName, found)
+    merged = every.groupBy("row").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(n) for c, n in (("hits", hits), ("items", met)))).withColumnRenamed("row", row)
+
+    def done(batches):
+        for b in sub_batches(batches):
+            n = np.array([len(alnum_words(t)) for t in texts_of(b)], np.int64)
+            places, names_met = ([x or [] for x in b.column(b.schema.get_field_index(c)).to_pylist()] for c in (hits, met))
+            yield last(b.select(names), n, places, names_met)
+
+    return base.join(scratch.save(merged, "merged"), row, "left").select(*(F.col(f"`{c}`") for c in [*names, hits, met])).mapInArrow(done, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, max_windows: int = 500_000) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, space_words, sub_batches, texts_of
+from .common import Scratch, fresh, space_words, sub_batches, texts_of
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -335,9 +335,7 @@ def groups(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
 def one_of_each(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows of docs without near copies: of each group the row with the least id (of its texts the one with the least hash, of repeated rows one). Rows without words stay. Only what goes, and what is repeated, is joined to the rows."""
     scratch = Scratch(docs.sparkSession, "dedup")
-    key = "__quern_row"
-    if key in docs.columns:
-        raise ValueError(f"a column may not be named {key}")
+    key = fresh("__quern_row", docs.columns)
     decided = scratch.save(decide(docs, percent, size).filter("class is not null").groupBy("class", "doc_id", "h", "kept").agg(F.count("*").alias("times")), "decided")
     chosen = scratch.save(decided.filter("kept").groupBy("class").agg(F.min("h").alias("least")), "chosen")
     kept = decided.join(chosen, "class", "left").withColumn("stays", F.col("kept") & (F.col("h") == F.col("least")))

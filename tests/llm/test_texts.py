@@ -147,6 +147,8 @@ def test_near_copies_of_odd_rows(odd, odd_rows):
     want, _ = _linked([(r[1], r[2]) for r in odd_rows])
     assert _rows(near_dedup.groups(odd)) == want
     assert near_dedup.one_of_each(odd).columns == odd.columns
+    named = odd.withColumnsRenamed({"extra": "__quern_row", "part": "class", "h": "digest", "rep": "kept"})
+    assert near_dedup.one_of_each(named).columns == named.columns and near_dedup.one_of_each(named).count() == near_dedup.one_of_each(odd).count()
 
 
 @pytest.fixture
@@ -519,4 +521,7 @@ def test_benchmark_hits(spark, odd, odd_rows, nothing, most):
     cleaned = decontam.clean(odd, bench, max_windows=most, drop_over=0.5)
     texts = {r["doc_id"]: r["text"] for r in cleaned.collect()}
     assert cleaned.columns == odd.columns and 5 not in texts and "stands in several" not in texts[6] and texts[6].startswith("This one line") and texts[0] is None
+    named = odd.withColumnsRenamed({"extra": "__quern_hits", "id": "__quern_items", "features": "__QUERN_ROW", "rep": "row", "part": "hits", "source": "items"})
+    again = decontam.clean(named, bench, max_windows=most, drop_over=0.5)
+    assert again.columns == named.columns and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, cleaned.collect()), key=repr)
     assert decontam.scan(nothing, bench, max_windows=most).count() == 0 and decontam.scan(odd, bench.limit(0)).filter("n_hit > 0").count() == 0
