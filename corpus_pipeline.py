@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontam, mixing, near_dedup, quality, token_store, toxicity
-from quern.llm.common import Scratch, read_table
+from quern.llm.common import Scratch, fresh, read_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +24,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    before = "__quern_before"
-    if before in docs.columns:
-        raise ValueError(f"a column may not be named {before}")
+    before = fresh("__quern_before", docs.columns)
     clean = decontam.clean(docs.withColumn(before, F.length("text")), read_table(spark, sf_dir, "benchmark"), 10)
     n = F.when(F.col(before) == F.length("text"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return clean.withColumn("n_chars", F.coalesce(n, F.col("n_chars"))).drop(before)
