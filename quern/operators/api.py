@@ -216,19 +216,34 @@ def flow_edges(t: dict[str, DataFrame], done: DataFrame, own: DataFrame, frames:
     return out.unionByName(valueflow.summaries(out, params, returned, sites).select(*out.columns))
 
 
-def analyse(t: dict[str, DataFrame], rule_sets: list[dict] | None = None, frames: DataFrame | None = None) -> DataFrame:
-    """From the fact tables of scripts (written before) to flows: sources and sinks by the catalog where code can run, taint by paths over all edges to its fixpoint, rules. frames (package, frame, ord, script), if known, says which scripts run together. Rows: package, source_script, source_type, source_call, sink_script, sink_type, sink_call, flow_type, rule_id."""
+def _given_way(t: dict[str, DataFrame], own: DataFrame, known: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables without the bodies of known helpers, and the edges that stand for them: from arguments to the calls of those that pass them on."""
+    found = graph._cut(programs.helpers(programs.function_shapes(t, own), known))
+    inside = found.join(own.withColumnRenamed("owner", "function"), [*KEY, "function"]).select(*KEY, "node").distinct()
+    out = lambda df, node: df.join(inside.withColumnRenamed("node", node), [*KEY, node], "left_anti")
+    calls = t["calls"].join(found.filter("effect = 'flow'").select(*KEY, "function"), [*KEY, "function"]).select(*KEY, "call")
+    passed = calls.join(t["arg"].select(*KEY, "call", "def"), [*KEY, "call"]).select(programs.value_id("def").alias("src"), programs.value_id("call").alias("dst"))
+    gone = t | {"call": out(t["call"], "call"), "edge": out(t["edge"], "dst"), "markup": out(t["markup"], "sink"), "return": out(t["return"], "def")}
+    return gone, _plain(passed.distinct(), "same").withColumn("flat", F.lit(True))
+
+
+def analyse(t: dict[str, DataFrame], rule_sets: list[dict] | None = None, frames: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """From the fact tables of scripts (written before) to flows: sources and sinks by the catalog where code can run, taint by paths over all edges to its fixpoint, rules. frames (package, frame, ord, script), if known, says which scripts run together; known (shape, effect), if given, which functions are helpers whose bodies give way to what they do. Rows: package, source_script, source_type, source_call, sink_script, sink_type, sink_call, flow_type, rule_id."""
     id_ = programs.value_id
     own, never = graph._cut(programs.owners(t["node"])), graph._cut(programs.dead(t["node"], t["branch"]))
     runs = lambda df, node: df.join(never.withColumnRenamed("node", node), [*KEY, node], "left_anti")
     t = programs.with_patterns(t)
     t = t | {"call": runs(t["call"], "call"), "edge": runs(t["edge"], "dst"), "member": runs(t["member"], "node"), "markup": runs(t["markup"], "sink"), "return": runs(t["return"], "def")}
+    extra = None
+    if known is not None:
+        t, extra = _given_way(t, own, known)
     done = graph._cut(effects(t["call"]))
     found = graph._cut(sources(done, t["arg"], t["param"], t["member"]))
     hits = graph._cut(sinks(done, t["call"], t["arg"], t["param"], t["property"], t["markup"]))
     start = found.select(F.concat_ws(" ", id_("call"), "source_type").alias("taint"), F.explode(F.array(id_("def"), F.concat(id_("def"), F.lit("@")))).alias("def"), path().alias("path"))
     start = start.join(sanitized(done).select(id_("def").alias("def")), "def", "left_anti")
-    tainted = valueflow.propagate(start, flow_edges(t, done, own, frames))
+    way = flow_edges(t, done, own, frames)
+    tainted = valueflow.propagate(start, way if extra is None else way.unionByName(extra.select(*way.columns)))
     ends = hits.select(id_("sink").alias("sink"), "sink_type", id_("def").alias("def"), F.col("path").alias("at"), F.col("script").alias("sink_script"), F.col("sink").alias("sink_call"))
     met = tainted.join(ends, "def").filter(valueflow.fits(F.col("path"), F.col("at"))).select("taint", "sink_type", "sink_script", "sink_call").distinct()
     names = found.select(F.concat_ws(" ", id_("call"), "source_type").alias("taint"), "package", F.col("script").alias("source_script"), "source_type", F.col("call").alias("source_call")).distinct()

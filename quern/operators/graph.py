@@ -91,20 +91,98 @@ def check_sinks(tainted: DataFrame, sinks: DataFrame) -> DataFrame:
 
 
 def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """edges (node, dep), nodes (node) -> (node, level): 0 without dependencies, else 1 + the deps' largest. Nodes on cycles, and those that need them, have a null level."""
+    """edges (node, dep), nodes (node) -> (node, level): 0 without dependencies, else 1 + the deps' largest. Nodes on cycles, and those that need them, have a null level (`ordered` gives them one).
+
+    A node is done in the round in which its last dependency is: a round joins the edges of the newly done only, and adds up how many dependencies of the nodes that they meet are done by now."""
     edges = _cut(edges.select("node", "dep").distinct())
     nodes = _cut(nodes.select("node").distinct())
-    done = _cut(nodes.join(edges, "node", "left_anti").withColumn("level", F.lit(0)))
-    for _ in rounds(max_depth):
-        left = edges.join(done.select("node"), "node", "left_anti")
-        open_ = left.join(done.select(F.col("node").alias("dep"), "level"), "dep", "left").groupBy("node").agg(F.max("level").alias("m"), F.bool_or(F.col("level").isNull()).alias("waits"))
-        new = _cut(open_.filter("not waits").select("node", (F.col("m") + 1).alias("level")))
-        if not new.head(1):
+    needs = _cut(edges.groupBy("node").agg(F.count("*").alias("needs")))
+    done = new = _cut(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
+    before = None
+    for level in rounds(max_depth):
+        step = _cut(edges.join(new.select(F.col("node").alias("dep")), "dep").groupBy("node").agg(F.count("*").alias("n")))
+        if not step.head(1):
             break
-        done = _cut(done.unionByName(new))
+        all_ = step if before is None else step.unionByName(before.join(step, "node", "left_semi"))
+        ready = all_.groupBy("node").agg(F.sum("n").alias("n")).join(needs, "node").filter(F.col("n") == F.col("needs"))
+        new = _cut(ready.join(nodes, "node", "left_semi").select("node", F.lit(level).alias("level")))
+        before = step if before is None else before.unionByName(step)
+        if level % 8 == 0:
+            before = _cut(before.groupBy("node").agg(F.sum("n").alias("n")))
+        done = done.unionByName(new)
+        if level % 8 == 0:
+            done = _cut(done)
     return nodes.join(done, "node", "left")
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """edges (src, dst), each node of which has edges in and out -> (node, component): the least node of the set of nodes that reach one another.
+
+    Each node takes the least node that reaches it as its colour; what reaches a colour's own node inside the colour is that node's set. Sets are taken out, edges between colours dropped, and the rest coloured anew; each turn takes out at least one set of every part that hangs together."""
+    left = _cut(edges.select("src", "dst").distinct())
+    out = _cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
+    nodes, found = out, None
+    for _ in rounds(None):
+        # colours: a round joins the nodes whose colour fell
+        colour = new = _cut(nodes.withColumn("colour", F.col("node")))
+        for _k in rounds(None):
+            step = new.join(left, new["node"] == left["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("lower"))
+            new = _cut(step.join(colour, "node").filter("lower < colour").select("node", F.col("lower").alias("colour")))
+            if not new.head(1):
+                break
+            colour = _cut(colour.join(new.withColumnRenamed("colour", "lower"), "node", "left").select("node", F.coalesce("lower", "colour").alias("colour")))
+        inside = _cut(left.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
+        own = new = _cut(colour.filter("node = colour"))
+        for _k in rounds(None):
+            step = new.join(inside, (new["node"] == inside["dst"]) & (new["colour"] == inside["colour"])).select(F.col("src").alias("node"), inside["colour"]).distinct()
+            new = _cut(step.join(own, ["node", "colour"], "left_anti"))
+            if not new.head(1):
+                break
+            own = _cut(own.unionByName(new))
+        got = own.select("node", F.col("colour").alias("component"))
+        found = got if found is None else _cut(found.unionByName(got))
+        nodes = _cut(nodes.join(got, "node", "left_anti"))
+        if not nodes.head(1):
+            return found
+        left = _cut(inside.select("src", "dst").join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
+
+
+def ordered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (node, dep), nodes (node) -> (node, component, level): an order for all nodes, cycles included. Nodes that need one another are one component, named by its least node; its level is 0 if it needs no other, else 1 + the largest of those it needs. Inside a component nodes are in their own order."""
+    nodes = _cut(nodes.select("node").distinct())
+    edges = _cut(edges.select("node", "dep").distinct().join(nodes, "node", "left_semi").join(nodes.toDF("dep"), "dep", "left_semi"))
+    levels = _cut(topo_levels(edges, nodes))
+    stuck = levels.filter("level is null").select("node")
+    if not stuck.head(1):
+        return levels.select("node", F.col("node").alias("component"), "level")
+    # of what waits for a cycle, what no cycle waits for isn't on one
+    tied = edges.join(stuck, "node", "left_semi").join(stuck.toDF("dep"), "dep", "left_semi")
+    back = topo_levels(tied.select(F.col("dep").alias("node"), F.col("node").alias("dep")), stuck)
+    core = _cut(back.filter("level is null").select("node"))
+    among = tied.join(core, "node", "left_semi").join(core.toDF("dep"), "dep", "left_semi").select(F.col("node").alias("src"), F.col("dep").alias("dst"))
+    named = _cut(nodes.join(cycles(among), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    between_ = edges.join(named, "node").join(named.toDF("dep", "needed"), "dep").filter("component <> needed").select(F.col("component").alias("node"), F.col("needed").alias("dep"))
+    return named.join(topo_levels(between_, named.select(F.col("component").alias("node"))).withColumnRenamed("node", "component"), "component").select("node", "component", "level")
+
+
+def taint_graph(tainted: DataFrame, edges: DataFrame, hits: DataFrame) -> DataFrame:
+    """tainted (taint, def: all that propagate found), edges (src, dst), hits (taint, sink, def) -> (taint, sink, src, dst, depth): every edge on any way of a taint to a sink that it reaches, with the least number of steps from the edge's start to the sink. Backward reach from the sink inside what the taint reached."""
+    edges, tainted = _cut(edges.select("src", "dst").distinct()), _cut(tainted.select("taint", "def").distinct())
+    seen = new = _cut(hits.select("taint", "sink", "def", F.lit(0).alias("depth")).distinct())
+    for depth in rounds(None):
+        step = new.join(edges, new["def"] == edges["dst"]).select("taint", "sink", F.col("src").alias("def")).distinct().join(tainted, ["taint", "def"], "left_semi")
+        new = _cut(step.join(seen, ["taint", "sink", "def"], "left_anti").select("taint", "sink", "def", F.lit(depth).alias("depth")))
+        if not new.head(1):
+            break
+        seen = seen.unionByName(new)
+        if depth % 8 == 0:
+            seen = _cut(seen)
+    seen = _cut(seen)
+    ends = seen.select("taint", "sink", F.col("def").alias("dst"))
+    starts = seen.select("taint", "sink", F.col("def").alias("src"), "depth")
+    return ends.join(edges, "dst").join(starts, ["taint", "sink", "src"]).select("taint", "sink", "src", "dst", "depth")
+
+
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (src, dst), starts (node), ends (node) -> (start, end, path): of each pair the shortest path, the least in order at ties. The frontier keeps one path for each pair of nodes."""
     edges = _cut(edges.select("src", "dst").distinct())

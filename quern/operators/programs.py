@@ -243,3 +243,34 @@ def message_tests(t: dict[str, DataFrame], own: DataFrame) -> DataFrame:
     switched = subject.join(case, [*KEY, "switch"]).join(nodes.filter("field = 'test' and type = 'Literal'").select(*KEY, F.col("parent").alias("whole"), F.col("text").alias("literal")), [*KEY, "whole"]).select(*KEY, "read", "literal")
     found = compared.unionByName(switched).join(members, [*KEY, "read"]).join(own.select(*KEY, F.col("node").alias("read"), F.col("owner").alias("function")), [*KEY, "read"])
     return found.select(*KEY, "function", "def", "key", "literal").distinct()
+
+
+def function_shapes(t: dict[str, DataFrame], own: DataFrame) -> DataFrame:
+    """(package, script, function, size, shape): a digest of each function's tree in which local names don't count, only where they are bound, so that renamed copies are equal. A node's place, kind and text, relative to the function, are hashed one by one and added up, nested functions' for each that they are in, so nothing is collected."""
+    names = t["use"].select(*KEY, F.col("use").alias("node"), "def").unionByName(t["binding"].select(*KEY, F.col("def").alias("node"), "def")).distinct()
+    local = names.join(t["binding"].filter("kind <> 'global'").select(*KEY, "def"), [*KEY, "def"]).select(*KEY, "node", "def").distinct()
+    within = own.filter("owner <> 0")
+    functions = t["node"].filter(F.col("type").isin(*FUNCTIONS)).select(*KEY, F.col("node").alias("owner"))
+    level = graph._cut(within.select(*KEY, "node", F.col("owner").alias("function")).unionByName(functions.select(*KEY, F.col("owner").alias("node"), F.col("owner").alias("function"))))
+    pairs, up = level, own.select(*KEY, F.col("node").alias("function"), F.col("owner").alias("outer"))
+    for _ in graph.rounds(None):
+        level = graph._cut(level.join(up, [*KEY, "function"]).filter("outer <> 0").select(*KEY, "node", F.col("outer").alias("function")))
+        if not level.head(1):
+            break
+        pairs = pairs.unionByName(level)
+    n = t["node"].select(*KEY, "node", "parent", "type", "field", "ord", "text")
+    last = pairs.groupBy(*KEY, "function").agg(F.max("node").alias("last"))
+    inner = pairs.join(last, [*KEY, "function"]).join(n, [*KEY, "node"]).join(local, [*KEY, "node"], "left")
+    bound = F.col("def").between(F.col("function"), F.col("last"))
+    text = F.when(bound, F.concat(F.lit("#"), (F.col("def") - F.col("function")).cast("string"))).otherwise(F.coalesce("text", F.lit("")))
+    root = F.col("node") == F.col("function")
+    # where the function itself stands, and the name that others call it by, aren't a part of it
+    name = (F.col("field") == "name") & (F.col("parent") == F.col("function"))
+    place = [F.col("node") - F.col("function"), F.when(root, 0).otherwise(F.col("parent") - F.col("function")), "type", F.when(root, "").otherwise(F.col("field")), F.when(root, 0).otherwise(F.col("ord")), F.when(name, "").otherwise(text)]
+    sums = [F.sum(F.xxhash64(F.lit(k), *place).cast("decimal(20,0)")).cast("string") for k in (1, 2)]
+    return inner.groupBy(*KEY, "function").agg(F.count("*").alias("size"), F.sha2(F.concat_ws(" ", *sums), 256).alias("shape"))
+
+
+def helpers(shapes: DataFrame, known: DataFrame) -> DataFrame:
+    """shapes, known (shape, effect; of bounded number, `flow` or `clean`) -> (package, script, function, effect): functions that are copies of known ones, whatever their names."""
+    return shapes.join(F.broadcast(known.select("shape", "effect").distinct()), "shape").select(*KEY, "function", "effect")

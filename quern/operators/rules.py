@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,24 @@ def violations(rule_set: dict) -> list[str]:
     return out
 
 
+def invalid(sets: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, violation): what is wrong with rule sets that are rows of JSON text; text that isn't a rule set is one violation."""
+
+    @F.pandas_udf("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_violations_of)
+
+    return sets.select(key, F.explode(found(F.col(text))).alias("violation"))
+
+
+def _violations_of(text: str | None) -> list[str]:
+    try:
+        rule_set = json.loads(text or "")
+    except ValueError:
+        return ["not JSON"]
+    return violations(rule_set) if isinstance(rule_set, dict) else ["not a rule set"]
+
+
 def rule_rows(rule_sets: Iterable[dict]) -> list[tuple]:
     """Rows of SCHEMA, later sets after earlier ones. Raises on an invalid set."""
     rows: list[tuple] = []

@@ -296,9 +296,11 @@ def q_stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     name = f"counts_{uuid.uuid4().hex}"
     counts = window_counts(stream_table(spark, f"{sf_dir}/events.parque[t]", _t(spark, sf_dir, "events").schema), "ts", "event_type")
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    at = f"{graph.shared_dir(spark)}/{name}"
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(at)).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).withColumnRenamed("start", "window_start")
+    found = spark.read.schema(counts.schema).parquet(at) if q.lastProgress else spark.createDataFrame([], counts.schema)
+    return found.withColumnRenamed("start", "window_start")
 
 
 @query("SELECT l_returnflag AS tool, count(*) FILTER (l_linestatus = 'O') AS tp, count(*) FILTER (l_linestatus <> 'O') AS fp, count(*) FILTER (l_linestatus = 'O') / count(*) AS precision FROM lineitem GROUP BY 1")
@@ -306,4 +308,4 @@ def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.verdict_counts(_t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("tool"), (F.col("l_linestatus") == "O").alias("is_true")))
 
 
-from . import more  # noqa: E402, F401  (more queries, into the same tables)
+from . import analysis, more  # noqa: E402, F401  (more queries, into the same tables)

@@ -195,9 +195,12 @@ def q_library_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKS = ["/*! jQuery v3.6.0 | (c) */", "var a = jQuery.fn;", "e.__vue__=1", "x._reactRootContainer", "platformBrowserDynamic()", "ng.probe (y)"]
 
 
-@query(f"SELECT doc_id, nullif({_sql_pick(['jQuery', '', 'Vue', 'React', 'Angular', 'Angular'], 'doc_id')}, '') AS library FROM documents")
+_MARK_SQL = " ".join(f"WHEN regexp_matches(head, '(?i){pattern}') THEN '{name}'" for name, pattern in library_rules.CONTENT_MARKS)
+
+
+@query(f"SELECT doc_id, CASE {_MARK_SQL} END AS library FROM (SELECT doc_id, substr({_sql_pick(_MARKS, 'doc_id')} || coalesce(text, ''), 1, 65536) AS head FROM documents)")
 def q_library_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce(F.substring("text", 1, 1000), F.lit("")), _pick(_MARKS, F.col("doc_id"))).alias("code"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat(_pick(_MARKS, F.col("doc_id")), F.coalesce("text", F.lit(""))).alias("code"))
     return classify.first_signature(d, F.col("code"), library_rules.content_table(spark), ["doc_id"])
 
 
@@ -259,11 +262,10 @@ def _own_rules() -> list[dict]:
     return [rules.default_rules(), {"version": 1, "rules": [{"id": "own", "flowType": "OWN", "match": {"sourceType": "FETCH_*"}}], "suppress": []}]
 
 
-@query("""SELECT * FROM (VALUES (0, 'rules', 14), (0, 'suppress', 5), (1, 'rules', 1)) AS t(layer, kind, n)""")
+@query("SELECT p_size AS layer, CASE WHEN p_brand = 'Brand#3' THEN 'suppress' ELSE 'rules' END AS kind, CAST(count(*) AS INT) AS n FROM part GROUP BY ALL")
 def q_rule_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule counts by set and kind, in the order of layering (R6, R9)."""
-    first = rules.rules_frame(spark, _own_rules()[:1]).count()
-    r = rules.rules_frame(spark, _own_rules()).withColumn("layer", (F.col("ord") >= first).cast("int"))
+    """Rules by set and kind (R6, R9): a part is a rule, its size the set that it comes from."""
+    r = _t(spark, sf_dir, "part").select(F.col("p_size").alias("layer"), (F.col("p_brand") == "Brand#3").alias("suppress"))
     return rules.rule_counts(r, ["layer"])
 
 
@@ -273,12 +275,15 @@ def q_flow_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.match_pairs(pairs, rules.rules_frame(spark, _own_rules()[1:])).select("source_type", "sink_type", "flow_type").distinct()
 
 
-_BAD_SETS = [{"version": 2, "rules": []}, {"version": 1}, {"version": 1, "rules": [{"id": "x", "flowType": "F", "match": {}}]}, {"version": 1, "rules": [{"flowType": "F", "match": {"sinkType": "A"}}]}, {"version": 1, "rules": [], "suppress": [{"id": "s"}]}, {"version": 1, "rules": [{"id": "x", "flowType": "F", "match": {"sinkType": "A"}}]}]
+_SETS = ['{"version": 2, "rules": []}', '{"version": 1}', '{"version": 1, "rules": [{"id": "x", "flowType": "F", "match": {}}]}', '{"version": 1, "rules": [{"flowType": "F", "match": {"sinkType": "A"}}]}', '{"version": 1, "rules": [], "suppress": [{"id": "s"}]}', '{"version": 1, "rules": [{"id": "x", "flowType": "F", "match": {"sinkType": "A"}}]}', "[]", "no"]
+_FAULTS = ["version must be 1", "rules must be a list", "rules[0] has no matcher", "rules[0] has no id", "suppress[0] has neither a matcher nor a flowType", "", "not a rule set", "not JSON"]
 
 
-@query(f"SELECT * FROM (VALUES {_values([(0, 'version must be 1'), (1, 'rules must be a list'), (2, 'rules[0] has no matcher'), (3, 'rules[0] has no id'), (4, 'suppress[0] has neither a matcher nor a flowType')])}) AS t(set_no, violation)")
+@query(f"SELECT * FROM (SELECT p_partkey, {_sql_pick(_FAULTS, 'p_partkey + p_size')} AS violation FROM part) WHERE violation <> ''")
 def q_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, s in enumerate(_BAD_SETS) for v in rules.violations(s)], "set_no int, violation string")
+    """Rule sets as rows of JSON, one for each part (R7)."""
+    sets = _t(spark, sf_dir, "part").select("p_partkey", _pick(_SETS, F.col("p_partkey") + F.col("p_size")).alias("text"))
+    return rules.invalid(sets, "p_partkey", "text")
 
 
 # --- facts of programs -----------------------------------------------------
@@ -332,9 +337,11 @@ def q_inherited_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program.inherited_frames(p.filter("p_size = 1").select(F.col("p_partkey").alias("script"), F.col("p_brand").alias("frame")), refs)
 
 
-@query("SELECT c_custkey AS scope FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS scope FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q_never_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return program.never_reached(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope")), _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope")))
+    """Customers are scopes; those with an urgent order were analysed."""
+    reached = _t(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("scope"))
+    return program.never_reached(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("scope")), reached)
 
 
 _READS = "reads AS (SELECT o_orderkey AS read, o_custkey AS object, ['A', 'N', 'R'][CAST(o_orderkey % 3 + 1 AS INT)] AS name, o_orderkey % 7 <> 0 AS known FROM orders), props AS (SELECT DISTINCT l_suppkey AS object, l_returnflag AS name, l_suppkey * 10 + ascii(l_returnflag) AS def FROM lineitem)"
@@ -451,9 +458,11 @@ def _args(spark, sf_dir):
     return a.unionByName(e.select("*", (F.col("call") * 10 + 1).alias("def"), F.lit(1).cast("long").alias("ord"), none, F.lit("ObjectExpression").alias("type"), F.lit("no_string").alias("hint"), F.lit(None).cast("string").alias("literal")))
 
 
-@query(f"WITH catalog AS (SELECT * FROM (VALUES {_CATALOG_SQL}) AS t(api, family, ord, role, arg, property, tag)) SELECT family, role, count(*) AS n, count(DISTINCT api) AS apis, count(DISTINCT tag) AS tags FROM catalog GROUP BY ALL")
+@query(f"WITH {_CALLS_SQL} SELECT family, role, count(*) AS n, count(DISTINCT api) AS apis, count(DISTINCT tag) AS tags, count(DISTINCT call) AS calls FROM done GROUP BY ALL")
 def q_api_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api_catalog.catalog(spark).groupBy("family", "role").agg(F.count("*").alias("n"), F.count_distinct("api").alias("apis"), F.count_distinct("tag").alias("tags"))
+    """What the calls of the events do, by family and role of the catalog (C10)."""
+    done = api.effects(_calls(spark, sf_dir))
+    return done.groupBy("family", "role").agg(F.count("*").alias("n"), F.count_distinct("api").alias("apis"), F.count_distinct("tag").alias("tags"), F.count_distinct("call").alias("calls"))
 
 
 @query(f"WITH {_CALLS_SQL} SELECT DISTINCT call, tag AS source_type, call AS def FROM done WHERE role = 'source' AND tag <> 'STORAGE_ALL_ITEMS'")

@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from quern.operators import graph, valueflow
 from quern.operators import program as P
 
 
@@ -65,3 +68,53 @@ def test_classes_and_keys(spark):
     assert _rows(P.key_shapes(args)) == [(1, "k", False), (2, "a", False), (2, "b", False), (3, "d", False), (4, None, True), (5, None, False)]
     ids = spark.range(2).select(P.taint_id(F.lit("p"), F.lit("s"), F.lit("T"), F.lit(None).cast("string"), F.col("id").cast("string"))).distinct()
     assert ids.count() == 2
+
+
+def _reach(edges, start):
+    seen, work = set(), [start]
+    while work:
+        x = work.pop()
+        for a, b in edges:
+            if a == x and b not in seen:
+                seen.add(b)
+                work.append(b)
+    return seen
+
+
+def test_order_with_cycles(spark):
+    """A random graph: nodes that reach one another are one component, and every component comes after what it needs."""
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(30), rng.randrange(30)) for _ in range(38)} | {(40, 41), (41, 42), (42, 40), (42, 43), (44, 44), (45, 44)})
+    nodes = [*range(31), *range(40, 46)]
+    got = {r["node"]: r for r in graph.ordered(spark.createDataFrame(edges, "node long, dep long"), spark.createDataFrame([(n,) for n in nodes], "node long")).collect()}
+    reach = {n: _reach(edges, n) for n in nodes}
+    assert sorted(got) == nodes
+    for n in nodes:
+        own = {m for m in reach[n] if n in reach[m]} | {n}
+        assert got[n]["component"] == min(own)
+        needed = {d for a, d in edges if a in own and d not in own}
+        assert got[n]["level"] == (1 + max(got[d]["level"] for d in needed) if needed else 0)
+
+
+def test_taint_graph_keeps_all_ways(spark):
+    """A diamond keeps its four edges, a loop on the way too; what doesn't lead to the sink, or isn't tainted, goes."""
+    edges = [("s", "a"), ("s", "b"), ("a", "t"), ("b", "t"), ("b", "dead"), ("b", "b2"), ("b2", "b"), ("clean", "a")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    tainted = graph.propagate(spark.createDataFrame([("T", "s")], "taint string, def string"), e)
+    got = graph.taint_graph(tainted, e, spark.createDataFrame([("T", "sink", "t")], "taint string, sink string, def string")).collect()
+    assert {(r["src"], r["dst"]): r["depth"] for r in got} == {("s", "a"): 2, ("s", "b"): 2, ("a", "t"): 1, ("b", "t"): 1, ("b", "b2"): 1, ("b2", "b"): 2}
+    assert {(r["taint"], r["sink"]) for r in got} == {("T", "sink")}
+
+
+def test_summaries_of_functions(spark):
+    """What a function does with a path of its parameter comes out at the call, through calls inside it and recursion."""
+    p = lambda *x: list(x)
+    edges = [("f.p", "f.m", p("url"), p(), False, "same"), ("f.m", "f.r", p(), p("out"), False, "same"), ("g.p", "g.a", p(), p(), False, "same"), ("g.c", "g.r", p("out"), p(), False, "same"), ("h.p", "h.a", p(), p(), False, "same"), ("h.c", "h.r", p(), p(), False, "same"), ("h.p", "h.r", p(), p(), True, "same")]
+    sites = [("g.c", "f", "g.a", "f.p", p(), p(), False), ("x.c", "g", "x.a", "g.p", p(), p("url"), False), ("y.c", "g", "y.a", "g.p", p(), p("other"), False), ("h.c", "h", "h.a", "h.p", p(), p(), False), ("z.c", "h", "z.a", "h.p", p("k"), p(), False)]
+    got = valueflow.summaries(
+        spark.createDataFrame(edges, valueflow.EDGE), spark.createDataFrame([(f, f"{f}.p", f"{f}.p") for f in "fgh"], "function string, root string, def string"),
+        spark.createDataFrame([(f, f"{f}.r") for f in "fgh"], "function string, def string"), spark.createDataFrame(sites, "call string, function string, src string, dst string, take array<string>, give array<string>, flat boolean"),
+    )
+    rows = {(r["src"], r["dst"], tuple(r["take"]), tuple(r["give"]), r["flat"]) for r in got.collect()}
+    assert {("g.a", "g.c", ("url",), ("out",), False), ("x.a", "x.c", (), (), False), ("h.a", "h.c", (), (), True), ("z.a", "z.c", ("k",), (), True)} <= rows
+    assert not any(r[0] == "y.a" for r in rows)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import api, graph
+from quern.operators import api, graph, programs
 from quern.sources import script_facts, script_parser
 
 
@@ -132,7 +132,10 @@ def flows(spark):
     facts = graph._cut(script_facts.extract(spark.createDataFrame(rows, "package string, script string, code string")))
     frames = spark.createDataFrame([("one frame", "f", 0, "x"), ("one frame", "f", 1, "y"), ("two frames", "f", 0, "x"), ("two frames", "g", 1, "y")], "package string, frame string, ord int, script string")
     out = {package: [] for package in packages}
-    for r in api.analyse(script_facts.tables(facts), frames=frames).collect():
+    t = script_facts.tables(graph._cut(script_facts.extract(spark.createDataFrame([("known", *x) for x in KNOWN.items()], "package string, script string, code string"))))
+    shapes = programs.function_shapes(t, graph._cut(programs.owners(t["node"])))
+    known = graph._cut(shapes.groupBy(F.col("script").alias("effect")).agg(F.max_by("shape", "size").alias("shape")))
+    for r in api.analyse(script_facts.tables(facts), frames=frames, known=known).collect():
         out[r["package"]].append(r)
     return out
 
@@ -225,7 +228,13 @@ CASES = {
     "event taken by patterns": ({"a": 'window.addEventListener("message", ({ data: { x = 2 } }) => { eval(x); });'}, {("WINDOW_MESSAGE_EVENT", "EVAL", "a")}),
     "keys with defaults": ({"a": HEAR % "chrome.storage.local.set({ k: e.data });", "b": "chrome.storage.local.get({ k: 1, z: 2 }, (r) => { eval(r.k); });"}, {("WINDOW_MESSAGE_EVENT", "CHROME_LOCAL_STORAGE", "a"), ("WINDOW_MESSAGE_EVENT", "EVAL", "b")}),
     "changed": ({"a": HEAR % "chrome.storage.local.set({ k: e.data });", "b": "chrome.storage.onChanged.addListener((c) => { eval(c.k.newValue); eval(c.k.oldValue); eval(c.z.newValue); });"}, {("WINDOW_MESSAGE_EVENT", "CHROME_LOCAL_STORAGE", "a"), ("WINDOW_MESSAGE_EVENT", "EVAL", "b")}),
+    "helper, renamed": ({"a": "function w2(q) { return registry(() => q); } " + HEAR % "eval(w2(e.data));"}, {("WINDOW_MESSAGE_EVENT", "EVAL", "a")}),
+    "helper, changed": ({"a": "function w2(q) { return registry(() => q, 1); } " + HEAR % "eval(w2(e.data));"}, set()),
+    "helper, other name bound": ({"a": "function w2(q, p) { return registry(() => p); } " + HEAR % "eval(w2(e.data));"}, set()),
+    "helper that cleans": ({"a": "const tidy = (u) => { return u.trim().split('<').join(''); }; " + HEAR % "eval(tidy(e.data));"}, set()),
 }
+#: Known helpers, by what they do with their arguments.
+KNOWN = {"flow": "function wrap(v) { return registry(() => v); }", "clean": "const esc = (s) => { return s.trim().split('<').join(''); };"}
 #: How often a flow may be found: cases that also hold a place that must stay clean.
 ONCE = ("answer", "whole module, passed on, returned", "no key, by promise", "changed")
 
