@@ -158,19 +158,20 @@ def _shingles(batches):
 
 
 def _rarest(shared, percent: int):
-    """The n - ceil(t * n) + 1 first shingles of each set in one order for all sets: those that aren't common by their hash, then the common ones by how many sets have them."""
+    """digest, s -> digest, buckets: the n - ceil(t * n) + 1 first shingles of each set in one order for all sets: those that aren't common by their hash, then the common ones by how many sets have them."""
 
     def run(batches):
         names, df = shared.value
         order = np.argsort(names)
         names, df = names[order], df[order]
         for b in batches:
-            for d, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            firsts = []
+            for s in b.column(1).to_pylist():
                 x = np.frombuffer(s, np.int64)
                 at = np.minimum(np.searchsorted(names, x), max(0, len(names) - 1))
                 often = np.where(names[at] == x, df[at], 0) if len(names) else np.zeros(len(x), np.int64)
-                first = x[np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(first), pa.binary()), pa.array(first)], names=["digest", "bucket"])
+                firsts.append(x[np.lexsort((x, often))[: len(x) - -(-percent * len(x) // 100) + 1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(firsts, pa.list_(pa.int64()))], names=["digest", "buckets"])
 
     return run
 
@@ -181,7 +182,7 @@ def wide_bands(percent: int) -> int:
 
 
 def _wide(percent: int):
-    """digest, s -> digest, bucket: a row for each wide band."""
+    """digest, s -> digest, buckets: the wide bands of each set."""
 
     def run(batches):
         n = wide_bands(percent)
@@ -189,7 +190,8 @@ def _wide(percent: int):
         a, b = (rng.integers(1, 1 << 63, n * WIDE_ROWS, dtype=np.uint64) for _ in range(2))
         a |= np.uint64(1)
         for batch in batches:
-            for d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            bands = []
+            for s in batch.column(1).to_pylist():
                 x = np.frombuffer(s, np.uint64)
                 best = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(x), 64):
@@ -197,7 +199,8 @@ def _wide(percent: int):
                 h = np.arange(n, dtype=np.uint64) * _MULT
                 for r in range(WIDE_ROWS):
                     h = _mix(h * _MULT + best[r::WIDE_ROWS])
-                yield pa.RecordBatch.from_arrays([pa.array([d] * n, pa.binary()), pa.array(h.view(np.int64))], names=["digest", "bucket"])
+                bands.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["digest", "buckets"])
 
     return run
 
@@ -310,12 +313,12 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
             least *= 2
         common = often.filter(F.col("df") > least).toPandas()
         shared = docs.sparkSession.sparkContext.broadcast((common["bucket"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
-        rare = scratch.save(own.mapInArrow(_rarest(shared, percent), "digest binary, bucket long"), "rare")
+        rare = scratch.save(own.mapInArrow(_rarest(shared, percent), "digest binary, buckets array<long>"), "rare").select("digest", F.explode("buckets").alias("bucket"))
         pairs, rest = crossing(rare, parts, "rare", FEW)
         parts = joined(pairs, "rare")
         still = scratch.save(rest.select("digest").distinct(), "still")
         if still.head(1):
-            wide = scratch.save(sets.join(still, "digest").select("digest", "s").mapInArrow(_wide(percent), "digest binary, bucket long"), "wide")
+            wide = scratch.save(sets.join(still, "digest").select("digest", "s").mapInArrow(_wide(percent), "digest binary, buckets array<long>"), "wide").select("digest", F.explode("buckets").alias("bucket"))
             parts = joined(crossing(wide, parts, "wide", None)[0], "wide")
     placed = classes.select("digest", "rep.doc_id").join(parts.select(F.col("id").alias("digest"), "component"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc_id")).alias("least"))
