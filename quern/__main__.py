@@ -9,7 +9,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import api, filters, graph, report, rules
+from .operators import api, assess, filters, graph, report, rules
 from .sources import packages, script_facts
 
 
@@ -24,9 +24,13 @@ def scripts_of(files: DataFrame, ignore: list[str]) -> DataFrame:
 
 
 def analyse(spark: SparkSession, files: DataFrame, ignore: list[str] | None = None, rule_sets: list[dict] | None = None) -> DataFrame:
-    """Flows of the files of packages."""
-    facts = graph._cut(script_facts.extract(scripts_of(files.filter("error is null"), ignore or [])))
-    return api.analyse(script_facts.tables(facts), rule_sets)
+    """Flows of the files of packages, with what they mean there (assess.assess). Facts are written by kind, so that each step reads its own."""
+    good = files.filter("error is null")
+    facts = graph._cut(script_facts.extract(scripts_of(good, ignore or [])), "fact")
+    told = graph._cut(packages.manifests(good).select("package", F.to_json("manifest").alias("text"))).select("package", F.parse_json("text").alias("manifest"))
+    places = graph._cut(assess.frames(good, told))
+    flows = graph._cut(api.analyse(script_facts.tables(facts), rule_sets, places.select("package", "frame", "ord", "script")))
+    return assess.assess(flows, places, told)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -43,7 +47,7 @@ def main(arguments: list[str] | None = None) -> None:
     flows = graph._cut(analyse(spark, files, a.ignore, sets))
     flows.write.mode("overwrite").json(f"{a.output}/flows")
     report.summary(flows, files).write.mode("overwrite").text(f"{a.output}/summary")
-    page = report.html_page(flows.orderBy("package", "flow_type", "source_script"), ["package", "flow_type", "source_type", "source_script", "sink_type", "sink_script", "rule_id"], "Flows")
+    page = report.html_page(flows.orderBy("package", "flow_type", "source_script"), ["package", "flow_type", "source_type", "source_script", "sink_type", "sink_script", "rule_id", "severity", "reason"], "Flows")
     spark.createDataFrame([(page,)], "page string").coalesce(1).write.mode("overwrite").text(f"{a.output}/page")
 
 

@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the shared folder: computed once, reread where an executor is lost, and read by column."""
+def _cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: computed once, reread where an executor is lost, and read by column, and by value of the column `by` if one is named."""
     at = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    df.write.option("compression", "lz4").parquet(at, partitionBy=by)
+    return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)
 
 
 def rounds(most: int | None) -> Iterator[int]:

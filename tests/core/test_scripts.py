@@ -192,8 +192,17 @@ def test_command_line(spark, tmp_path):
         z.writestr("manifest.json", "{}")
         z.writestr("background.js", LEAK)
         z.writestr("page/p.html", "<script>eval(location.href)</script>")
+    with zipfile.ZipFile(tmp_path / "in" / "b.zip", "w") as z:
+        z.writestr("manifest.json", '{"content_scripts": [{"matches": ["https://*.a.example/*"], "js": ["./one.js", "two.js"]}], "background": {"service_worker": "bg.js"}}')
+        z.writestr("one.js", "function go(v) { chrome.runtime.sendMessage({ action: 'open', url: v }); }")
+        z.writestr("two.js", HEAR % "go(e.data);")
+        z.writestr("bg.js", OPEN + " chrome.cookies.getAll({}, (c) => { document.title = c; });")
     main([str(tmp_path / "in"), str(tmp_path / "out")])
-    got = {(r["source_type"], r["sink_script"]) for r in spark.read.json(str(tmp_path / "out" / "flows")).collect()}
+    rows = spark.read.json(str(tmp_path / "out" / "flows")).collect()
+    told = {(r["source_script"], r["sink_script"], r["sink_type"], tuple(r["source_families"]), tuple(r["sink_families"]), r["feasible"], r["crossing"], r["exposure"], r["severity"]) for r in rows if r["package"].endswith("b.zip")}
+    assert told == {("two.js", "bg.js", "CHROME_TABS_CREATE_OPTIONS", ("CS",), ("BG",), True, True, "CONTENT_SCRIPT_MATCHES", "HIGH")}
+    assert [r["feasible"] for r in rows if r["source_type"] == "DOCUMENT_URL"] == [False]
+    got = {(r["source_type"], r["sink_script"]) for r in rows if not r["package"].endswith("b.zip")}
     assert got == {("CHROME_BOOKMARK_INFO", "background.js"), ("DOCUMENT_URL", ".inline-scripts/page_p.inline-0.js")}
     assert "<table>" in "".join(r["value"] for r in spark.read.text(str(tmp_path / "out" / "page")).collect())
 
