@@ -26,7 +26,7 @@ def scripts_of(files: DataFrame, ignore: list[str]) -> DataFrame:
 def analyse(spark: SparkSession, files: DataFrame, ignore: list[str] | None = None, rule_sets: list[dict] | None = None) -> DataFrame:
     """Flows of the files of packages, with what they mean there (assess.assess). Facts are written by kind, so that each step reads its own."""
     good = files.filter("error is null")
-    facts = graph._cut(script_facts.extract(scripts_of(good, ignore or [])), "fact")
+    facts = graph.table(script_facts.extract(scripts_of(good, ignore or [])), "fact")
     told = graph._cut(packages.manifests(good).select("package", F.to_json("manifest").alias("text"))).select("package", F.parse_json("text").alias("manifest"))
     places = graph._cut(assess.frames(good, told))
     flows = graph._cut(api.analyse(script_facts.tables(facts), rule_sets, places.select("package", "frame", "ord", "script")))

@@ -1,4 +1,4 @@
-"""Fixpoints over edge tables. Each round is written to the shared folder, joins only the new rows (semi-naive) and brings nothing but a count to the driver."""
+"""Fixpoints over edge tables. Each round is checkpointed to the shared folder, joins only the new rows (semi-naive) and brings nothing but a count to the driver."""
 
 from __future__ import annotations
 
@@ -29,10 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _cut(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Cuts lineage by a table in the shared folder: computed once, reread where an executor is lost, and read by column, and by value of the column `by` if one is named."""
-    at = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4").parquet(at, partitionBy=by)
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the shared folder; a lost executor costs a reread."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def table(df: DataFrame, by: str) -> DataFrame:
+    """The rows as a table in the shared folder with a part for each value of a column, so that what asks for some values or columns reads these only. Costs more than a checkpoint for small data, less for wide rows that are read often."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)
 
 

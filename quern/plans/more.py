@@ -408,35 +408,36 @@ def q_live_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs with cycles, joins and depth -----------------------------------
 
-_RING = "edges AS (SELECT p_partkey AS src, (p_partkey + 1) % 20 AS dst FROM part WHERE p_partkey < 20 UNION SELECT p_partkey, (p_partkey * 7) % 20 FROM part WHERE p_partkey < 20 AND p_partkey % 6 = 0)"
+# Parts in rings of 20, the k-th place of a ring being the key modulo 20.
+_RING = """edges AS (SELECT p_partkey AS src, p_partkey // 20 * 20 + (p_partkey + 1) % 20 AS dst FROM part UNION SELECT p_partkey, p_partkey // 20 * 20 + (p_partkey * 7) % 20 FROM part WHERE p_size % 6 = 0)"""
 
 
 def _ring(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").filter("p_partkey < 20")
-    return p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") + 1) % 20).alias("dst")).union(p.filter("p_partkey % 6 = 0").select("p_partkey", (F.col("p_partkey") * 7) % 20)).distinct()
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), "p_size", F.expr("p_partkey div 20 * 20").alias("base"))
+    return p.select("src", (F.col("base") + (F.col("src") + 1) % 20).alias("dst")).union(p.filter("p_size % 6 = 0").select("src", F.col("base") + (F.col("src") * 7) % 20)).distinct()
 
 
-@query(f"""WITH RECURSIVE {_RING}, t(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM t JOIN edges ON node = src WHERE depth < 90) SELECT CAST(1 AS BIGINT) AS root, node, min(depth) AS depth FROM t GROUP BY node""")
+@query(f"""WITH RECURSIVE {_RING}, t(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT root, dst, depth + 1 FROM t JOIN edges ON node = src WHERE depth < 20) SELECT root, node, min(depth) AS depth FROM t GROUP BY root, node""")
 def q_closure_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ring of 20 nodes with chords: cycles, joins and paths of many steps (longer ones are in the tests)."""
-    return graph.closure(_ring(spark, sf_dir), spark.createDataFrame([(1,)], "root long"))
+    """Rings of 20 nodes with chords, from every node: cycles, joins and paths of many steps (longer ones are in the tests)."""
+    return graph.closure(_ring(spark, sf_dir), _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("root")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, CASE WHEN p_partkey % 2 = 0 THEN 'ASSIGN' ELSE 'RETURN' END AS kind FROM part WHERE p_partkey < 20),
-t(def, depth, kind) AS (SELECT CAST(0 AS BIGINT), 0, CAST(NULL AS VARCHAR) UNION ALL SELECT dst, depth + 1, e.kind FROM t JOIN e ON def = src) SELECT 't' AS taint, def, depth, kind FROM t""")
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + 1 AS dst, CASE WHEN p_size % 2 = 0 THEN 'ASSIGN' ELSE 'RETURN' END AS kind FROM part WHERE (p_partkey + 1) // 20 = p_partkey // 20),
+t(taint, def, depth, kind) AS (SELECT p_partkey // 20, min(p_partkey), 0, CAST(NULL AS VARCHAR) FROM part GROUP BY 1 UNION ALL SELECT taint, dst, depth + 1, e.kind FROM t JOIN e ON def = src) SELECT * FROM t""")
 def q_taint_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of 20 edges of two kinds: the kind by which a value was reached first (T5)."""
-    p = _t(spark, sf_dir, "part").filter("p_partkey < 20")
-    e = p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"), F.when(F.col("p_partkey") % 2 == 0, "ASSIGN").otherwise("RETURN").alias("kind"))
-    return graph.propagate(spark.createDataFrame([("t", 0)], "taint string, def long"), e)
+    """Chains of 20 parts with edges of two kinds, from each one's first: the kind by which a value was reached first (T5)."""
+    p = _t(spark, sf_dir, "part")
+    e = p.filter("(p_partkey + 1) div 20 = p_partkey div 20").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"), F.when(F.col("p_size") % 2 == 0, "ASSIGN").otherwise("RETURN").alias("kind"))
+    return graph.propagate(p.groupBy(F.expr("p_partkey div 20").alias("taint")).agg(F.min("p_partkey").alias("def")), e)
 
 
-@query("""SELECT p_partkey AS node, CASE WHEN p_partkey >= 30 THEN 0 WHEN p_partkey BETWEEN 20 AND 29 THEN NULL ELSE CAST(p_partkey AS INT) END AS level FROM part WHERE p_partkey < 60""")
+@query("""SELECT p_partkey AS node, CASE WHEN p_partkey % 60 >= 30 THEN 0 WHEN p_partkey % 60 BETWEEN 20 AND 29 THEN NULL ELSE CAST(p_partkey % 60 AS INT) END AS level FROM part""")
 def q_topo_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain of 19 steps, a cycle of ten nodes that hangs on it, and free nodes."""
-    p = _t(spark, sf_dir, "part").filter("p_partkey < 60").select(F.col("p_partkey").alias("node"))
-    e = p.filter("node between 1 and 29").select("node", (F.col("node") - 1).alias("dep")).unionByName(p.filter("node = 20").select("node", F.lit(29).cast("long").alias("dep")))
-    return graph.topo_levels(e, p)
+    """Groups of 60 parts: a chain of 19 steps, a cycle of ten nodes that hangs on it, and free nodes."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 60).alias("k"))
+    e = p.filter("k between 1 and 29").select("node", (F.col("node") - 1).alias("dep")).unionByName(p.filter("k = 20").select("node", (F.col("node") + 9).alias("dep")))
+    return graph.topo_levels(e, p.select("node"))
 
 
 # --- messages and the catalog ----------------------------------------------

@@ -129,7 +129,8 @@ def flows(spark):
     """The flows of all packages of this module, by package: one analysis."""
     packages = {case: scripts for case, (scripts, _) in CASES.items()} | {"leak": {"a": LEAK}, "other": {"b": OTHER}} | FRAMES
     rows = [(package, script, code) for package, scripts in packages.items() for script, code in scripts.items()]
-    facts = graph._cut(script_facts.extract(spark.createDataFrame(rows, "package string, script string, code string")))
+    facts = graph.table(script_facts.extract(spark.createDataFrame(rows, "package string, script string, code string")), "fact")
+    assert "PartitionFilters: [isnotnull(fact" in script_facts.tables(facts)["call"]._jdf.queryExecution().toString()  # each table reads its own part
     frames = spark.createDataFrame([("one frame", "f", 0, "x"), ("one frame", "f", 1, "y"), ("two frames", "f", 0, "x"), ("two frames", "g", 1, "y")], "package string, frame string, ord int, script string")
     out = {package: [] for package in packages}
     t = script_facts.tables(graph._cut(script_facts.extract(spark.createDataFrame([("known", *x) for x in KNOWN.items()], "package string, script string, code string"))))
