@@ -3,7 +3,7 @@
 1. Each text's set of word shingles gives K MinHash samples: bands of them propose candidates, and all of them, folded into a parity bitmap (an odd sketch), estimate the similarity of a candidate pair by the population count of the bitmaps' XOR.
 2. Texts with equal sets are one class, named by the set's 128-bit digest; only classes go on, however many rows and ids they have.
 3. In each bucket (band, value), classes are paired with two hubs, the least and the most central of them, not with each other. Pairs that the sketch finds likely are confirmed on the full sets, and the links make components.
-4. Then only pairs of a bucket that lie in different components can still change a component. Where a bucket has few classes, or few outside its largest component, those few meet the others. The classes of all other buckets (templates: texts that are alike, but not enough) are paired anew by their rarest shingles: two sets with a similarity of t have a shingle in common among the n - ceil(t * n) + 1 rarest of each, so buckets by these lose nothing, and what a template's texts share isn't among them. Where such buckets are large too (texts put together from the same passages, which share their rarest shingles with very many others), their classes get MinHash samples anew, in bands of WIDE_ROWS: texts far under the threshold hardly ever agree on so many samples, and there are as many bands as keep a link's miss under MISS. All these pairs are bounded by sizes, by the sketch and by counts of shingles in hash classes (the lesser counts add up to no less than the overlap), then confirmed. No link between different components is lost, and a bucket of texts that are alike costs as many pairs as it has members. A pair is looked at without being linked only if it shares a small bucket, or is so like that it agrees on a wide band: pairs just under the threshold do, and there the work grows with their number.
+4. Then only pairs of a bucket that lie in different components can still change a component. Where a bucket has few classes, or few outside its largest component, those few meet the others. The classes of all other buckets (templates: texts that are alike, but not enough) are paired anew by their rarest shingles: two sets with a similarity of t have a shingle in common among the n - ceil(t * n) + 1 rarest of each, so buckets by these lose nothing, and what a template's texts share isn't among them. Where such buckets are so large that they make more than WORK rows for each of theirs (texts put together from the same passages, which share their rarest shingles with very many others), their classes get MinHash samples anew, in bands of WIDE_ROWS: texts far under the threshold hardly ever agree on so many samples, and there are as many bands as keep a link's miss under MISS. All these pairs are bounded by sizes, by the sketch and by counts of shingles in hash classes (the lesser counts add up to no less than the overlap), then confirmed. No link between different components is lost, and a bucket of texts that are alike costs as many pairs as it has members. A pair is looked at without being linked only if it shares a small bucket, or is so like that it agrees on a wide band: pairs just under the threshold do, and there the work grows with their number.
 5. Components are found by star contraction over written tables.
 
 A pair at 0.8 misses all 32 bands of 4 rows with probability 5e-8 (at 0.85: 5e-11) and is refused by the sketch with about 1e-8.
@@ -32,6 +32,10 @@ BROADCAST_ROWS = 1_000_000
 FEW, OUTSIDERS = 64, 64
 #: Samples in a band for the classes of buckets that stay large, and how often a link may be missed by them.
 WIDE_ROWS, MISS = 16, 1e-8
+#: Rows that the rarest shingles' buckets may make when they meet directly, for each row in them.
+WORK = 64
+#: Stands for as many classes as are affordable.
+AS_MANY = -1
 #: A shingle of so many sets at most isn't common.
 COMMON = 16
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -218,6 +222,18 @@ def _confirm(percent: int):
     return run
 
 
+def _affordable(buckets: DataFrame, rows: int) -> int:
+    """buckets (m, outside): the largest power of two, FEW at least, for which all buckets of so many classes make no more than so many rows together."""
+    sizes = {r["size"]: r["cost"] for r in buckets.groupBy(F.ceil(F.log2("m")).alias("size")).agg(F.sum(F.col("m") * F.col("outside")).alias("cost")).collect()}  # a row for each power of two
+    few, cost = FEW, sum(c for k, c in sizes.items() if 1 << k <= FEW)
+    for k in sorted(k for k in sizes if 1 << k > FEW):
+        cost += sizes[k]
+        if cost > rows:
+            break
+        few = 1 << k
+    return few
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks for broadcast if it has few enough rows; else leaves the join to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -272,11 +288,13 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         return scratch.save(joined.mapInArrow(_confirm(percent), "a binary, b binary"), name)
 
     def crossing(members: DataFrame, parts: DataFrame, name: str, few: int | None) -> tuple[DataFrame, DataFrame]:
-        """members (bucket, digest): the likely pairs that may join components, written, and the rows of buckets that are left for later (none if `few` is None)."""
+        """members (bucket, digest): the likely pairs that may join components, written, and the rows of buckets that are left for later: none if `few` is None, of those that cost more than WORK allows if it is AS_MANY."""
         placed = scratch.save(members.join(parts.select(F.col("id").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest")), f"{name}-placed")
         sized = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         open_ = scratch.save(sized.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("outside")).filter("outside > 0"), f"{name}-buckets")
         rows = placed.join(open_, "bucket")
+        if few == AS_MANY:
+            few = _affordable(open_, WORK * placed.count())
         direct = F.lit(True) if few is None else (F.col("m") <= few) | (F.col("outside") <= OUTSIDERS)
         full = scratch.save(rows.filter(direct).join(sketches, "digest").select("bucket", "digest", "component", "n_shingles", "odd", "by_class", (F.col("component") == F.col("main")).alias("inside")), f"{name}-open")
         x, y = suffixed(full.filter("not inside").drop("inside"), "x"), suffixed(full, "y")
@@ -314,7 +332,7 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         common = often.filter(F.col("df") > least).toPandas()
         shared = docs.sparkSession.sparkContext.broadcast((common["bucket"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
         rare = scratch.save(own.mapInArrow(_rarest(shared, percent), "digest binary, buckets array<long>"), "rare").select("digest", F.explode("buckets").alias("bucket"))
-        pairs, rest = crossing(rare, parts, "rare", FEW)
+        pairs, rest = crossing(rare, parts, "rare", AS_MANY)
         parts = joined(pairs, "rare")
         still = scratch.save(rest.select("digest").distinct(), "still")
         if still.head(1):

@@ -191,7 +191,7 @@ def test_recombined_passages_make_no_square(spark, steps):
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 85).collect()}
     assert all(got[1000 + i] == 30 * i for i in range(20))
     assert sum(d == c for d, c in got.items()) == 800
-    assert joined("near") <= 64 * saved["buckets"].count() and joined("rare") <= 64 * rows_of("rare")
+    assert joined("near") <= 64 * saved["buckets"].count() and joined("rare") <= 2 * near_dedup.WORK * rows_of("rare")
     assert rows_of("wide") == near_dedup.wide_bands(85) * saved["still"].count() and joined("wide") <= rows_of("wide")
 
 
@@ -200,6 +200,7 @@ def test_wide_bands_lose_no_link(spark, monkeypatch, percent):
     """With small bounds everything beyond the hubs goes to the wide bands; brute force finds the same."""
     monkeypatch.setattr(near_dedup, "FEW", 2)
     monkeypatch.setattr(near_dedup, "OUTSIDERS", 0)
+    monkeypatch.setattr(near_dedup, "WORK", 0)
     rows = _edited(60, most=14)
     assert _rows(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), percent)) == _linked(rows, percent)[0]
 
