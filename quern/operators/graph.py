@@ -142,7 +142,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         inside = _cut(left.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
         own = new = _cut(colour.filter("node = colour"))
         for _k in rounds(None):
-            step = new.join(inside, (new["node"] == inside["dst"]) & (new["colour"] == inside["colour"])).select(F.col("src").alias("node"), inside["colour"]).distinct()
+            step = new.withColumnRenamed("node", "dst").join(inside, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
             new = _cut(step.join(own, ["node", "colour"], "left_anti"))
             if not new.head(1):
                 break

@@ -118,3 +118,10 @@ def test_summaries_of_functions(spark):
     rows = {(r["src"], r["dst"], tuple(r["take"]), tuple(r["give"]), r["flat"]) for r in got.collect()}
     assert {("g.a", "g.c", ("url",), ("out",), False), ("x.a", "x.c", (), (), False), ("h.a", "h.c", (), (), True), ("z.a", "z.c", ("k",), (), True)} <= rows
     assert not any(r[0] == "y.a" for r in rows)
+
+
+def test_cycles_that_hang_together(spark):
+    """A ring, a ring that it leads to, and one that a later turn only finds, as the least node that reaches it is another ring's."""
+    edges = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (5, 6), (6, 5), (7, 7)]
+    got = graph.cycles(spark.createDataFrame(edges, "src long, dst long"))
+    assert _rows(got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 7)]
