@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import itertools
 import shutil
 import tempfile
@@ -37,6 +38,27 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: As many rows of a written frame are broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def _how(n: int) -> str:
+    return "broadcast" if n <= BROADCAST_ROWS else "merge"
+
+
+def _cut_large(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows as a table in the shared folder, and their number, by which they are broadcast to a join or not. Spark takes the size of a checkpoint from an estimate made before it ran (compressed files, a share of their columns), which can be many times too small, so that millions of rows would be collected on the driver. For frames that grow with the tables: the rows are made once (a checkpoint makes them twice), and read by columns."""
+    at = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    rows = df.sparkSession.read.schema(df.schema).parquet(at)
+    n = rows.count()
+    return rows.hint(_how(n)), n
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def table(df: DataFrame, by: str) -> DataFrame:
     """The rows as a table in the shared folder with a part for each value of a column, so that what asks for some values or columns reads these only. Costs more than a checkpoint for small data, less for wide rows that are read often."""
     at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -102,25 +124,22 @@ def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None
     """edges (node, dep), nodes (node) -> (node, level): 0 without dependencies, else 1 + the deps' largest. Nodes on cycles, and those that need them, have a null level (`ordered` gives them one).
 
     A node is done in the round in which its last dependency is: a round joins the edges of the newly done only, and adds up how many dependencies of the nodes that they meet are done by now."""
-    edges = _cut(edges.select("node", "dep").distinct())
-    nodes = _cut(nodes.select("node").distinct())
-    needs = _cut(edges.groupBy("node").agg(F.count("*").alias("needs")))
-    done = new = _cut(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
-    before = None
+    edges, _ = _cut_large(edges.select("node", "dep").distinct())
+    nodes, _ = _cut_large(nodes.select("node").distinct())
+    needs, _ = _cut_large(edges.groupBy("node").agg(F.count("*").alias("needs")))
+    new, _ = _cut_large(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
+    done, before = [new], []
     for level in rounds(max_depth):
-        step = _cut(edges.join(new.select(F.col("node").alias("dep")), "dep").groupBy("node").agg(F.count("*").alias("n")))
-        if not step.head(1):
+        step, n = _cut_large(edges.join(new.select(F.col("node").alias("dep")), "dep").groupBy("node").agg(F.count("*").alias("n")))
+        if not n:
             break
-        all_ = step if before is None else step.unionByName(before.join(step, "node", "left_semi"))
-        ready = all_.groupBy("node").agg(F.sum("n").alias("n")).join(needs, "node").filter(F.col("n") == F.col("needs"))
-        new = _cut(ready.join(nodes, "node", "left_semi").select("node", F.lit(level).alias("level")))
-        before = step if before is None else before.unionByName(step)
-        if level % 8 == 0:
-            before = _cut(before.groupBy("node").agg(F.sum("n").alias("n")))
-        done = done.unionByName(new)
+        met = _all([step, *(b.join(step, "node", "left_semi") for b in before)]).groupBy("node").agg(F.sum("n").alias("n")).hint(_how(n))
+        ready = met.withColumnRenamed("n", "got").join(needs, "node").filter("got = needs").select("node").hint(_how(n))
+        new, _ = _cut_large(nodes.join(ready, "node", "left_semi").withColumn("level", F.lit(level)))
+        done, before = [*done, new], [*before, step]
         if level % 8 == 0:
-            done = _cut(done)
-    return nodes.join(done, "node", "left")
+            done, before = [_cut_large(_all(done))[0]], [_cut_large(_all(before).groupBy("node").agg(F.sum("n").alias("n")))[0]]
+    return nodes.join(_all(done).hint("merge"), "node", "left")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

@@ -125,3 +125,17 @@ def test_cycles_that_hang_together(spark):
     edges = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (5, 6), (6, 5), (7, 7)]
     got = graph.cycles(spark.createDataFrame(edges, "src long, dst long"))
     assert _rows(got) == [(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5), (7, 7)]
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().simpleString().count("Broadcast")
+
+
+def test_levels_of_many_nodes_are_not_broadcast(spark):
+    """What grows with the graph isn't broadcast beyond BROADCAST_ROWS, however small Spark takes it to be; a short table is."""
+    many = spark.range(graph.BROADCAST_ROWS + 1).toDF("node")
+    got = graph.topo_levels(many.select("node", (F.col("node") % 2).alias("dep")).filter("node > 1"), many)
+    assert _broadcasts(got) == 0
+    assert _rows(got.groupBy("level").count()) == [(0, 2), (1, graph.BROADCAST_ROWS - 1)]
+    rows, n = graph._cut_large(spark.range(5))
+    assert n == 5 and _broadcasts(many.join(rows, many["node"] == rows["id"])) > 0
