@@ -122,16 +122,17 @@ def protocol_pairs(pairs: DataFrame, sent: DataFrame, wanted: DataFrame) -> Data
 
 def projected(properties: DataFrame, messages: DataFrame) -> DataFrame:
     """messages (def), properties (object, name, def): a received message has the known properties of the sent one, each with its own taint, at any depth; what has no known property is one value: (root, path, def)."""
-    now = graph._cut(messages.select(F.col("def").alias("root"), F.array().cast("array<string>").alias("path"), "def"))
-    out, seen = now, now.select("root", "def")
+    properties, _ = graph._cut_large(properties.select(F.col("object").alias("def"), "name", F.col("def").alias("own")))
+    now, _ = graph._cut_large(messages.select(F.col("def").alias("root"), F.array().cast("array<string>").alias("path"), "def"))
+    out, seen = [now], [now.select("root", "def")]
     for _ in graph.rounds(None):
-        step = now.join(properties.select(F.col("object").alias("def"), "name", F.col("def").alias("own")), "def").select("root", F.concat("path", F.array("name")).alias("path"), F.col("own").alias("def"))
-        now = graph._cut(step.join(seen, ["root", "def"], "left_anti"))
-        if not now.head(1):
+        step = now.join(properties, "def").select("root", F.concat("path", F.array("name")).alias("path"), F.col("own").alias("def"))
+        now, n = graph._cut_large(step.join(graph.all_(seen).hint("merge"), ["root", "def"], "left_anti"))
+        if not n:
             break
-        out, seen = out.unionByName(now), seen.unionByName(now.select("root", "def"))
-    deeper = properties.select(F.col("object").alias("def")).distinct()
-    return out.join(deeper, "def", "left_anti").select("root", "path", "def")
+        out, seen = [*out, now], [*seen, now.select("root", "def")]
+    deeper, _ = graph._cut_large(properties.select("def").distinct())
+    return graph.all_(out).join(deeper, "def", "left_anti").select("root", "path", "def")
 
 
 def storage_ops(done: DataFrame, args: DataFrame, properties: DataFrame, params: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -55,7 +55,13 @@ def _cut_large(df: DataFrame) -> tuple[DataFrame, int]:
     return rows.hint(_how(n)), n
 
 
-def _all(parts: list[DataFrame]) -> DataFrame:
+def apart(df: DataFrame, n: int) -> DataFrame:
+    """The rows for joins in which n rows meet: by shuffle and sort where these are many, else as Spark likes."""
+    return df.hint("merge") if n > BROADCAST_ROWS else df
+
+
+def all_(parts: list[DataFrame]) -> DataFrame:
+    """The rows of all frames."""
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -133,13 +139,13 @@ def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None
         step, n = _cut_large(edges.join(new.select(F.col("node").alias("dep")), "dep").groupBy("node").agg(F.count("*").alias("n")))
         if not n:
             break
-        met = _all([step, *(b.join(step, "node", "left_semi") for b in before)]).groupBy("node").agg(F.sum("n").alias("n")).hint(_how(n))
+        met = all_([step, *(b.join(step, "node", "left_semi") for b in before)]).groupBy("node").agg(F.sum("n").alias("n")).hint(_how(n))
         ready = met.withColumnRenamed("n", "got").join(needs, "node").filter("got = needs").select("node").hint(_how(n))
         new, _ = _cut_large(nodes.join(ready, "node", "left_semi").withColumn("level", F.lit(level)))
         done, before = [*done, new], [*before, step]
         if level % 8 == 0:
-            done, before = [_cut_large(_all(done))[0]], [_cut_large(_all(before).groupBy("node").agg(F.sum("n").alias("n")))[0]]
-    return nodes.join(_all(done).hint("merge"), "node", "left")
+            done, before = [_cut_large(all_(done))[0]], [_cut_large(all_(before).groupBy("node").agg(F.sum("n").alias("n")))[0]]
+    return nodes.join(all_(done).hint("merge"), "node", "left")
 
 
 def cycles(edges: DataFrame) -> DataFrame:

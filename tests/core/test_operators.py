@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
-from quern.operators import bridges, filters, graph, report, rules, severity
+from quern.operators import api, bridges, filters, graph, report, rules, severity
 from quern.operators.classify import classify
 from quern.sources import packages
 
@@ -228,3 +228,15 @@ def test_html_page_needs_no_other_file(spark):
     lines = [r["line"] for r in report.source_markdown(spark.createDataFrame([("S", "r", "L1", "a>b"), ("S", None, None, None)], "source_type string, remark string, location string, path string")).orderBy("source_type", "no").collect()]
     assert lines == ["## S (2)", "-  at [unknown_loc]", "- r at L1: a>b"]
     assert report.flow_json(spark.createDataFrame([("F", None)], "a string, b string")).first()["json"] == '{"a":"F","b":null}'
+
+
+def test_projected_of_many_properties_is_not_broadcast(spark):
+    """A sent value with more properties than are broadcast: each is a value of its own, by joins of shuffled rows."""
+    n = graph.BROADCAST_ROWS + 1
+    props = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("object"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"), F.col("id").alias("def"))
+    got = api.projected(props, spark.createDataFrame([(0,)], "def long"))
+    assert got.filter("path = array(concat('p', def))").count() == n
+    deep = props.unionByName(props.select(F.col("def").alias("object"), F.lit("q").alias("name"), (F.col("def") + n).alias("def")))
+    got = api.projected(deep, spark.createDataFrame([(0,)], "def long"))
+    assert got._jdf.queryExecution().simpleString().count("Broadcast") == 0
+    assert got.filter("size(path) = 2").count() == got.count() == n
