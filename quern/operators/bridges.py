@@ -20,11 +20,16 @@ def storage_bridge(sets: DataFrame, gets: DataFrame) -> DataFrame:
     return exact.unionByName(by_area).unionByName(to_wild).unionByName(star)
 
 
-def channel_bridge(senders: DataFrame, receivers: DataFrame) -> DataFrame:
-    """senders (package, send_id, channel, outer_id) and receivers (package, recv_id, channel, outer_id): equal channels of a package; unequal outer ids refuse, null meets any."""
-    r = receivers.withColumnRenamed("outer_id", "r_outer")
+#: As many parts a channel's receivers are dealt to.
+DEALT = 32
+
+
+def channel_bridge(senders: DataFrame, receivers: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """senders (package, send_id, channel, outer_id) and receivers (package, recv_id, channel, outer_id): equal channels of a package; unequal outer ids refuse, null meets any. Columns of senders may be carried along. A channel's receivers are dealt to DEALT parts that each meet all of its senders, so that few channels with very many pairs keep all tasks busy; senders are met in sorted runs, which spill, and never broadcast."""
+    r = receivers.withColumnRenamed("outer_id", "r_outer").withColumn("__part", F.pmod(F.xxhash64("recv_id"), F.lit(DEALT)).cast("int")).hint("merge")
+    s = senders.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
     ok = F.col("outer_id").isNull() | F.col("r_outer").isNull() | (F.col("outer_id") == F.col("r_outer"))
-    return senders.join(r, ["package", "channel"]).filter(ok).select("send_id", "recv_id", "channel")
+    return r.join(s, ["package", "channel", "__part"]).filter(ok).select("send_id", "recv_id", "channel", *carry)
 
 
 def may_match(sent: Column, sent_known: Column, wanted: Column, wanted_known: Column) -> Column:

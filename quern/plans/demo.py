@@ -275,7 +275,7 @@ def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     send = _t(spark, sf_dir, "supplier").select(F.lit("p").alias("package"), F.col("s_suppkey").alias("send_id"), F.col("s_nationkey").cast("string").alias("channel"), outer("s_suppkey").alias("outer_id"))
     recv = _t(spark, sf_dir, "customer").select(F.lit("p").alias("package"), F.col("c_custkey").alias("recv_id"), F.col("c_nationkey").cast("string").alias("channel"), outer("c_custkey").alias("outer_id"))
     roots = _t(spark, sf_dir, "nation").join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("channel"), F.col("r_name").alias("root"))
-    return bridges.channel_bridge(send, recv).join(roots, "channel").select("send_id", "recv_id", "channel", "root")
+    return bridges.channel_bridge(send.join(roots, "channel"), recv, ("root",)).select("send_id", "recv_id", "channel", "root")
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS id, arg_max(l_returnflag, l_linenumber * 100000000000 + CAST(l_extendedprice * 100 AS BIGINT) * 100 + l_quantity) AS type, arg_max(l_linestatus, l_linenumber * 100000000000 + CAST(l_extendedprice * 100 AS BIGINT) * 100 + l_quantity) AS html_path, array_to_string(list_sort(list_distinct(list(l_returnflag || l_linestatus))), ',') AS scripts FROM lineitem GROUP BY l_orderkey""")

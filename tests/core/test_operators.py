@@ -240,3 +240,19 @@ def test_projected_of_many_properties_is_not_broadcast(spark):
     got = api.projected(deep, spark.createDataFrame([(0,)], "def long"))
     assert got._jdf.queryExecution().simpleString().count("Broadcast") == 0
     assert got.filter("size(path) = 2").count() == got.count() == n
+
+
+def test_channel_pairs_are_dealt_out(spark):
+    """All pairs of one channel, each once, made in more than one task."""
+    side = lambda name: spark.createDataFrame([("p", k, "c", k % 3 or None) for k in range(60)], f"package string, {name} long, channel string, outer_id long")
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = bridges.channel_bridge(side("send_id").withColumn("root", F.lit("r")), side("recv_id"), ("root",)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    want = sorted((a, b, "c", "r") for a in range(60) for b in range(60) if a % 3 == 0 or b % 3 == 0 or a % 3 == b % 3)
+    assert sorted((r["send_id"], r["recv_id"], r["channel"], r["root"]) for r in got) == want
+    assert len({r["task"] for r in got}) > 1
