@@ -247,18 +247,20 @@ def message_tests(t: dict[str, DataFrame], own: DataFrame) -> DataFrame:
 
 def function_shapes(t: dict[str, DataFrame], own: DataFrame) -> DataFrame:
     """(package, script, function, size, shape): a digest of each function's tree in which local names don't count, only where they are bound, so that renamed copies are equal. A node's place, kind and text, relative to the function, are hashed one by one and added up, nested functions' for each that they are in, so nothing is collected."""
+    rows = own.count()
+    far = lambda df: graph.apart(df, rows)
     names = t["use"].select(*KEY, F.col("use").alias("node"), "def").unionByName(t["binding"].select(*KEY, F.col("def").alias("node"), "def")).distinct()
-    local = names.join(t["binding"].filter("kind <> 'global'").select(*KEY, "def"), [*KEY, "def"]).select(*KEY, "node", "def").distinct()
+    local = far(far(names).join(t["binding"].filter("kind <> 'global'").select(*KEY, "def"), [*KEY, "def"]).select(*KEY, "node", "def").distinct())
     within = own.filter("owner <> 0")
     functions = t["node"].filter(F.col("type").isin(*FUNCTIONS)).select(*KEY, F.col("node").alias("owner"))
-    level = graph._cut(within.select(*KEY, "node", F.col("owner").alias("function")).unionByName(functions.select(*KEY, F.col("owner").alias("node"), F.col("owner").alias("function"))))
+    level, _ = graph._cut_large(within.select(*KEY, "node", F.col("owner").alias("function")).unionByName(functions.select(*KEY, F.col("owner").alias("node"), F.col("owner").alias("function"))))
     pairs, up = level, own.select(*KEY, F.col("node").alias("function"), F.col("owner").alias("outer"))
     for _ in graph.rounds(None):
-        level = graph._cut(level.join(up, [*KEY, "function"]).filter("outer <> 0").select(*KEY, "node", F.col("outer").alias("function")))
-        if not level.head(1):
+        level, found = graph._cut_large(level.join(far(up), [*KEY, "function"]).filter("outer <> 0").select(*KEY, "node", F.col("outer").alias("function")))
+        if not found:
             break
         pairs = pairs.unionByName(level)
-    n = t["node"].select(*KEY, "node", "parent", "type", "field", "ord", "text")
+    pairs, n = far(pairs), far(t["node"].select(*KEY, "node", "parent", "type", "field", "ord", "text"))
     last = pairs.groupBy(*KEY, "function").agg(F.max("node").alias("last"))
     inner = pairs.join(last, [*KEY, "function"]).join(n, [*KEY, "node"]).join(local, [*KEY, "node"], "left")
     bound = F.col("def").between(F.col("function"), F.col("last"))

@@ -90,5 +90,7 @@ def q_function_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many functions have each shape (I19): a part is a script with a function, whose own name, parameter and place are the part's, and whose constant is its size."""
     name = F.concat(F.lit("n"), F.col("p_partkey").cast("string"))
     code = F.concat(F.lit("/* "), F.col("p_name"), F.lit(" */ function "), name, F.lit("("), F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")), F.lit(") { return "), F.lower(F.regexp_replace("p_type", "[^A-Za-z]", "")), F.lit(" + "), F.col("p_size").cast("string"), F.lit("; }"))
-    t = script_facts.tables(graph._cut(script_facts.extract(_t(spark, sf_dir, "part").select(F.lit("p").alias("package"), name.alias("script"), code.alias("code")))))
-    return programs.function_shapes(t, graph._cut(programs.owners(t["node"]))).groupBy("shape", "size").agg(F.count("*").alias("functions")).select("size", "functions")
+    # a row group of short rows is very many scripts: they are dealt out before they are parsed
+    scripts = _t(spark, sf_dir, "part").select(F.lit("p").alias("package"), name.alias("script"), code.alias("code")).repartition(4 * spark.sparkContext.defaultParallelism, "script")
+    t = script_facts.tables(graph.table(script_facts.extract(scripts), "fact"))
+    return programs.function_shapes(t, graph._cut_large(programs.owners(t["node"]))[0]).groupBy("shape", "size").agg(F.count("*").alias("functions")).select("size", "functions")

@@ -2,8 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import graph, valueflow
+from quern.operators import graph, programs, valueflow
 from quern.operators import program as P
+from quern.sources import script_facts
 
 
 def _rows(df):
@@ -139,3 +140,14 @@ def test_levels_of_many_nodes_are_not_broadcast(spark):
     assert _rows(got.groupBy("level").count()) == [(0, 2), (1, graph.BROADCAST_ROWS - 1)]
     rows, n = graph._cut_large(spark.range(5))
     assert n == 5 and _broadcasts(many.join(rows, many["node"] == rows["id"])) > 0
+
+
+def test_function_shapes_of_many_nodes_are_not_broadcast(spark, monkeypatch):
+    """With more nodes than are broadcast, shapes are found by shuffles only: renamed copies are equal, another constant isn't."""
+    code = [("p", "a", "function f(x) { return x + 1; }"), ("p", "b", "function g(y) { return y + 1; }"), ("p", "c", "function h(z) { return z + 2; }")]
+    t = script_facts.tables(graph.table(script_facts.extract(spark.createDataFrame(code, "package string, script string, code string")), "fact"))
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
+    got = programs.function_shapes(t, graph._cut_large(programs.owners(t["node"]))[0])
+    assert _broadcasts(got) == 0
+    shape = {r["script"]: r["shape"] for r in got.collect()}
+    assert shape["a"] == shape["b"] != shape["c"] and len(shape) == 3
