@@ -129,22 +129,33 @@ def check_sinks(tainted: DataFrame, sinks: DataFrame) -> DataFrame:
 def topo_levels(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """edges (node, dep), nodes (node) -> (node, level): 0 without dependencies, else 1 + the deps' largest. Nodes on cycles, and those that need them, have a null level (`ordered` gives them one).
 
-    A node is done in the round in which its last dependency is: a round joins the edges of the newly done only, and adds up how many dependencies of the nodes that they meet are done by now."""
+    A node is done in the round in which its last dependency is: a round joins the edges of the newly done only, adds up how many dependencies of the nodes that they meet are done by now, and is written once: what is done, and what waits for more."""
     edges, _ = _cut_large(edges.select("node", "dep").distinct())
     nodes, _ = _cut_large(nodes.select("node").distinct())
     needs, _ = _cut_large(edges.groupBy("node").agg(F.count("*").alias("needs")))
-    new, _ = _cut_large(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
-    done, before = [new], []
+    new, n = _cut_large(nodes.join(needs, "node", "left_anti").withColumn("level", F.lit(0)))
+    # an edge carries the number of its node's edges, so that rounds join nothing else
+    edges, _ = _cut_large(edges.join(needs, "node").join(nodes, "node", "left_semi"))
+    done, waits, waiting = [new], [], 0
     for level in rounds(max_depth):
-        step, n = _cut_large(edges.join(new.select(F.col("node").alias("dep")), "dep").groupBy("node").agg(F.count("*").alias("n")))
+        met = edges.join(new.select(F.col("node").alias("dep")).hint(_how(n)), "dep").groupBy("node").agg(F.count("*").alias("n"), F.first("needs").alias("needs"))
+        got = F.col("n")
+        if waits:
+            met = met.join(all_(waits).groupBy("node").agg(F.sum("n").alias("before")).hint(_how(waiting)), "node", "left")
+            got = got + F.coalesce("before", F.lit(0))
+        rows, all_n = _cut_large(met.select("node", "n", (got == F.col("needs")).alias("ready"), F.lit(level).alias("level")))
+        new = rows.filter("ready").select("node", "level")
+        n = new.count() if all_n else 0
         if not n:
             break
-        met = all_([step, *(b.join(step, "node", "left_semi") for b in before)]).groupBy("node").agg(F.sum("n").alias("n")).hint(_how(n))
-        ready = met.withColumnRenamed("n", "got").join(needs, "node").filter("got = needs").select("node").hint(_how(n))
-        new, _ = _cut_large(nodes.join(ready, "node", "left_semi").withColumn("level", F.lit(level)))
-        done, before = [*done, new], [*before, step]
+        done = [*done, new]
+        if n < all_n:
+            waits, waiting = [*waits, rows.filter("not ready").select("node", "n")], waiting + all_n - n
         if level % 8 == 0:
-            done, before = [_cut_large(all_(done))[0]], [_cut_large(all_(before).groupBy("node").agg(F.sum("n").alias("n")))[0]]
+            done = [_cut_large(all_(done))[0]]
+            if waits:
+                rows, waiting = _cut_large(all_(waits).groupBy("node").agg(F.sum("n").alias("n")).join(all_(done).hint("merge"), "node", "left_anti"))
+                waits = [rows]
     return nodes.join(all_(done).hint("merge"), "node", "left")
 
 
@@ -152,48 +163,52 @@ def cycles(edges: DataFrame) -> DataFrame:
     """edges (src, dst), each node of which has edges in and out -> (node, component): the least node of the set of nodes that reach one another.
 
     Each node takes the least node that reaches it as its colour; what reaches a colour's own node inside the colour is that node's set. Sets are taken out, edges between colours dropped, and the rest coloured anew; each turn takes out at least one set of every part that hangs together."""
-    left = _cut(edges.select("src", "dst").distinct())
-    out = _cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
-    nodes, found = out, None
-    for _ in rounds(None):
+    left, _ = _cut_large(edges.select("src", "dst").distinct())
+    nodes, n = _cut_large(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct())
+    found = []
+    while n:
         # colours: a round joins the nodes whose colour fell
-        colour = new = _cut(nodes.withColumn("colour", F.col("node")))
+        colour = new = nodes.withColumn("colour", F.col("node"))
         for _k in rounds(None):
-            step = new.join(left, new["node"] == left["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("lower"))
-            new = _cut(step.join(colour, "node").filter("lower < colour").select("node", F.col("lower").alias("colour")))
-            if not new.head(1):
+            step = new.withColumnRenamed("node", "src").join(left, "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("lower"))
+            rows, _ = _cut_large(colour.join(step, "node", "left").select("node", F.least("colour", "lower").alias("colour"), F.coalesce(F.col("lower") < F.col("colour"), F.lit(False)).alias("fell")))
+            colour, new = rows.select("node", "colour"), rows.filter("fell").select("node", "colour")
+            fell = new.count()
+            if not fell:
                 break
-            colour = _cut(colour.join(new.withColumnRenamed("colour", "lower"), "node", "left").select("node", F.coalesce("lower", "colour").alias("colour")))
-        inside = _cut(left.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
-        own = new = _cut(colour.filter("node = colour"))
-        for _k in rounds(None):
+            new = new.hint(_how(fell))
+        inside, _ = _cut_large(left.join(colour.toDF("src", "c1"), "src").join(colour.toDF("dst", "c2"), "dst").filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
+        own = new = _cut_large(colour.filter("node = colour"))[0]
+        for k in rounds(None):
             step = new.withColumnRenamed("node", "dst").join(inside, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            new = _cut(step.join(own, ["node", "colour"], "left_anti"))
-            if not new.head(1):
+            new, more = _cut_large(step.join(own, ["node", "colour"], "left_anti"))
+            if not more:
                 break
-            own = _cut(own.unionByName(new))
-        got = own.select("node", F.col("colour").alias("component"))
-        found = got if found is None else _cut(found.unionByName(got))
-        nodes = _cut(nodes.join(got, "node", "left_anti"))
-        if not nodes.head(1):
-            return found
-        left = _cut(inside.select("src", "dst").join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
+            own = own.unionByName(new)
+            if k % 8 == 0:
+                own, _ = _cut_large(own)
+        got, _ = _cut_large(own.select("node", F.col("colour").alias("component")))
+        found = [*found, got]
+        nodes, n = _cut_large(nodes.join(got, "node", "left_anti"))
+        if n:
+            left, _ = _cut_large(inside.select("src", "dst").join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
+    return all_(found) if found else nodes.withColumn("component", F.col("node"))
 
 
 def ordered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges (node, dep), nodes (node) -> (node, component, level): an order for all nodes, cycles included. Nodes that need one another are one component, named by its least node; its level is 0 if it needs no other, else 1 + the largest of those it needs. Inside a component nodes are in their own order."""
-    nodes = _cut(nodes.select("node").distinct())
-    edges = _cut(edges.select("node", "dep").distinct().join(nodes, "node", "left_semi").join(nodes.toDF("dep"), "dep", "left_semi"))
-    levels = _cut(topo_levels(edges, nodes))
-    stuck = levels.filter("level is null").select("node")
-    if not stuck.head(1):
+    nodes, _ = _cut_large(nodes.select("node").distinct())
+    edges, _ = _cut_large(edges.select("node", "dep").distinct().join(nodes, "node", "left_semi").join(nodes.toDF("dep"), "dep", "left_semi"))
+    levels, _ = _cut_large(topo_levels(edges, nodes))
+    stuck, n = _cut_large(levels.filter("level is null").select("node"))
+    if not n:
         return levels.select("node", F.col("node").alias("component"), "level")
     # of what waits for a cycle, what no cycle waits for isn't on one
     tied = edges.join(stuck, "node", "left_semi").join(stuck.toDF("dep"), "dep", "left_semi")
     back = topo_levels(tied.select(F.col("dep").alias("node"), F.col("node").alias("dep")), stuck)
-    core = _cut(back.filter("level is null").select("node"))
+    core, _ = _cut_large(back.filter("level is null").select("node"))
     among = tied.join(core, "node", "left_semi").join(core.toDF("dep"), "dep", "left_semi").select(F.col("node").alias("src"), F.col("dep").alias("dst"))
-    named = _cut(nodes.join(cycles(among), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named, _ = _cut_large(nodes.join(cycles(among), "node", "left").withColumn("component", F.coalesce("component", "node")))
     between_ = edges.join(named, "node").join(named.toDF("dep", "needed"), "dep").filter("component <> needed").select(F.col("component").alias("node"), F.col("needed").alias("dep"))
     return named.join(topo_levels(between_, named.select(F.col("component").alias("node"))).withColumnRenamed("node", "component"), "component").select("node", "component", "level")
 

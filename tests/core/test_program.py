@@ -151,3 +151,13 @@ def test_function_shapes_of_many_nodes_are_not_broadcast(spark, monkeypatch):
     assert _broadcasts(got) == 0
     shape = {r["script"]: r["shape"] for r in got.collect()}
     assert shape["a"] == shape["b"] != shape["c"] and len(shape) == 3
+
+
+def test_a_level_is_written_once(spark, monkeypatch):
+    """A round of topo_levels writes one table, not two, and what waits for a later dependency gets its level then."""
+    written, cut = [], graph._cut_large
+    monkeypatch.setattr(graph, "_cut_large", lambda df: written.append(1) or cut(df))
+    chain = [(k, k - 1) for k in range(1, 13)] + [(12, 0), (12, 5), (20, 21), (21, 20), (22, 20)]
+    got = graph.topo_levels(spark.createDataFrame(chain, "node long, dep long"), spark.createDataFrame([(k,) for k in [*range(13), 20, 21, 22]], "node long"))
+    assert sorted(_rows(got), key=repr) == sorted([(k, k) for k in range(13)] + [(20, None), (21, None), (22, None)], key=repr)
+    assert len(written) <= 12 + 1 + 7
