@@ -27,9 +27,10 @@ def components(edges: DataFrame, scratch: Scratch, tag: str, max_rounds: int = 4
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         least = met(least, f"{tag}-least{k}")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        # small star: u and its lesser neighbours go to the least of them
-        large = scratch.save(large, f"{tag}-large{k}")
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        # small star: u and its lesser neighbours go to the least of them; few edges are found again, which takes no shuffle
+        if n > BROADCAST_EDGES:
+            large = scratch.save(large.distinct(), f"{tag}-large{k}")
         low = met(large.groupBy("u").agg(F.min("v").alias("m")), f"{tag}-low{k}")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         scratch.save(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{tag}-round{k}")

@@ -156,9 +156,10 @@ def _sets(size: int):
 
 
 def _shingles(batches):
+    """s -> bucket, n: how many sets of the batch have a shingle, so that what all sets of a template share is a row for each batch, not for each set."""
     for b in batches:
-        for s in b.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.int64))], names=["bucket"])
+        names, n = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
 
 def _rarest(shared, percent: int):
@@ -259,14 +260,16 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     # Buckets of more than one class. What is aggregated is written before it meets the rows, so that adaptive execution can split a hot bucket.
     rows = classes.select("digest", F.explode("bands").alias("bucket"))
     shared = scratch.save(rows.groupBy("bucket").agg(F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("m")).filter("low < high").drop("high"), "shared")
-    buckets = scratch.save(rows.join(shared, "bucket"), "buckets")
+    few_shared = small(shared, 2 * shared.count())  # 32 bytes a row
+    buckets = scratch.save(rows.join(few_shared, "bucket"), "buckets")
     # A bucket's second hub is its most central class, which meets most others in its buckets: of a text and its edited copies, the text.
     central = scratch.save(buckets.groupBy("digest").agg(F.sum("m").alias("met")), "central")
-    hub = scratch.save(buckets.join(central, "digest").groupBy("bucket").agg(F.max_by("digest", F.struct("met", "digest")).alias("hub")), "hub")
+    n_near = central.count()
+    hub = scratch.save(buckets.join(small(central, 2 * n_near), "digest").groupBy("bucket").agg(F.max_by("digest", F.struct("met", "digest")).alias("hub")), "hub")
     # The sets of all classes in them, found once.
-    near = scratch.save(buckets.select("digest").distinct(), "near")
+    near = small(central.select("digest"), n_near)
     wanted = scratch.save(classes.join(near, "digest").select("rep.doc_id", "rep.h"), "wanted")
-    sets = texts.alias("t").join(small(wanted, wanted.count()).alias("w"), _same_row("t", "w"), "left_semi").mapInArrow(_sets(size), "digest binary, s binary, by_class array<short>")
+    sets = texts.alias("t").join(small(wanted, n_near).alias("w"), _same_row("t", "w"), "left_semi").mapInArrow(_sets(size), "digest binary, s binary, by_class array<short>")
     sets = scratch.save(sets.dropDuplicates(["digest"]), "sets")
     sketches = scratch.save(classes.join(sets.select("digest", "by_class"), "digest").select("digest", "n_shingles", "odd", "by_class"), "sketches")
     limit = most_bits(percent / 100)
@@ -284,7 +287,7 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs (a, b) that the full sets confirm, written."""
         s = sets.select("digest", "s")
-        joined = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        joined = small(pairs, 2 * pairs.count()).join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
         return scratch.save(joined.mapInArrow(_confirm(percent), "a binary, b binary"), name)
 
     def crossing(members: DataFrame, parts: DataFrame, name: str, few: int | None) -> tuple[DataFrame, DataFrame]:
@@ -303,7 +306,7 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         return pairs, rows.filter(~direct)
 
     pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    hubs = buckets.join(hub, "bucket").select(F.explode(F.array(pair("low", "digest"), F.when(F.col("hub") < F.col("digest"), pair("hub", "digest")).otherwise(pair("digest", "hub")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
+    hubs = buckets.join(small(hub, 2 * hub.count()), "bucket").select(F.explode(F.array(pair("low", "digest"), F.when(F.col("hub") < F.col("digest"), pair("hub", "digest")).otherwise(pair("digest", "hub")))).alias("p")).select("p.a", "p.b").filter("a < b").distinct()
     likely = hubs.join(suffixed(sketches, "a").withColumnRenamed("digest_a", "a"), "a").join(suffixed(sketches, "b").withColumnRenamed("digest_b", "b"), "b").filter(fits("a", "b")).select("a", "b")
     links = confirmed(scratch.save(likely, "hubs"), "links")
     parts = components(links, scratch, "cc-hubs")
@@ -324,7 +327,7 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     many = scratch.save(rest.select("digest").distinct(), "many")
     if many.head(1):
         own = scratch.save(sets.join(many, "digest").select("digest", "s"), "own")
-        often = scratch.save(own.select("s").mapInArrow(_shingles, "bucket long").groupBy("bucket").agg(F.count("*").alias("df")).filter(F.col("df") > COMMON), "often")
+        often = scratch.save(own.select("s").mapInArrow(_shingles, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("df")).filter(F.col("df") > COMMON), "often")
         # Which shingles count as common only moves work: as many are broadcast as are bounded.
         least = COMMON
         while often.filter(F.col("df") > least).count() > BROADCAST_ROWS:
@@ -341,7 +344,7 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     placed = classes.select("digest", "rep.doc_id").join(parts.select(F.col("id").alias("digest"), "component"), "digest", "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
     least = placed.groupBy("component").agg(F.min(F.struct("doc_id")).alias("least"))
     named = scratch.save(placed.join(least, "component").select("digest", F.col("component").alias("class"), F.col("least.doc_id").alias("component_id")), "named")
-    scratch.free("classes", "shared", "buckets", "central", "hub", "near", "wanted", "sets", "sketches", "hubs", "many", "own", "often", "rare", "still", "wide", *(f"{x}-{y}" for x in ("near", "rare", "wide") for y in ("placed", "buckets", "open", "pairs")))
+    scratch.free("classes", "shared", "buckets", "central", "hub", "wanted", "sets", "sketches", "hubs", "many", "own", "often", "rare", "still", "wide", *(f"{x}-{y}" for x in ("near", "rare", "wide") for y in ("placed", "buckets", "open", "pairs")))
     own = ["doc_id", "h", "n_shingles"]
     worded = signed.filter("digest is not null").select(*own, "digest").join(named, "digest").select(*own, "class", "component_id")
     out = worded.unionByName(signed.filter("digest is null").select(*own, F.lit(None).cast("binary").alias("class"), F.col("doc_id").alias("component_id")))

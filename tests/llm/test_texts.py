@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +182,12 @@ def test_templates_make_no_square(spark, steps):
     assert saved["near-open"].count() < 40 * 2000 and joined("near") < 64 * 2000 and joined("rare") < 2000 and "wide" not in saved
 
 
+def test_common_shingles_are_counted_in_batches():
+    s = np.arange(50, dtype=np.int64).tobytes()
+    (got,) = near_dedup._shingles([pa.RecordBatch.from_arrays([pa.array([s] * 30 + [s[:80]])], names=["s"])])
+    assert got.num_rows == 50 and got.column(1).to_pylist() == [31] * 10 + [30] * 40
+
+
 def test_recombined_passages_make_no_square(spark, steps):
     """800 texts of 75 of the same 100 passages, in one order, so that all pairs share very many shingles, rare ones included; 20 copies with an edit are linked. Rows that are joined stay within a few times the rows of buckets."""
     saved, joined, rows_of = steps
