@@ -34,6 +34,8 @@ FEW, OUTSIDERS = 64, 64
 WIDE_ROWS, MISS = 16, 1e-8
 #: Rows that the rarest shingles' buckets may make when they meet directly, for each row in them.
 WORK = 64
+#: A class carries the list of its buckets where it is in so many at most.
+LISTED = 64
 #: Stands for as many classes as are affordable.
 AS_MANY = -1
 #: A shingle of so many sets at most isn't common.
@@ -240,6 +242,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def first_meeting(x: str, y: str):
+    """Whether a bucket is the least that two classes have in common, so that a pair is made once, not in each bucket it shares. Without the list of one of them, all are."""
+    return F.coalesce(F.array_min(F.array_intersect(f"all_{x}", f"all_{y}")) == F.col("bucket"), F.lit(True))
+
+
 def _marked(docs: DataFrame) -> DataFrame:
     """doc_id, h, text: a row is known by its id and a hash of its text."""
     text = F.col("text").cast("string")
@@ -299,9 +306,12 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         if few == AS_MANY:
             few = _affordable(open_, WORK * placed.count())
         direct = F.lit(True) if few is None else (F.col("m") <= few) | (F.col("outside") <= OUTSIDERS)
-        full = scratch.save(rows.filter(direct).join(sketches, "digest").select("bucket", "digest", "component", "n_shingles", "odd", "by_class", (F.col("component") == F.col("main")).alias("inside")), f"{name}-open")
+        # a row for each class, with its buckets, meets the sketches
+        listed = rows.filter(direct).groupBy("digest").agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", (F.col("component") == F.col("main")).alias("inside"))).alias("at"))
+        full = listed.join(sketches, "digest").select("digest", "component", "n_shingles", "odd", "by_class", F.when(F.size("at") <= LISTED, F.col("at.bucket")).alias("all"), F.explode("at").alias("p"))
+        full = scratch.save(full.select("p.bucket", "digest", "component", "n_shingles", "odd", "by_class", "all", "p.inside"), f"{name}-open")
         x, y = suffixed(full.filter("not inside").drop("inside"), "x"), suffixed(full, "y")
-        met = x.join(y, "bucket").filter((F.col("component_x") != F.col("component_y")) & (F.col("inside_y") | (F.col("digest_x") < F.col("digest_y"))) & fits("x", "y"))
+        met = x.join(y, "bucket").filter((F.col("component_x") != F.col("component_y")) & (F.col("inside_y") | (F.col("digest_x") < F.col("digest_y"))) & fits("x", "y") & first_meeting("x", "y"))
         pairs = scratch.save(met.select(F.least("digest_x", "digest_y").alias("a"), F.greatest("digest_x", "digest_y").alias("b")).distinct(), f"{name}-pairs")
         return pairs, rows.filter(~direct)
 

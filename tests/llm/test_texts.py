@@ -182,6 +182,25 @@ def test_templates_make_no_square(spark, steps):
     assert saved["near-open"].count() < 40 * 2000 and joined("near") < 64 * 2000 and joined("rare") < 2000 and "wide" not in saved
 
 
+def test_a_pair_is_made_in_one_of_its_buckets(spark, steps, monkeypatch):
+    """Texts just under the threshold share many bands and rare shingles; each pair is made once, and none is lost."""
+    monkeypatch.setattr(near_dedup, "FEW", 16)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 0)
+    saved, joined, _ = steps
+    frame = [f"frame{k}" for k in range(160)]
+    rows = [(i, " ".join(frame + [f"own{i}x{k}" for k in range(22)])) for i in range(60)] + [(100 + i, " ".join(frame[20:] + [f"mine{i // 2}x{k}" for k in range(40)] + ["x"] * (i % 2))) for i in range(40)]
+    assert _rows(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 85)) == _linked(rows, 85)[0]
+    met = 0
+    for name in ("near", "rare"):
+        full = saved[f"{name}-open"]
+        x, y = (full.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("digest", "component", "inside", "all"))) for k in "xy")
+        pairs = x.filter("not inside_x").join(y, "bucket").filter("component_x <> component_y and (inside_y or digest_x < digest_y)").withColumn("once", near_dedup.first_meeting("x", "y"))
+        told = pairs.groupBy(F.least("digest_x", "digest_y"), F.greatest("digest_x", "digest_y")).agg(F.count("*").alias("n"), F.count_if("once").alias("once")).collect()
+        assert all(r["once"] == 1 for r in told)
+        met += sum(r["n"] > 1 for r in told)
+    assert met > 100
+
+
 def test_common_shingles_are_counted_in_batches():
     s = np.arange(50, dtype=np.int64).tobytes()
     (got,) = near_dedup._shingles([pa.RecordBatch.from_arrays([pa.array([s] * 30 + [s[:80]])], names=["s"])])
