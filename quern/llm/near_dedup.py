@@ -34,7 +34,7 @@ FEW, OUTSIDERS = 64, 64
 WIDE_ROWS, MISS = 16, 1e-8
 #: Rows that the rarest shingles' buckets may make when they meet directly, for each row in them.
 WORK = 64
-#: A class carries the list of its buckets where it is in so many at most.
+#: A class' row in a bucket carries the list of its buckets, or those of the bucket's range where it is in more than so many.
 LISTED = 64
 #: Stands for as many classes as are affordable.
 AS_MANY = -1
@@ -242,9 +242,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bucket_range(bits: str):
+    """The range of a bucket among 2^bits equal ones, by its first bits; where two classes have ranges of different sizes, one lies in the other."""
+    return F.expr(f"shiftrightunsigned(shiftrightunsigned(bucket, 63 - {bits}), 1)")
+
+
 def first_meeting(x: str, y: str):
-    """Whether a bucket is the least that two classes have in common, so that a pair is made once, not in each bucket it shares. Without the list of one of them, all are."""
-    return F.coalesce(F.array_min(F.array_intersect(f"all_{x}", f"all_{y}")) == F.col("bucket"), F.lit(True))
+    """Whether a bucket is the least of its range (the smaller one of the two) that two classes have in common, so that a pair is made once in a range, not in each bucket it shares."""
+    return F.array_min(F.array_intersect(f"all_{x}", f"all_{y}")) == F.col("bucket")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -306,9 +311,11 @@ def decide(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         if few == AS_MANY:
             few = _affordable(open_, WORK * placed.count())
         direct = F.lit(True) if few is None else (F.col("m") <= few) | (F.col("outside") <= OUTSIDERS)
-        # a row for each class, with its buckets, meets the sketches
+        # a row for each class and range of buckets meets the sketches; those of a class stay in one place
+        bits = F.greatest(F.lit(0), F.ceil(F.log2(F.size("at") / LISTED))).cast("int").alias("bits")
         listed = rows.filter(direct).groupBy("digest").agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", (F.col("component") == F.col("main")).alias("inside"))).alias("at"))
-        full = listed.join(sketches, "digest").select("digest", "component", "n_shingles", "odd", "by_class", F.when(F.size("at") <= LISTED, F.col("at.bucket")).alias("all"), F.explode("at").alias("p"))
+        ranged = listed.select("digest", "component", bits, F.inline("at")).groupBy("digest", bucket_range("bits").alias("range")).agg(F.first("component").alias("component"), F.collect_list(F.struct("bucket", "inside")).alias("at"))
+        full = ranged.join(sketches, "digest").select("digest", "component", "n_shingles", "odd", "by_class", F.col("at.bucket").alias("all"), F.explode("at").alias("p"))
         full = scratch.save(full.select("p.bucket", "digest", "component", "n_shingles", "odd", "by_class", "all", "p.inside"), f"{name}-open")
         x, y = suffixed(full.filter("not inside").drop("inside"), "x"), suffixed(full, "y")
         met = x.join(y, "bucket").filter((F.col("component_x") != F.col("component_y")) & (F.col("inside_y") | (F.col("digest_x") < F.col("digest_y"))) & fits("x", "y") & first_meeting("x", "y"))

@@ -201,6 +201,30 @@ def test_a_pair_is_made_in_one_of_its_buckets(spark, steps, monkeypatch):
     assert met > 100
 
 
+def test_long_texts_meet_in_few_of_their_buckets(spark, steps, monkeypatch):
+    """Three texts of a kind share about 80 rare shingles, more than a list holds; a pair is made once in each of two ranges at most, and none is lost."""
+    monkeypatch.setattr(near_dedup, "FEW", 4)
+    monkeypatch.setattr(near_dedup, "OUTSIDERS", 0)
+    saved, _, _ = steps
+    frame = [f"frame{k}" for k in range(340)]
+    rows = [(i, " ".join(frame + [f"mine{i // 3}x{k}" for k in range(190)] + [f"own{i}x{k}" for k in range(70)])) for i in range(30)] + [(100, " ".join(frame + [f"mine0x{k}" for k in range(190)] + [f"own0x{k}" for k in range(60)]))]
+    assert _rows(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 80)) == _linked(rows, 80)[0]
+    full = saved["rare-open"]
+    assert full.groupBy("digest").count().agg(F.max("count")).first()[0] > near_dedup.LISTED
+    x, y = (full.select("bucket", *(F.col(c).alias(f"{c}_{k}") for c in ("digest", "component", "inside", "all"))) for k in "xy")
+    pairs = x.filter("not inside_x").join(y, "bucket").filter("component_x <> component_y and (inside_y or digest_x < digest_y)").withColumn("once", near_dedup.first_meeting("x", "y"))
+    told = pairs.groupBy("digest_x", "digest_y").agg(F.count("*").alias("n"), F.count_if("once").alias("once")).collect()
+    assert all(1 <= r["once"] <= 2 for r in told) and sum(r["n"] > near_dedup.LISTED for r in told) > 20
+
+
+@pytest.mark.parametrize("listed", [1, 3])
+def test_ranges_of_different_sizes_lose_no_link(spark, monkeypatch, listed):
+    """Lists of a bucket or three, so that classes have ranges of many sizes; brute force finds the same."""
+    monkeypatch.setattr(near_dedup, "LISTED", listed)
+    rows = _edited(60, most=14)
+    assert _rows(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string"), 80)) == _linked(rows, 80)[0]
+
+
 def test_common_shingles_are_counted_in_batches():
     s = np.arange(50, dtype=np.int64).tobytes()
     (got,) = near_dedup._shingles([pa.RecordBatch.from_arrays([pa.array([s] * 30 + [s[:80]])], names=["s"])])
