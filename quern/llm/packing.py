@@ -27,6 +27,8 @@ from .token_store import encoder
 
 SIZE = 2048
 BUCKETS, AXES, BITS = 1024, 4, 12
+#: Documents that are projected at once; their numbers and ids fit 32 bits.
+TOGETHER = 256
 #: Ids that are laid out at once, in bytes.
 IDS_BYTES = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,14 +42,22 @@ _matrix = np.random.default_rng(13).normal(size=(BUCKETS, AXES))
 
 
 def project(docs: list[np.ndarray]) -> np.ndarray:
-    """The places of documents (arrays of ids) on the axes; zeros for one whose buckets cancel out."""
+    """The places of documents (arrays of ids) on the axes; zeros for one whose buckets cancel out.
+
+    So many documents at once are counted by one sort of (document, id)."""
     out = np.zeros((len(docs), AXES))
-    for k, ids in enumerate(docs):
-        seen, n = np.unique(ids, return_counts=True) if len(ids) < BUCKETS else (_ids, np.bincount(ids, minlength=1 << 16))
-        v = np.bincount(_bucket[seen], weights=_sign[seen] * np.log1p(n), minlength=BUCKETS)
-        length = np.sqrt(v @ v)
-        if length:
-            out[k] = (v / length) @ _matrix
+    for k in range(0, len(docs), TOGETHER):
+        some = docs[k : k + TOGETHER]
+        pairs = np.concatenate(some).astype(np.uint32) | np.repeat(np.arange(len(some), dtype=np.uint32) << np.uint32(16), [len(x) for x in some])
+        pairs.sort()
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        ids, owner = pairs[first] & np.uint32(0xFFFF), (pairs[first] >> np.uint32(16)).astype(np.int64)
+        weights = _sign[ids] * np.log1p(np.diff(np.append(first, len(pairs))))
+        sums = np.bincount(owner * BUCKETS + _bucket[ids], weights=weights, minlength=len(some) * BUCKETS).reshape(-1, BUCKETS)
+        for j, v in enumerate(sums, k):
+            length = np.sqrt(v @ v)
+            if length:
+                out[j] = (v / length) @ _matrix
     return out
 
 

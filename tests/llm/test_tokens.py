@@ -180,6 +180,23 @@ def test_copies_are_split_over_partitions(spark):
     assert sum(r["count"] for r in lengths if r["n"] < 64) > 1  # more than one partition had a rest
 
 
+def test_projection_by_plain_loops(monkeypatch):
+    """Documents of no, few and many ids, more than are projected at once; the work follows the ids, not the vocabulary."""
+    rng, counted, log1p = np.random.default_rng(5), [], np.log1p
+    docs = [rng.integers(0, 1 << 16 if k % 2 else 50, k % 7 * 400).astype(np.uint16) for k in range(packing.TOGETHER + 40)]
+    want = np.zeros((len(docs), packing.AXES))
+    for k, ids in enumerate(docs):
+        v = np.zeros(packing.BUCKETS)
+        for i, n in zip(*np.unique(ids, return_counts=True), strict=True):
+            v[packing._bucket[i]] += packing._sign[i] * log1p(n)
+        if v.any():
+            want[k] = v / np.sqrt(v @ v) @ packing._matrix
+    monkeypatch.setattr(np, "log1p", lambda n: counted.append(np.size(n)) or log1p(n))
+    assert np.allclose(packing.project(docs), want, rtol=0, atol=1e-12)
+    assert sum(counted) <= sum(map(len, docs))
+    assert packing.project([]).shape == (0, packing.AXES)
+
+
 def test_neighbours_are_alike(spark):
     """Two kinds of text, dealt out in turn: along the curve a sequence holds mostly one kind."""
     rng = random.Random(2)
